@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # Named format patterns.
 _EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -29,14 +28,35 @@ _INTEGER = r"^-?\d+$"
 _DIGITS = r"\d+(_\d+)*"
 _DECIMAL = rf"^[+-]?({_DIGITS}\.({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 
-_YEAR, _MONTH, _DAY = r"(\d{4})", r"(1[0-2]|0[1-9]|[1-9])", r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
-# (pattern, group of the year, of the month, of the day)
-_DATE_FORMS = (
-    (rf"^{_YEAR}([-/.]){_MONTH}\2{_DAY}$", 1, 3, 4),
-    (rf"^{_YEAR}{_MONTH}{_DAY}$", 1, 2, 3),
-    (rf"^{_DAY}/{_MONTH}/{_YEAR}$", 3, 2, 1),
-    (rf"^{_MONTH}/{_DAY}/{_YEAR}$", 3, 1, 2),
-)
+_DAYS_31 = r"(?:3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
+_DAYS_30 = r"(?:30|[12][0-9]|0[1-9]|[1-9]| [1-9])"
+_DAYS_28 = r"(?:2[0-8]|1[0-9]|0[1-9]|[1-9]| [1-9])"
+_MONTHS_31, _MONTHS_30, _FEBRUARY = r"(?:1[02]|0[13578]|[13578])", r"(?:11|0[469]|[469])", r"(?:02|2)"
+_YEAR = r"(?!0000)[0-9]{4}"
+_LEAP_YEAR = r"(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)(?<!0000)"
+
+
+def _calendar(layout: str, separator: str) -> str:
+    """All real days in one layout of the letters Y, M and D."""
+
+    def days(year: str, month: str, day: str) -> str:
+        return separator.join({"Y": year, "M": month, "D": day}[letter] for letter in layout)
+
+    return "|".join(
+        (
+            days(_YEAR, _MONTHS_31, _DAYS_31),
+            days(_YEAR, _MONTHS_30, _DAYS_30),
+            days(_YEAR, _FEBRUARY, _DAYS_28),
+            days(_LEAP_YEAR, _FEBRUARY, "29"),
+        )
+    )
+
+
+# Six accepted layouts; the day is checked by the pattern itself, leap years included.
+_DATE = "^(?:" + "|".join(
+    _calendar(layout, separator)
+    for layout, separator in (("YMD", "-"), ("YMD", "/"), ("YMD", r"\."), ("YMD", ""), ("DMY", "/"), ("MDY", "/"))
+) + r")\z"
 
 
 def search_pattern(pattern: str) -> str:
@@ -70,27 +90,20 @@ def is_usable_pattern(pattern: str) -> bool:
     return True
 
 
+INTEGER_PATTERN = search_pattern(_INTEGER)
+DECIMAL_PATTERN = search_pattern(_DECIMAL)
+DATE_PATTERN = _DATE
+
+
 def integer_text(value: Column) -> Column:
-    return value.rlike(search_pattern(_INTEGER))
+    return value.rlike(INTEGER_PATTERN)
 
 
 def decimal_text(value: Column) -> Column:
     """A float literal that has a decimal point (``12`` and ``1e5`` are not decimals)."""
-    return value.rlike(search_pattern(_DECIMAL))
+    return value.rlike(DECIMAL_PATTERN)
 
 
 def date_text(value: Column) -> Column:
     """A real calendar day in one of the six accepted layouts."""
-    accepted = []
-    for pattern, year, month, day in _DATE_FORMS:
-        java = search_pattern(pattern)
-        y, m, d = (
-            F.trim(F.regexp_extract(value, java, g)).try_cast("int") for g in (year, month, day)
-        )
-        zero = F.lit(0)
-        real = F.try_make_timestamp(y, m, d, zero, zero, zero).isNotNull()
-        accepted.append(value.rlike(java) & (y >= 1) & real)
-    result = accepted[0]
-    for more in accepted[1:]:
-        result = result | more
-    return F.coalesce(result, F.lit(False))
+    return value.rlike(DATE_PATTERN)

@@ -15,7 +15,22 @@ WHITE_SPACE = (
 
 def col(name: str) -> Column:
     """Column by its exact name, also when the name holds dots, brackets or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
+
+
+def sql_name(name: str) -> str:
+    """Column name as it is written in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """String literal as it is written in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_utrim(name: str) -> str:
+    """``utrim`` of a column as SQL text."""
+    return f"trim(both {sql_text(WHITE_SPACE)} from cast({sql_name(name)} as string))"
 
 
 def as_column(value: Column | str) -> Column:
@@ -24,7 +39,9 @@ def as_column(value: Column | str) -> Column:
 
 def utrim(value: Column | str) -> Column:
     """Text with all Unicode white space removed at both ends (``trim`` alone drops blanks only)."""
-    return F.trim(as_column(value).cast("string"), F.lit(WHITE_SPACE))
+    if isinstance(value, str):
+        return F.expr(sql_utrim(value))
+    return F.trim(value.cast("string"), F.lit(WHITE_SPACE))
 
 
 def match_key(value: Column | str) -> Column:
@@ -32,6 +49,12 @@ def match_key(value: Column | str) -> Column:
     return F.nullif(F.lower(utrim(value)), F.lit(""))
 
 
+def pair_key(first: Column, second: Column) -> Column:
+    """One text for a pair of texts, different for different pairs; null if a part is null."""
+    a, b = first.cast("string"), second.cast("string")
+    return F.concat(F.char_length(a).cast("string"), F.lit(":"), a, b)
+
+
 def fixed(value: Column, digits: int) -> Column:
     """Plain decimal text with ``digits`` places, rounded half-even on the exact value."""
     return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0"))
@@ -58,7 +81,7 @@ def base_name(path: Column | str) -> Column:
 
 def file_stem(path: Column | str) -> Column:
     """Base name without its last extension (a leading dot is not an extension)."""
-    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]+$", "")
 
 
 def short_path(path: Column | str, limit: int = 30, keep: int = 27) -> Column:

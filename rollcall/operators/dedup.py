@@ -42,6 +42,15 @@ def key_groups(
     )
 
 
+def _heaviest(groups: DataFrame) -> DataFrame:
+    """The exact heaviest keys, at most ``HOT_KEYS``.
+
+    Ordering by both aggregates keeps the plan of ``groups`` unchanged, so its shuffle is done once
+    and reused.
+    """
+    return groups.orderBy(F.desc(_SIZE), _FIRST).limit(HOT_KEYS).select("group_key", F.lit(True))
+
+
 def _mark(
     rows: DataFrame, joined: DataFrame, key: str, labels: Labels, normalize: bool, valid_only: bool
 ) -> DataFrame:
@@ -81,13 +90,9 @@ def dedup_mark(
     if strategy == "join":
         joined = rows.withColumn("group_key", lookup_key).join(groups, "group_key", "left")
     elif strategy == "salted":
-        # The exact heaviest groups, at most HOT_KEYS of them; the shuffle of ``groups`` is reused.
-        hot = (
-            groups.orderBy(F.desc(_SIZE), "group_key")
-            .limit(HOT_KEYS)
-            .select("group_key", F.lit(True))
+        joined = lookup_join(
+            rows, groups, lookup_key, "group_key", col(labels.row_num), hot=_heaviest(groups)
         )
-        joined = lookup_join(rows, groups, lookup_key, "group_key", col(labels.row_num), hot=hot)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
     return _mark(rows, joined, key, labels, normalize, valid_only)
@@ -132,10 +137,9 @@ def duplicate_groups(
         .agg(F.min(col(labels.row_num)).alias(_FIRST), F.count(F.lit(1)).alias(_SIZE))
         .filter(F.col(_SIZE) > 1)
     )
-    hot = groups.orderBy(F.desc(_SIZE), "group_key").limit(HOT_KEYS).select("group_key", F.lit(True))
     joined = lookup_join(
         rows.select(col(labels.row_num), col(key)), groups, key_text, "group_key",
-        col(labels.row_num), hot=hot,
+        col(labels.row_num), hot=_heaviest(groups),
     )
     return joined.filter(F.col(_SIZE).isNotNull()).select(
         col(labels.row_num),

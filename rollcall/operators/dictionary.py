@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, utrim
+from ..functions.text import col, pair_key, utrim
 from ..labels import DEFAULT_LABELS, Labels
 from .lookup import lookup_join
 from .match import _row_id
@@ -100,10 +100,8 @@ def unpivot_dictionaries(cells: DataFrame) -> DataFrame:
     are dropped, cells are trimmed, a blank label stays as an empty text.
     """
     body = cells.filter(F.col("row_idx") > HEADER_ROWS)
-    headers = dictionary_headers(cells).select(
-        F.struct("path", "sheet").alias("grid"), F.col("groups").alias("__groups")
-    )
-    grid = F.struct("path", "sheet")
+    grid = pair_key(F.col("path"), F.col("sheet"))
+    headers = dictionary_headers(cells).select(grid.alias("grid"), F.col("groups").alias("__groups"))
     joined = lookup_join(body, headers, grid, "grid", F.col("row_idx"))
     return (
         joined.select("path", "sheet", "row_idx", "cells", F.explode("__groups").alias("g"))
@@ -147,12 +145,10 @@ def reverse_map(dictionary: DataFrame) -> DataFrame:
 
 def _by_code(rows: DataFrame, dictionary: DataFrame, dict_id: Column, code: str, labels: Labels) -> DataFrame:
     """``rows`` with the label of (dict_id, code) as ``__label``; a hit always has a non-null label."""
-    pair = F.when(col(code).isNotNull(), F.to_json(F.struct(dict_id.alias("d"), col(code).cast("string").alias("c"))))
     table = forward_map(dictionary).select(
-        F.to_json(F.struct(F.col("dict_id").alias("d"), F.col("code").alias("c"))).alias("pair"),
-        F.col("label").alias("__label"),
+        pair_key(F.col("dict_id"), F.col("code")).alias("pair"), F.col("label").alias("__label")
     )
-    return lookup_join(rows, table, pair, "pair", _row_id(rows, labels))
+    return lookup_join(rows, table, pair_key(dict_id, col(code)), "pair", _row_id(rows, labels))
 
 
 def lookup_labels(

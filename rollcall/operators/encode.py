@@ -8,12 +8,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, match_key, percent_text
+from ..functions.text import col, match_key, percent_text, sql_name, sql_text
 from ..labels import DEFAULT_LABELS, Labels
 from .dictionary import forward_map, reverse_map
 from .lookup import lookup_join
 from .match import _row_id
-from .rules import FieldSpec, is_valid
+from .rules import FieldSpec, is_valid, once
 
 # A dictionary up to this size is carried inside the plan as a map; map access is a linear scan,
 # so larger ones are joined (hash lookup) instead.
@@ -30,19 +30,25 @@ def encoded_fields(spec: FieldSpec, columns: list[str]) -> dict[str, str]:
 def _inline_maps(table: DataFrame, key: str, value: str, ids: list[str]) -> dict[str, Column | None]:
     """Per dictionary id a map literal, or None where the dictionary is too large to inline.
 
-    Sizes are counted first; only entries of small dictionaries of the wanted ids are fetched, so
-    the driver receives at most ``INLINE_ENTRIES`` rows per id.
+    The driver never receives more than ``INLINE_ENTRIES`` rows per id (plus one): if the wanted
+    dictionaries hold more in total, sizes are counted on the cluster and only the small
+    dictionaries are fetched.
     """
-    wanted = table.filter(F.col("dict_id").isin(ids))
-    sizes = {r["dict_id"]: r["n"] for r in wanted.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [i for i, n in sizes.items() if n <= INLINE_ENTRIES]
-    entries: dict[str, dict[str, str]] = {i: {} for i in small}
-    if small:
-        for r in wanted.filter(F.col("dict_id").isin(small)).select("dict_id", key, value).collect():
-            entries[r["dict_id"]][r[key]] = r[value]
-    maps: dict[str, Column | None] = {i: None for i in sizes}
+    wanted = table.filter(F.col("dict_id").isin(ids)).select("dict_id", key, value)
+    bound = INLINE_ENTRIES * len(ids)
+    fetched = wanted.limit(bound + 1).collect()
+    large: list[str] = []
+    if len(fetched) > bound:
+        sizes = wanted.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n")).collect()
+        large = [r["dict_id"] for r in sizes if r["n"] > INLINE_ENTRIES]
+        fetched = wanted.filter(~F.col("dict_id").isin(large)).collect()
+    entries: dict[str, dict[str, str]] = {}
+    for r in fetched:
+        entries.setdefault(r["dict_id"], {})[r[key]] = r[value]
+    maps: dict[str, Column | None] = {i: None for i in large}
     for i, pairs in entries.items():
-        maps[i] = F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), "map<string,string>")
+        literal = F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), "map<string,string>")
+        maps[i] = literal if len(pairs) <= INLINE_ENTRIES else None
     return maps
 
 
@@ -196,10 +202,13 @@ def dict_check_errors(encoded: DataFrame, labels: Labels = DEFAULT_LABELS) -> Da
         return valid.limit(0).selectExpr(
             "'' as field", "0L as row_num", "'' as raw_value", "'' as problem", "'' as detail"
         )
-    return valid.select(
-        col(labels.row_num).cast("long").alias("row_num"),
-        F.explode(F.array_compact(F.array(*failures))).alias("e"),
-    ).select("e.field", "row_num", "e.raw_value", "e.problem", "e.detail")
+    return (
+        valid.select(
+            col(labels.row_num).cast("long").alias("row_num"), F.explode(F.array(*failures)).alias("e")
+        )
+        .filter("e is not null")
+        .select("e.field", "row_num", "e.raw_value", "e.problem", "e.detail")
+    )
 
 
 def mark_dictionary(encoded: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
@@ -209,15 +218,21 @@ def mark_dictionary(encoded: DataFrame, labels: Labels = DEFAULT_LABELS) -> Data
     """
     if labels.dict_status in encoded.columns:
         return encoded
-    valid = is_valid([c for c in encoded.columns if c == labels.rule_status], labels)
-    total = F.lit(0)
-    for code_col in _code_columns(encoded.columns, labels):
-        total = total + F.when(col(code_col) == labels.unmatched, 1).otherwise(0)
-    count = F.when(valid, total).otherwise(F.lit(0)).cast("int")
-    return encoded.select(
-        "*",
+    unmatched = sql_text(labels.unmatched)
+    terms = [
+        f"case when {sql_name(c)} = {unmatched} then 1 else 0 end"
+        for c in _code_columns(encoded.columns, labels)
+    ]
+    total = " + ".join(terms) or "0"
+    if labels.rule_status in encoded.columns:
+        status = sql_name(labels.rule_status)
+        total = f"case when {status} = {sql_text(labels.passed)} then {total} else 0 end"
+    counted = encoded.selectExpr(*[sql_name(c) for c in encoded.columns], once({labels.dict_count: total}))
+    count = col(labels.dict_count)
+    return counted.select(
+        *[col(c) for c in encoded.columns],
         F.when(count == 0, labels.passed).otherwise(labels.failed).alias(labels.dict_status),
-        count.alias(labels.dict_count),
+        count,
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.text import col, utrim
+from ..functions.text import col, sql_name, sql_text, sql_utrim, utrim
 from ..labels import DEFAULT_LABELS, Labels
 
 log = logging.getLogger(__name__)
@@ -85,78 +85,83 @@ class FieldSpec:
 
 @dataclass(frozen=True)
 class Check:
-    """One compiled rule: where it fails and how the failure is reported."""
+    """One compiled rule as SQL text: where it fails and how the failure is reported."""
 
     group: int
-    ord: int
     field: str
     problem: str
-    fails: Column
-    raw_value: Column
-    detail: Column
+    fails: str
+    raw_value: str
+    detail: str
 
 
-def _trimmed_name(name: str) -> str:
-    return f"__trimmed_{name}"
+def _trimmed(name: str) -> str:
+    return sql_name(f"__trimmed_{name}")
 
 
-def _type_test(word: str | None):
-    for words, test in (
-        (INTEGER_WORDS, checks.integer_text),
-        (DECIMAL_WORDS, checks.decimal_text),
-        (DATE_WORDS, checks.date_text),
+def _type_pattern(word: str | None) -> str | None:
+    for words, pattern in (
+        (INTEGER_WORDS, checks.INTEGER_PATTERN),
+        (DECIMAL_WORDS, checks.DECIMAL_PATTERN),
+        (DATE_WORDS, checks.DATE_PATTERN),
     ):
         if word in words:
-            return test
+            return pattern
     return None
 
 
+def _mismatch(name: str, pattern: str) -> str:
+    text = _trimmed(name)
+    return f"{text} <> '' and not {text} rlike {sql_text(pattern)}"
+
+
 def compile_checks(
     spec: FieldSpec, columns: Sequence[str], labels: Labels = DEFAULT_LABELS
 ) -> list[Check]:
     """The checks of ``spec`` for a list with ``columns``, in reporting order.
 
     Trimmed text is read from ``__trimmed_<field>`` columns (see ``with_trimmed``), so that it is
-    computed once per value however many rules look at it.
+    computed once per value however many rules look at it. Checks are SQL text: a spec of many
+    fields becomes one parsed projection.
     """
     present = set(columns)
     found: list[Check] = []
-
-    def add(group, rule, problem, fails, raw_value, detail):
-        fails = F.coalesce(fails, F.lit(False))
-        found.append(Check(group, len(found), rule.name, problem, fails, raw_value, detail))
-
     for rule in spec.fields:
         if not rule.is_required:
             continue
         if rule.name not in present:
-            add(0, rule, REQUIRED_MISSING, F.lit(True), F.lit(labels.absent_value),
-                F.lit(f"必填字段 '{rule.name}' 在数据中不存在"))
+            detail = f"必填字段 '{rule.name}' 在数据中不存在"
+            found.append(
+                Check(0, rule.name, REQUIRED_MISSING, "true", sql_text(labels.absent_value), sql_text(detail))
+            )
         else:
-            blank = col(rule.name).isNull() | (col(_trimmed_name(rule.name)) == "")
-            add(0, rule, REQUIRED_EMPTY, blank, F.lit(labels.blank_value),
-                F.lit(f"必填字段 '{rule.name}' 值为空"))
+            blank = f"{sql_name(rule.name)} is null or {_trimmed(rule.name)} = ''"
+            detail = f"必填字段 '{rule.name}' 值为空"
+            found.append(
+                Check(0, rule.name, REQUIRED_EMPTY, blank, sql_text(labels.blank_value), sql_text(detail))
+            )
 
     here = [rule for rule in spec.fields if rule.name in present]
     for rule in here:
-        test = _type_test(rule.type)
-        if test is None:
+        pattern = _type_pattern(rule.type)
+        if pattern is None:
             continue
-        text = col(_trimmed_name(rule.name))
-        shown = F.left(col(rule.name).cast("string"), F.lit(SHOWN_CHARS))
-        add(1, rule, TYPE_MISMATCH, (text != "") & ~test(text), shown,
-            F.concat(F.lit(f"期望类型 '{rule.type}'，实际 '"), shown, F.lit("'")))
+        shown = f"left(cast({sql_name(rule.name)} as string), {SHOWN_CHARS})"
+        expected = sql_text(f"期望类型 '{rule.type}'，实际 '")
+        detail = f"concat({expected}, {shown}, '\\'')"
+        found.append(Check(1, rule.name, TYPE_MISMATCH, _mismatch(rule.name, pattern), shown, detail))
 
     for rule in here:
         if rule.length_limit == 0:
             continue
-        text = col(rule.name).cast("string")
-        shown = F.when(
-            F.char_length(text) > SHOWN_CHARS,
-            F.concat(F.left(text, F.lit(SHOWN_CHARS)), F.lit("...")),
-        ).otherwise(text)
-        add(2, rule, LENGTH_EXCEED, F.char_length(text) > rule.length_limit, shown,
-            F.lit(f"长度超过上限 {rule.length_limit}"))
+        text = f"cast({sql_name(rule.name)} as string)"
+        shown = (
+            f"case when char_length({text}) > {SHOWN_CHARS} "
+            f"then concat(left({text}, {SHOWN_CHARS}), '...') else {text} end"
+        )
+        too_long = f"char_length({text}) > {rule.length_limit}"
+        detail = sql_text(f"长度超过上限 {rule.length_limit}")
+        found.append(Check(2, rule.name, LENGTH_EXCEED, too_long, shown, detail))
 
     for rule in here:
         label = rule.pattern_label
@@ -166,10 +171,9 @@ def compile_checks(
         if not checks.is_usable_pattern(pattern):
             log.warning("pattern of field %s does not compile and is skipped: %s", rule.name, pattern)
             continue
-        text = col(_trimmed_name(rule.name))
-        shown = F.left(col(rule.name).cast("string"), F.lit(SHOWN_CHARS))
-        add(3, rule, REGEX_FAILED, (text != "") & ~text.rlike(checks.search_pattern(pattern)), shown,
-            F.lit(f"不符合正则规则: {label}"))
+        shown = f"left(cast({sql_name(rule.name)} as string), {SHOWN_CHARS})"
+        fails = _mismatch(rule.name, checks.search_pattern(pattern))
+        found.append(Check(3, rule.name, REGEX_FAILED, fails, shown, sql_text(f"不符合正则规则: {label}")))
     return found
 
 
@@ -179,38 +183,32 @@ def with_trimmed(rows: DataFrame, spec: FieldSpec) -> DataFrame:
     names = [
         rule.name
         for rule in spec.fields
-        if rule.name in present and (rule.is_required or _type_test(rule.type) or rule.pattern_label)
+        if rule.name in present and (rule.is_required or _type_pattern(rule.type) or rule.pattern_label)
     ]
-    return rows.select("*", *[utrim(name).alias(_trimmed_name(name)) for name in dict.fromkeys(names)])
-
-
-def _failure(check: Check) -> Column:
-    return F.when(
-        check.fails,
-        F.struct(
-            F.lit(check.group).alias("rule_group"),
-            F.lit(check.ord).alias("rule_ord"),
-            F.lit(check.field).alias("field"),
-            check.raw_value.alias("raw_value"),
-            F.lit(check.problem).alias("problem"),
-            check.detail.alias("detail"),
-        ),
-    )
+    return rows.selectExpr("*", *[f"{sql_utrim(name)} as {_trimmed(name)}" for name in dict.fromkeys(names)])
 
 
 def error_rows(rows: DataFrame, spec: FieldSpec, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """All failures, one row per rule and list row, with the rule's position (no shuffle)."""
     compiled = compile_checks(spec, rows.columns, labels)
-    row_num = col(labels.row_num).cast("long").alias("row_num")
-    if not compiled:
+    failures = [
+        f"case when {c.fails} then named_struct('rule_group', {c.group}, 'rule_ord', {pos}, "
+        f"'field', {sql_text(c.field)}, 'raw_value', {c.raw_value}, "
+        f"'problem', {sql_text(c.problem)}, 'detail', {c.detail}) end"
+        for pos, c in enumerate(compiled)
+    ]
+    if not failures:
         return rows.sparkSession.createDataFrame(
             [], "rule_group int, rule_ord int, field string, row_num long, raw_value string, "
             "problem string, detail string"
         )
-    found = F.array_compact(F.array(*[_failure(check) for check in compiled]))
     return (
         with_trimmed(rows, spec)
-        .select(row_num, F.explode(found).alias("e"))
+        .selectExpr(
+            f"cast({sql_name(labels.row_num)} as long) as row_num",
+            f"explode(array({', '.join(failures)})) as e",
+        )
+        .filter("e is not null")
         .select("e.rule_group", "e.rule_ord", "e.field", "row_num", "e.raw_value", "e.problem", "e.detail")
     )
 
@@ -221,28 +219,38 @@ def validation_errors(rows: DataFrame, spec: FieldSpec, labels: Labels = DEFAULT
 
 
 def mark_rules(rows: DataFrame, spec: FieldSpec, labels: Labels = DEFAULT_LABELS) -> DataFrame:
-    """Adds status, error count and comma-joined problem codes (rule order, repeats kept)."""
+    """Adds status, error count and comma-joined problem codes (rule order, repeats kept).
+
+    The joined codes are built once (``concat_ws`` leaves out the rules that hold); status and
+    count follow from them. Everything stays in generated code: no higher-order functions.
+    """
     compiled = compile_checks(spec, rows.columns, labels)
-    if not compiled:
-        codes = F.array().cast("array<string>")
-    else:
-        codes = F.array_compact(
-            F.array(*[F.when(check.fails, F.lit(check.problem)) for check in compiled])
-        )
-    count = F.size(_FOUND)
-    kept = [col(name) for name in rows.columns]
-    return (
-        with_trimmed(rows, spec)
-        .select(*kept, codes.alias(_FOUND))
-        .select(
-            *kept,
-            F.when(count == 0, labels.passed).otherwise(labels.failed).alias(labels.rule_status),
-            count.alias(labels.rule_count),
-            F.array_join(_FOUND, ",").alias(labels.rule_types),
-        )
+    codes = [f"case when {c.fails} then {sql_text(c.problem)} end" for c in compiled]
+    kept = [sql_name(name) for name in rows.columns]
+    checked = with_trimmed(rows, spec).selectExpr(
+        *kept, once({_FOUND: f"concat_ws({', '.join([sql_text(','), *codes])})"})
+    )
+    commas = f"char_length({_FOUND}) - char_length(replace({_FOUND}, ',', ''))"
+    return checked.selectExpr(
+        *kept,
+        f"case when {_FOUND} = '' then {sql_text(labels.passed)} else {sql_text(labels.failed)} end"
+        f" as {sql_name(labels.rule_status)}",
+        f"case when {_FOUND} = '' then 0 else {commas} + 1 end as {sql_name(labels.rule_count)}",
+        f"{_FOUND} as {sql_name(labels.rule_types)}",
     )
 
 
+def once(values: dict[str, str]) -> str:
+    """SQL text that computes columns as a one-row generator.
+
+    The optimizer copies an ordinary projected expression into every filter above it. For a filter
+    on a marker that would repeat all rules of the spec (and overflow generated methods); a filter
+    on generated columns stays where it is, and the rules run once per row.
+    """
+    fields = ", ".join(f"{sql_text(name)}, {value}" for name, value in values.items())
+    return f"inline(array(named_struct({fields})))"
+
+
 def valid_rows(marked: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """Rows that passed the checks whose status columns exist; all rows if there are none."""
     return marked.filter(is_valid(marked.columns, labels))

@@ -86,6 +86,12 @@ def _need_valid_rows(run: ListRun) -> str | None:
     return "一线名单无有效数据" if valid_rows(run.primary, run.labels).isEmpty() else None
 
 
+def stored(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` as a written table: cuts the lineage and lets later readers prune columns."""
+    rows.write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _field_rules(run: ListRun) -> None:
     run.errors[PRIMARY] = validation_errors(run.primary, run.spec, run.labels)
     run.lists[PRIMARY] = mark_rules(run.primary, run.spec, run.labels)
@@ -146,10 +152,16 @@ def run_lists(
     stages: Sequence[str] = STAGES,
     configured_keys: Sequence[str] = (),
     check_rows: bool = True,
+    work_dir: str | None = None,
     labels: Labels = DEFAULT_LABELS,
 ) -> ListRun:
     """Applies the chosen stages; a stage whose precondition fails is skipped with its reason.
 
+    ``work_dir`` is a folder all workers share. With it the rule markers are computed once and
+    written there; de-duplication and matching then read the few columns they need from the written
+    table, and a lost executor costs no second pass over the rules. Without it the plan stays lazy
+    from end to end, and each consumer of the markers evaluates the rules for itself.
+
     ``check_rows`` also checks that there are rows to work on (a look for one row, not a count).
     Input errors abort the run, other errors fail their stage and the run goes on.
     """
@@ -180,6 +192,8 @@ def run_lists(
             continue
         try:
             _ACTIONS[stage](run)
+            if stage == FIELD_RULES and work_dir:
+                run.lists[PRIMARY] = stored(run.primary, f"{work_dir}/marked")
         except (InputError, CriticalError):
             raise
         except (StageError, PySparkException, TypeError, ValueError, AttributeError) as e:

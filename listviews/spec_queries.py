@@ -73,7 +73,7 @@ def spec_template(spark, sf):
     with_views("template") + """SELECT t.ord, trim(t.t_code) AS attr_code, t.t_name AS name,
 coalesce(lower(trim(t.t_required)) NOT IN ('否', '允许空', 'n', 'no', '0'), true) AS required,
 coalesce(lower(trim(t.t_type)), 'string') AS type,
-concat_ws('|', split_part(t.t_values, ';', 1), split_part(t.t_values, ';', 3)) AS enum_values
+concat_ws('|', trim(split_part(t.t_values, ';', 1)), trim(split_part(t.t_values, ';', 3))) AS enum_values
 FROM template t WHERE t.t_code IS NOT NULL AND t.t_name IS NOT NULL""",
 )
 def spec_enum_values(spark, sf):

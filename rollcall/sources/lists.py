@@ -40,6 +40,8 @@ def read_csv_list(
             .option("quote", '"')
             .option("escape", '"')
             .option("inferSchema", False)
+            # Nothing between two separators is null, a quoted empty text is a blank value.
+            .option("nullValue", "\u0001")
             .csv(path)
         )
     except AnalysisException as e:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.text import match_key
 from rollcall.labels import DEFAULT_LABELS as L
 from rollcall.operators import match
-from rollcall.operators.rules import FieldRule, FieldSpec, mark_rules
+from rollcall.operators.rules import FieldRule, FieldSpec, is_valid, mark_rules
 
 from .registry import query
 from .rule_queries import marked_cte, marked_primary
@@ -37,9 +37,8 @@ def vendor_flagged(spark, sf):
 
 @query("key_set", BASE + "SELECT k AS match_key FROM pk")
 def key_set(spark, sf):
-    from rollcall.operators.rules import valid_rows
-
-    return match.key_set(valid_rows(marked_primary(spark, sf)), "email")
+    marked = marked_primary(spark, sf)
+    return match.key_set(marked, "email", where=is_valid(marked.columns))
 
 
 @query("flag_partner_in_primary", BASE + 'SELECT _row_num, kind, email, in_primary AS "是否已在一线名单" FROM partner_flagged')

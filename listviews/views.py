@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.sources.lists import spread
+
 VIEWS = {
     # Mandatory list: one row per order, with the defects real lists have.
     "primary_list": """
@@ -144,7 +146,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The list view as a lazy DataFrame."""
     text = VIEWS[name]
-    used = {t: table(spark, sf_dir, t) for t in sorted(set(_TABLE.findall(text)))}
+    used = {t: spread(table(spark, sf_dir, t)) for t in sorted(set(_TABLE.findall(text)))}
     return spark.sql(text, **used)
 
 

@@ -35,10 +35,16 @@ def key_groups(
     normalize: bool = False,
     valid_only: bool = True,
 ) -> DataFrame:
-    """One row per key of the participating rows: tagged key, first row number, row count."""
-    taking_part = rows.filter(is_valid(rows.columns, labels)) if valid_only else rows
-    return taking_part.groupBy(_tagged(_group_key(key, normalize)).alias("group_key")).agg(
-        F.min(col(labels.row_num)).alias(_FIRST), F.count(F.lit(1)).alias(_SIZE)
+    """One row per key of the participating rows: tagged key, first row number, row count.
+
+    Rows that do not take part are left out inside the aggregates, not by a filter below them: the
+    status is then computed once per row, whatever it costs.
+    """
+    part = is_valid(rows.columns, labels) if valid_only else F.lit(True)
+    return (
+        rows.groupBy(_tagged(_group_key(key, normalize)).alias("group_key"))
+        .agg(F.min(F.when(part, col(labels.row_num))).alias(_FIRST), F.count_if(part).alias(_SIZE))
+        .filter(F.col(_SIZE) > 0)
     )
 
 

@@ -13,11 +13,13 @@ from ..labels import DEFAULT_LABELS, Labels
 from .dictionary import forward_map, reverse_map
 from .lookup import lookup_join
 from .match import _row_id
-from .rules import FieldSpec, is_valid, once
+from .rules import FieldSpec, is_valid
 
 # A dictionary up to this size is carried inside the plan as a map; map access is a linear scan,
 # so larger ones are joined (hash lookup) instead.
 INLINE_ENTRIES = 256
+# A dictionary counted to be no larger than this is broadcast; a larger one is joined by shuffle.
+BROADCAST_ENTRIES = 200_000
 
 DICT_NOT_FOUND = "DICT_NOT_FOUND"
 
@@ -27,29 +29,39 @@ def encoded_fields(spec: FieldSpec, columns: list[str]) -> dict[str, str]:
     return {f.name: f.dict_id for f in spec.fields if f.dict_id and f.name in columns}
 
 
-def _inline_maps(table: DataFrame, key: str, value: str, ids: list[str]) -> dict[str, Column | None]:
-    """Per dictionary id a map literal, or None where the dictionary is too large to inline.
+def _sizes(wanted: DataFrame) -> dict[str, int]:
+    return {
+        r["dict_id"]: r["n"]
+        for r in wanted.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+
+
+def _prepare(
+    table: DataFrame, key: str, value: str, ids: list[str], inline: bool
+) -> dict[str, Column | int]:
+    """Per known dictionary id a map literal if it is small, else its number of entries.
 
     The driver never receives more than ``INLINE_ENTRIES`` rows per id (plus one): if the wanted
     dictionaries hold more in total, sizes are counted on the cluster and only the small
     dictionaries are fetched.
     """
     wanted = table.filter(F.col("dict_id").isin(ids)).select("dict_id", key, value)
+    if not inline:
+        return dict(_sizes(wanted))
     bound = INLINE_ENTRIES * len(ids)
     fetched = wanted.limit(bound + 1).collect()
-    large: list[str] = []
+    known: dict[str, Column | int] = {}
     if len(fetched) > bound:
-        sizes = wanted.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n")).collect()
-        large = [r["dict_id"] for r in sizes if r["n"] > INLINE_ENTRIES]
-        fetched = wanted.filter(~F.col("dict_id").isin(large)).collect()
+        known.update(_sizes(wanted))
+        small = [i for i, n in known.items() if n <= INLINE_ENTRIES]
+        fetched = wanted.filter(F.col("dict_id").isin(small)).collect() if small else []
     entries: dict[str, dict[str, str]] = {}
     for r in fetched:
         entries.setdefault(r["dict_id"], {})[r[key]] = r[value]
-    maps: dict[str, Column | None] = {i: None for i in large}
     for i, pairs in entries.items():
         literal = F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), "map<string,string>")
-        maps[i] = literal if len(pairs) <= INLINE_ENTRIES else None
-    return maps
+        known[i] = literal if len(pairs) <= INLINE_ENTRIES else len(pairs)
+    return known
 
 
 def _translate(
@@ -65,25 +77,25 @@ def _translate(
     inline: bool,
 ) -> DataFrame:
     """Adds one translated column per field, each right after its source column."""
-    ids = sorted(set(fields.values()))
-    if inline:
-        maps = _inline_maps(table, key, value, ids)
-    else:
-        maps = {r["dict_id"]: None for r in table.filter(F.col("dict_id").isin(ids)).select("dict_id").distinct().collect()}
+    known = _prepare(table, key, value, sorted(set(fields.values())), inline)
     translated: dict[str, Column] = {}
     joined = rows
     row_id = _row_id(rows, labels)
     for pos, (name, dict_id) in enumerate(fields.items()):
-        if dict_id not in maps:
+        found = known.get(dict_id)
+        if found is None:
             translated[name] = default
-        elif maps[dict_id] is not None:
-            translated[name] = F.coalesce(F.try_element_at(maps[dict_id], normal[name]), default)
+        elif isinstance(found, Column):
+            translated[name] = F.coalesce(F.try_element_at(found, normal[name]), default)
         else:
             hit = f"__hit_{pos}"
             entries = table.filter(F.col("dict_id") == dict_id).select(
-                F.col(key).alias("entry_key"), F.col(value).alias(hit)
+                F.col(key).alias("__entry_key"), F.col(value).alias(hit)
             )
-            joined = lookup_join(joined, entries, normal[name], "entry_key", row_id)
+            if found <= BROADCAST_ENTRIES:
+                joined = joined.join(F.broadcast(entries), normal[name] == F.col("__entry_key"), "left").drop("__entry_key")
+            else:
+                joined = lookup_join(joined, entries, normal[name], "__entry_key", row_id)
             translated[name] = F.coalesce(F.col(hit), default)
     out = []
     for name in rows.columns:
@@ -227,7 +239,7 @@ def mark_dictionary(encoded: DataFrame, labels: Labels = DEFAULT_LABELS) -> Data
     if labels.rule_status in encoded.columns:
         status = sql_name(labels.rule_status)
         total = f"case when {status} = {sql_text(labels.passed)} then {total} else 0 end"
-    counted = encoded.selectExpr(*[sql_name(c) for c in encoded.columns], once({labels.dict_count: total}))
+    counted = encoded.selectExpr("*", f"{total} as {sql_name(labels.dict_count)}")
     count = col(labels.dict_count)
     return counted.select(
         *[col(c) for c in encoded.columns],

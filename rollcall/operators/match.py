@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.text import col, match_key
 from ..labels import DEFAULT_LABELS, Labels
 from .lookup import lookup_join
-from .rules import valid_rows
+from .rules import is_valid
 
 
-def key_set(rows: DataFrame, key: str) -> DataFrame:
-    """Distinct normalised keys of a list (one column ``match_key``); blanks and nulls dropped."""
-    return rows.select(match_key(key).alias("match_key")).filter("match_key is not null").distinct()
+def key_set(rows: DataFrame, key: str, where: Column | None = None) -> DataFrame:
+    """Distinct normalised keys of a list (one column ``match_key``); blanks and nulls dropped.
+
+    ``where`` limits the set to some rows. It is evaluated inside the aggregate, which keeps an
+    expensive status out of the filters below it.
+    """
+    text = match_key(key).alias("match_key")
+    if where is None:
+        return rows.select(text).filter("match_key is not null").distinct()
+    some = rows.groupBy(text).agg(F.bool_or(where).alias("__some"))
+    return some.filter("__some and match_key is not null").drop("__some")
 
 
 def _flag(hit: Column, labels: Labels) -> Column:
@@ -32,9 +40,10 @@ def flag_membership(
     reference_key: str,
     flag: str,
     labels: Labels = DEFAULT_LABELS,
+    where: Column | None = None,
 ) -> DataFrame:
-    """Adds a yes/no column: is the row's key among the reference list's keys?"""
-    table = key_set(reference, reference_key).withColumn("__hit", F.lit(True))
+    """Adds a yes/no column: is the row's key among the keys of the reference list (``where``)?"""
+    table = key_set(reference, reference_key, where).withColumn("__hit", F.lit(True))
     joined = lookup_join(rows, table, match_key(key), "match_key", _row_id(rows, labels))
     return joined.select(
         *[col(name) for name in rows.columns], _flag(F.col("__hit"), labels).alias(flag)
@@ -52,7 +61,8 @@ def flag_partner(
     partner: DataFrame, primary: DataFrame, key: str, labels: Labels = DEFAULT_LABELS
 ) -> DataFrame:
     """Partner rows flagged by the keys of the valid primary rows."""
-    return flag_membership(partner, key, valid_rows(primary, labels), key, labels.in_primary, labels)
+    where = is_valid(primary.columns, labels)
+    return flag_membership(partner, key, primary, key, labels.in_primary, labels, where)
 
 
 def flag_vendor(
@@ -64,15 +74,15 @@ def flag_vendor(
 ) -> DataFrame:
     """Vendor rows flagged by the valid primary rows and, if given, by all partner rows."""
     if partner is None:
-        return flag_membership(vendor, key, valid_rows(primary, labels), key, labels.in_primary, labels)
+        return flag_partner(vendor, primary, key, labels)
     text = match_key(key).alias("match_key")
+    primary_side = F.when(is_valid(primary.columns, labels), 1).otherwise(0).alias("side")
     tagged = (
-        valid_rows(primary, labels)
-        .select(text, F.lit(1).alias("side"))
+        primary.select(text, primary_side)
         .unionByName(partner.select(text, F.lit(2).alias("side")))
-        .filter("match_key is not null")
         .groupBy("match_key")
         .agg(F.bit_or("side").alias("__sides"))
+        .filter("__sides <> 0")
     )
     joined = lookup_join(vendor, tagged, match_key(key), "match_key", _row_id(vendor, labels))
     sides = F.coalesce(F.col("__sides"), F.lit(0))

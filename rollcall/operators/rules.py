@@ -227,32 +227,26 @@ def mark_rules(rows: DataFrame, spec: FieldSpec, labels: Labels = DEFAULT_LABELS
     compiled = compile_checks(spec, rows.columns, labels)
     codes = [f"case when {c.fails} then {sql_text(c.problem)} end" for c in compiled]
     kept = [sql_name(name) for name in rows.columns]
-    checked = with_trimmed(rows, spec).selectExpr(
-        *kept, once({_FOUND: f"concat_ws({', '.join([sql_text(','), *codes])})"})
-    )
     commas = f"char_length({_FOUND}) - char_length(replace({_FOUND}, ',', ''))"
-    return checked.selectExpr(
-        *kept,
-        f"case when {_FOUND} = '' then {sql_text(labels.passed)} else {sql_text(labels.failed)} end"
-        f" as {sql_name(labels.rule_status)}",
-        f"case when {_FOUND} = '' then 0 else {commas} + 1 end as {sql_name(labels.rule_count)}",
-        f"{_FOUND} as {sql_name(labels.rule_types)}",
+    return (
+        with_trimmed(rows, spec)
+        .selectExpr(*kept, f"concat_ws({', '.join([sql_text(','), *codes])}) as {_FOUND}")
+        .selectExpr(
+            *kept,
+            f"case when {_FOUND} = '' then {sql_text(labels.passed)} else {sql_text(labels.failed)} end"
+            f" as {sql_name(labels.rule_status)}",
+            f"case when {_FOUND} = '' then 0 else {commas} + 1 end as {sql_name(labels.rule_count)}",
+            f"{_FOUND} as {sql_name(labels.rule_types)}",
+        )
     )
 
 
-def once(values: dict[str, str]) -> str:
-    """SQL text that computes columns as a one-row generator.
+def valid_rows(marked: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
+    """Rows that passed the checks whose status columns exist; all rows if there are none.
 
-    The optimizer copies an ordinary projected expression into every filter above it. For a filter
-    on a marker that would repeat all rules of the spec (and overflow generated methods); a filter
-    on generated columns stays where it is, and the rules run once per row.
+    On a list that is not stored yet the optimizer copies the rules into this filter, so operators
+    that also need other markers test ``is_valid`` inside their aggregates instead.
     """
-    fields = ", ".join(f"{sql_text(name)}, {value}" for name, value in values.items())
-    return f"inline(array(named_struct({fields})))"
-
-
-def valid_rows(marked: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
-    """Rows that passed the checks whose status columns exist; all rows if there are none."""
     return marked.filter(is_valid(marked.columns, labels))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 # Tried in this order on the first 4096 bytes; the first that decodes is taken.
 CANDIDATES = ("utf-8", "gbk", "gb2312", "cp1252", "latin-1")
 SAMPLE_BYTES = 4096
+LONGEST_CHARACTER = 4
 UTF8_MARK = b"\xef\xbb\xbf"
 CHARSETS = {
     "utf-8": "UTF-8",
@@ -24,21 +23,19 @@ CHARSETS = {
 SPARK_CHARSETS = {"UTF-8", "ISO-8859-1"}
 
 
-def _decodes(data: bytes, encoding: str, complete: bool) -> bool:
-    """A character cut by the end of the sample is no error; one cut by the end of the file is."""
+def _decodes(head: bytes, encoding: str) -> bool:
+    """Do all characters that start inside the sample decode? The head is a bit longer than that."""
     try:
-        codecs.getincrementaldecoder(encoding)().decode(data, complete)
-    except UnicodeDecodeError:
-        return False
+        head.decode(encoding)
+    except UnicodeDecodeError as e:
+        return e.start >= SAMPLE_BYTES
     return True
 
 
-def _encoding_of(data: bytes) -> str:
-    if data.startswith(UTF8_MARK):
+def _encoding_of(head: bytes) -> str:
+    if head.startswith(UTF8_MARK):
         return "utf-8-sig"
-    complete = len(data) <= SAMPLE_BYTES
-    sample = data[:SAMPLE_BYTES]
-    return next((c for c in CANDIDATES if _decodes(sample, c, complete)), CANDIDATES[0])
+    return next((c for c in CANDIDATES if _decodes(head, c)), CANDIDATES[0])
 
 
 @F.pandas_udf(T.StringType())
@@ -52,7 +49,7 @@ def detect_encodings(files: DataFrame) -> DataFrame:
     Only the head of each file crosses into Python. The source itself reads whole files and
     refuses those above 2 GB: give such files their encoding explicitly.
     """
-    head = F.substring("content", 1, SAMPLE_BYTES + 1)
+    head = F.substring("content", 1, SAMPLE_BYTES + LONGEST_CHARACTER)
     return files.select("path", _detect(head).alias("encoding"))
 
 

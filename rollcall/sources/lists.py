@@ -67,6 +67,16 @@ def read_csv_folder(spark: SparkSession, path: str, multi_line: bool = True) ->
     return result
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A list just scanned in fewer splits than the session has cores, dealt out to all cores.
+
+    One workbook, one multi-line CSV or one small file arrives in a single task, and all row checks
+    would run there. A list with enough splits is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def tag_source(rows: DataFrame, list_key: str, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """Adds the name of the list to every row."""
     return rows.withColumn(labels.source, F.lit(list_key))

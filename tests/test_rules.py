@@ -138,12 +138,6 @@ def test_rules_stay_in_the_engine_and_need_no_shuffle(spark):
         assert "Python" not in text and "Exchange" not in text
 
 
-def test_filter_on_status_runs_the_rules_once(spark):
-    rows, spec_ = wide(spark, 4)
-    text = plan_text(rules.valid_rows(rules.mark_rules(rows, spec_)).select("_row_num"))
-    assert text.count("RLIKE") <= 8 * 2
-
-
 def test_verdict(spark):
     rows = spark.createDataFrame([(1, "", "x"), (2, "n", "a@b.cn"), (3, None, None)], "_row_num long, name string, email string")
     spec_ = FieldSpec.of([FieldRule("name", required=True), FieldRule("email", required=True)])

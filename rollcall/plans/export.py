@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..labels import DEFAULT_LABELS, PRIMARY, Labels
 from ..operators.dedup import dedup_metrics, repeated_rows
+from ..operators.encode import dict_check_errors
 from ..operators.rules import errors_for_export
 from ..sources.lists import header_codes
-from .run import INTERNAL_DEDUP, ListRun
+from .run import INTERNAL_DEDUP, ListRun, run_facts
 from .summary import summary_table
 
+ROWS_PER_FILE = 1_000_000
+DICT_ERRORS = "dictionary"
+
 
 def header_map(rows: DataFrame, codes: dict[str, str] | None = None, labels: Labels = DEFAULT_LABELS) -> DataFrame:
     """Second header line: position, column name and its code; generated columns get a fixed word."""
@@ -26,19 +32,31 @@ def original_columns(rows: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFr
     return rows.select(*[col(c) for c in rows.columns if not labels.is_generated(c)])
 
 
-def in_row_order(rows: DataFrame, order: str) -> DataFrame:
-    """Range-partitioned and sorted inside partitions: files follow each other in row order."""
-    return rows.repartitionByRange(col(order)).sortWithinPartitions(col(order))
+def in_row_order(rows: DataFrame, order: str, last: int) -> DataFrame:
+    """Rows dealt to partitions by row number and sorted inside: files follow each other in order.
+
+    The partition follows from the row number alone, so no sampling pass over the list is needed
+    and every file holds the same number of rows, whatever the data look like.
+    """
+    files = (last - 1) // ROWS_PER_FILE + 1
+    file = ((col(order) - 1) / ROWS_PER_FILE).cast("int")
+    return rows.repartitionById(files, file).sortWithinPartitions(col(order))
 
 
-def write_dataset(rows: DataFrame, path: str, fmt: str, order: str | None = None) -> None:
-    ordered = in_row_order(rows, order) if order else rows
-    writer = ordered.write.mode("overwrite")
+def write_dataset(rows: DataFrame, path: str, fmt: str) -> None:
+    writer = rows.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.format(fmt).save(path)
 
 
+def _last_row(rows: DataFrame, labels: Labels) -> int | None:
+    """Highest row number of a list, None for an empty list; reads one column of the input."""
+    if labels.row_num not in rows.columns:
+        return None if rows.isEmpty() else 0
+    return rows.agg(F.max(col(labels.row_num)).alias("last")).first()["last"]
+
+
 def export_run(
     run: ListRun,
     output: str,
@@ -48,39 +66,45 @@ def export_run(
     start: str | None = None,
     end: str | None = None,
 ) -> dict[str, str]:
-    """Writes summary, data, header and error tables per list; returns the folder per list.
+    """Writes data, header, summary and error tables per list; returns the folder per list.
 
-    Lists with neither rows nor errors are left out. The marked primary list feeds several sinks,
-    so it is written first and later sinks read the written table instead of computing it again.
+    Empty lists are left out (rows are never removed, so an empty input is an empty result). The
+    data set is written first; summary, dictionary errors and repeats are then read from it instead
+    of computing the marks again.
     """
     labels = run.labels
     spark: SparkSession = run.primary.sparkSession
     batch = f"{output}/批次_{timestamp or datetime.now().strftime('%Y%m%d_%H%M%S')}"
     written: dict[str, str] = {}
-    stored = dict(run.lists)
+    kept = replace(run, lists=dict(run.lists), errors=dict(run.errors))
     for key, rows in run.lists.items():
-        errors = [run.errors[k] for k in ([PRIMARY, "dictionary"] if key == PRIMARY else [key]) if k in run.errors]
-        if rows.isEmpty() and all(e.isEmpty() for e in errors):
+        last = _last_row(run.inputs.get(key, rows), labels)
+        if last is None:
             continue
-        folder = f"{batch}/list={key}"
-        codes = header_codes(rows)
-        write_dataset(rows, f"{folder}/data", fmt, labels.row_num if labels.row_num in rows.columns else None)
+        folder = written[key] = f"{batch}/list={key}"
+        write_dataset(in_row_order(rows, labels.row_num, last) if last else rows, f"{folder}/data", fmt)
         if fmt == "parquet":
-            stored[key] = spark.read.parquet(f"{folder}/data")
+            kept.lists[key] = spark.read.schema(rows.schema).parquet(f"{folder}/data")
+        codes = header_codes(rows)
         if codes:
             write_dataset(header_map(rows, codes, labels), f"{folder}/header", fmt)
-        written[key] = folder
-    kept = ListRun(stored, run.spec, run.dictionary, run.key, labels, run.errors, run.stages, run.encoded)
+    if DICT_ERRORS in kept.errors:
+        kept.errors[DICT_ERRORS] = dict_check_errors(kept.primary, labels)
+    counted = run_facts(kept)
+    facts = spark.createDataFrame([counted.first()], counted.schema)
     for key, folder in written.items():
-        write_dataset(summary_table(kept, key, start=start, end=end), f"{folder}/summary", fmt)
+        write_dataset(summary_table(kept, key, start=start, end=end, facts=facts), f"{folder}/summary", fmt)
         if key == PRIMARY:
-            for name, errors in run.errors.items():
+            for name, errors in kept.errors.items():
                 write_dataset(errors_for_export(errors), f"{folder}/errors_{name}", fmt)
             if repeats and run.ran(INTERNAL_DEDUP):
-                rows = kept.lists[key]
-                again = repeated_rows(rows, labels)
-                empty = again.isEmpty()
-                write_dataset(dedup_metrics(rows, labels) if empty else again, f"{folder}/repeats", fmt)
+                some = facts.first()["repeat_rows"] > 0
+                marked = kept.primary
+                write_dataset(
+                    repeated_rows(marked, labels) if some else dedup_metrics(marked, labels),
+                    f"{folder}/repeats",
+                    fmt,
+                )
     return written
 
 

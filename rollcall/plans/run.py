@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CriticalError, InputError, StageError
-from ..functions.text import sql_name
+from ..functions.text import col, sql_name, sql_text
 from ..labels import DEFAULT_LABELS, PARTNER, PRIMARY, VENDOR, Labels
 from ..operators.dedup import dedup_mark
 from ..operators.encode import dict_check_errors, encode_labels, encoded_fields, mark_dictionary
@@ -52,6 +52,7 @@ class ListRun:
     errors: dict[str, DataFrame] = field(default_factory=dict)
     stages: list[StageState] = field(default_factory=list)
     encoded: dict[str, str] = field(default_factory=dict)
+    inputs: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def primary(self) -> DataFrame:
@@ -98,6 +99,14 @@ def _field_rules(run: ListRun) -> None:
     run.lists[PRIMARY] = mark_rules(run.primary, run.spec, run.labels)
 
 
+def _store_marked(run: ListRun, folder: str) -> None:
+    """Writes the marked list; the error table then looks at the failing rows only."""
+    columns = [col(c) for c in run.inputs[PRIMARY].columns]
+    marked = run.lists[PRIMARY] = stored(run.primary, folder)
+    failing = marked.filter(col(run.labels.rule_status) == run.labels.failed).select(*columns)
+    run.errors[PRIMARY] = validation_errors(failing, run.spec, run.labels)
+
+
 def _internal_dedup(run: ListRun) -> None:
     run.lists[PRIMARY] = dedup_mark(run.primary, run.key, run.labels)
 
@@ -174,7 +183,7 @@ def run_lists(
     chosen_key = key or resolve_key(
         [c for c in lists[PRIMARY].columns if not labels.is_generated(c)], configured_keys
     )
-    run = ListRun(dict(lists), spec, dictionary, chosen_key, labels)
+    run = ListRun(dict(lists), spec, dictionary, chosen_key, labels, inputs=dict(lists))
     empty = check_rows and run.primary.isEmpty()
     some_valid = False
     for stage in STAGES:
@@ -194,7 +203,7 @@ def run_lists(
         try:
             _ACTIONS[stage](run)
             if stage == FIELD_RULES and work_dir:
-                run.lists[PRIMARY] = stored(run.primary, f"{work_dir}/marked")
+                _store_marked(run, f"{work_dir}/marked")
         except (InputError, CriticalError):
             raise
         except (StageError, PySparkException, TypeError, ValueError, AttributeError) as e:
@@ -208,56 +217,53 @@ def run_lists(
 def run_facts(run: ListRun) -> DataFrame:
     """All counts of a run in one row; each list is read once, however many counts come from it."""
     labels = run.labels
-    zero = F.lit(0).cast("long")
+    rows = run.primary
 
-    def counts(rows: DataFrame, named: dict) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(n).alias("fact"), F.col(n).cast("long").alias("value")) for n in named])
-        return rows.agg(*[c.alias(n) for n, c in named.items()]).select(F.inline(pairs))
+    def hits(frame: DataFrame, column: str, value: str) -> str:
+        present = column in frame.columns
+        return f"count_if({sql_name(column)} = {sql_text(value)})" if present else "max(0L)"
 
-    def hits(rows: DataFrame, column: str, value: str):
-        return F.count_if(F.col(f"`{column}`") == value) if column in rows.columns else F.max(zero)
+    def counts(frame: DataFrame, named: dict[str, str]) -> DataFrame:
+        pairs = ", ".join(f"struct('{n}' as fact, cast({n} as long) as value)" for n in named)
+        return frame.agg(*[F.expr(f"{e} as {n}") for n, e in named.items()]).selectExpr(f"inline(array({pairs}))")
 
-    rows = run.primary
-    primary = {"primary_rows": F.count(F.lit(1))}
+    primary = {"primary_rows": "count(1)"}
     if run.ran(FIELD_RULES):
-        types = sql_name(labels.rule_types)
         primary["passed_rows"] = hits(rows, labels.rule_status, labels.passed)
         primary["failed_rows"] = hits(rows, labels.rule_status, labels.failed)
-        primary["rule_problems"] = F.sum(F.col(f"`{labels.rule_count}`").cast("long"))
+        primary["rule_problems"] = f"sum({sql_name(labels.rule_count)})"
+        types = sql_name(labels.rule_types)
         for code in PROBLEM_CODES:
             # No code is part of another one, so removing it shows how often it occurs.
             removed = f"char_length({types}) - char_length(replace({types}, '{code}', ''))"
-            primary[code] = F.expr(f"sum(cast(({removed}) div {len(code)} as long))")
+            primary[code] = f"sum(({removed}) div {len(code)})"
     if run.ran(INTERNAL_DEDUP):
-        primary["original_rows"] = hits(rows, labels.dedup, labels.original)
-        primary["repeat_rows"] = hits(rows, labels.dedup, labels.repeat)
-        primary["unknown_rows"] = hits(rows, labels.dedup, labels.unknown)
-        primary["skipped_rows"] = hits(rows, labels.dedup, labels.skipped)
+        for fact, mark in (
+            ("original_rows", labels.original),
+            ("repeat_rows", labels.repeat),
+            ("unknown_rows", labels.unknown),
+            ("skipped_rows", labels.skipped),
+        ):
+            primary[fact] = hits(rows, labels.dedup, mark)
     if run.ran(DICT_ENCODE) and run.encoded:
-        matched = None
-        for name in run.encoded:
-            one = F.when(F.col(f"`{name}{labels.code_suffix}`") != labels.unmatched, 1).otherwise(0)
-            matched = one if matched is None else matched + one
-        primary["matched_codes"] = F.sum(matched.cast("long"))
-        primary["all_codes"] = F.count(F.lit(1)) * len(run.encoded)
+        unmatched = sql_text(labels.unmatched)
+        codes = [sql_name(name + labels.code_suffix) for name in run.encoded]
+        primary["matched_codes"] = " + ".join(f"count_if({c} <> {unmatched})" for c in codes)
+        primary["all_codes"] = f"count(1) * {len(codes)}"
     if run.ran(DICT_CHECK):
-        primary["dict_problems"] = F.sum(F.col(f"`{labels.dict_count}`").cast("long"))
+        primary["dict_problems"] = f"sum({sql_name(labels.dict_count)})"
     long = counts(rows, primary)
     for key in (PARTNER, VENDOR):
         if key in run.lists:
             other = run.lists[key]
-            long = long.unionByName(
-                counts(
-                    other,
-                    {
-                        f"{key}_rows": F.count(F.lit(1)),
-                        f"{key}_in_primary": hits(other, labels.in_primary, labels.yes),
-                        f"{key}_in_partner": hits(other, labels.in_partner, labels.yes),
-                    },
-                )
-            )
+            named = {
+                f"{key}_rows": "count(1)",
+                f"{key}_in_primary": hits(other, labels.in_primary, labels.yes),
+                f"{key}_in_partner": hits(other, labels.in_partner, labels.yes),
+            }
+            long = long.unionByName(counts(other, named))
     return long.groupBy().agg(
-        *[F.coalesce(F.max(F.when(F.col("fact") == n, F.col("value"))), zero).alias(n) for n in FACTS]
+        *[F.expr(f"coalesce(max(case when fact = '{n}' then value end), 0L) as {n}") for n in FACTS]
     )
 
 
@@ -273,6 +279,25 @@ FACTS = (
 )
 
 
+def stage_counts(run: ListRun) -> dict[str, tuple[str, str, str]]:
+    """Success, fail and skip count per executed stage, as SQL over the facts row."""
+    valid = "passed_rows" if run.ran(FIELD_RULES) else "primary_rows"
+    coded = ("matched_codes", "all_codes - matched_codes", "0L")
+    counts = {
+        LOAD: ("primary_rows + partner_rows + vendor_rows", "0L", "0L"),
+        FIELD_RULES: ("passed_rows", "failed_rows", "0L"),
+        INTERNAL_DEDUP: ("original_rows", "repeat_rows", "skipped_rows"),
+        DICT_ENCODE: coded if run.encoded else ("primary_rows", "0L", "0L"),
+        DICT_CHECK: (f"{valid} - dict_problems", "dict_problems", "0L"),
+        CROSS_DEDUP: (
+            "greatest(partner_rows - partner_in_primary, 0L)",
+            "partner_in_primary + vendor_in_primary",
+            "0L",
+        ),
+    }
+    return {stage: c for stage, c in counts.items() if stage == LOAD or run.ran(stage)}
+
+
 def stage_metrics(run: ListRun, facts: DataFrame | None = None) -> DataFrame:
     """One row per executed stage: success, fail and skip counts as the stage defines them.
 
@@ -280,34 +305,9 @@ def stage_metrics(run: ListRun, facts: DataFrame | None = None) -> DataFrame:
     rows have several unmatched codes.
     """
     facts = run_facts(run) if facts is None else facts
-    c, zero = F.col, F.lit(0).cast("long")
-    valid = c("passed_rows") if run.ran(FIELD_RULES) else c("primary_rows")
-    new_partner = F.greatest(c("partner_rows") - c("partner_in_primary"), zero)
-    counts = {
-        LOAD: (c("primary_rows") + c("partner_rows") + c("vendor_rows"), zero, zero),
-        FIELD_RULES: (c("passed_rows"), c("failed_rows"), zero),
-        INTERNAL_DEDUP: (c("original_rows"), c("repeat_rows"), c("skipped_rows")),
-        DICT_ENCODE: (
-            (c("matched_codes"), c("all_codes") - c("matched_codes"), zero)
-            if run.encoded
-            else (c("primary_rows"), zero, zero)
-        ),
-        DICT_CHECK: (valid - c("dict_problems"), c("dict_problems"), zero),
-        CROSS_DEDUP: (new_partner, c("partner_in_primary") + c("vendor_in_primary"), zero),
-    }
-    rows = []
-    for pos, (stage, (success, fail, skip)) in enumerate(counts.items()):
-        if stage != LOAD and not run.ran(stage):
-            continue
-        rows.append(
-            F.struct(
-                F.lit(pos).alias("pos"),
-                F.lit(stage).alias("stage"),
-                success.alias("success"),
-                fail.alias("fail"),
-                skip.alias("skip"),
-            )
-        )
-    return facts.select(F.inline(F.array(*rows)))
-
-
+    order = (LOAD, *STAGES)
+    rows = [
+        f"struct({order.index(stage)} as pos, '{stage}' as stage, {ok} as success, {fail} as fail, {skip} as skip)"
+        for stage, (ok, fail, skip) in stage_counts(run).items()
+    ]
+    return facts.selectExpr(f"inline(array({', '.join(rows)}))")

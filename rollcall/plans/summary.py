@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fixed
+from ..functions.text import sql_text
 from ..labels import PARTNER, PRIMARY, VENDOR
 from .run import (
     CROSS_DEDUP,
@@ -17,7 +17,7 @@ from .run import (
     PROBLEM_CODES,
     ListRun,
     run_facts,
-    stage_metrics,
+    stage_counts,
 )
 
 # Display names of lists, states and stages.
@@ -34,28 +34,31 @@ STAGE_NAMES = {
 SUMMARY_ORDER = (LOAD, FIELD_RULES, CROSS_DEDUP, DICT_ENCODE, DICT_CHECK, INTERNAL_DEDUP)
 
 
-def _problems() -> Column:
-    return F.col("rule_problems") + F.col("dict_problems")
+PROBLEMS = "rule_problems + dict_problems"
 
 
-def display_status(status: str | None = None) -> Column:
-    """A status that is already final, else completed without problems and failed with some."""
+def display_status(status: str | None = None) -> str:
+    """SQL of a status that is already final, else completed without problems, failed with some."""
     if status in ("completed", "failed"):
-        return F.lit(status)
-    return F.when(_problems() == 0, "completed").otherwise("failed")
+        return sql_text(status)
+    return f"case when {PROBLEMS} = 0 then 'completed' else 'failed' end"
 
 
-def result_level(facts: DataFrame, status: str = "completed", message: str = "", target: str = "目标系统") -> DataFrame:
+def result_level(
+    facts: DataFrame, status: str = "completed", message: str = "", target: str = "目标系统"
+) -> DataFrame:
     """Level (error, warning, success) and text of a run from its facts row."""
-    failed = F.lit(status == "failed")
-    n = _problems()
-    level = F.when(failed, "error").when(n > 0, "warning").otherwise("success")
-    text = (
-        F.when(failed, F.lit(f"失败: {message}"))
-        .when(n > 0, F.concat(F.lit("成功: 发现 "), n.cast("string"), F.lit(f" 条问题，建议修复后再上传 {target}")))
-        .otherwise(F.lit(f"成功: 处理完成，结果可直接编辑后，上传 {target}"))
-    )
-    return facts.select(n.alias("problems"), level.alias("level"), text.alias("message"))
+    if status == "failed":
+        level, text = "'error'", sql_text(f"失败: {message}")
+    else:
+        some = sql_text(f" 条问题，建议修复后再上传 {target}")
+        none = sql_text(f"成功: 处理完成，结果可直接编辑后，上传 {target}")
+        level = f"case when {PROBLEMS} > 0 then 'warning' else 'success' end"
+        text = (
+            f"case when {PROBLEMS} > 0 then concat('成功: 发现 ', cast({PROBLEMS} as string), {some}) "
+            f"else {none} end"
+        )
+    return facts.selectExpr(f"{PROBLEMS} as problems", f"{level} as level", f"{text} as message")
 
 
 def summary_table(
@@ -75,67 +78,46 @@ def summary_table(
     """
     facts = run_facts(run) if facts is None else facts
     label = LIST_NAMES[list_key]
-    rows_here = F.col(f"{list_key}_rows")
-    always = F.lit(True)
-    entries: list[tuple[Column, Column, Column]] = []
-
-    def put(title, value, shown: Column = always):
-        title = F.lit(title) if isinstance(title, str) else title
-        value = F.lit(value) if isinstance(value, str) else value
-        entries.append((title, value.cast("string"), shown))
-
-    status_text = display_status(status)
-    shown_status = F.create_map(*[F.lit(x) for pair in STATUS_NAMES.items() for x in pair])[status_text]
-    put("名单类型", label)
-    put("处理状态", shown_status)
+    entries: list[tuple[str, str, str]] = []
+
+    def put(title: str, value: str, shown: str = "true") -> None:
+        entries.append((sql_text(title), value, shown))
+
+    names = ", ".join(f"'{k}', {sql_text(v)}" for k, v in STATUS_NAMES.items())
+    put("名单类型", sql_text(label))
+    put("处理状态", f"map({names})[{display_status(status)}]")
     if start and end:
-        micros = F.unix_micros(F.lit(end).cast("timestamp")) - F.unix_micros(F.lit(start).cast("timestamp"))
-        put("处理耗时(秒)", fixed(micros / 1e6, 2))
-    put("开始时间", start or "")
-    put("结束时间", end or "")
-    put(f"{label} 原始记录数", rows_here)
-    put(f"{label} 处理后记录数", rows_here)
-
-    metrics = {r: i for i, r in enumerate(SUMMARY_ORDER)}
-    wide = stage_metrics(run, facts).agg(
-        *[
-            F.max(F.when(F.col("stage") == stage, F.col(kind))).alias(f"{kind}_{i}")
-            for stage, i in metrics.items()
-            for kind in ("success", "fail", "skip")
-        ]
-    )
-    # Facts and stage counts are one row each: carry both in one row without a join.
-    both = facts.select(F.struct("*").alias("f"), F.lit(None).cast(wide.schema).alias("m")).unionByName(
-        wide.select(F.lit(None).cast(facts.schema).alias("f"), F.struct("*").alias("m"))
-    ).agg(F.max("f").alias("f"), F.max("m").alias("m")).select("f.*", "m.*")
-
-    for stage, i in metrics.items():
-        success, fail, skip = (F.coalesce(F.col(f"{k}_{i}"), F.lit(0)) for k in ("success", "fail", "skip"))
-        some = (success != 0) | (fail != 0) | (skip != 0)
-        name = STAGE_NAMES[stage]
-        put(f"{name} 成功数", success, some)
-        put(f"{name} 失败数", fail, some)
-        put(f"{name} 跳过数", skip, some & (skip != 0))
+        micros = f"unix_micros(timestamp {sql_text(end)}) - unix_micros(timestamp {sql_text(start)})"
+        put("处理耗时(秒)", f"format_number(({micros}) / 1e6D, '0.00')")
+    put("开始时间", sql_text(start or ""))
+    put("结束时间", sql_text(end or ""))
+    put(f"{label} 原始记录数", f"{list_key}_rows")
+    put(f"{label} 处理后记录数", f"{list_key}_rows")
+    counts = stage_counts(run)
+    for stage in (s for s in SUMMARY_ORDER if s in counts):
+        success, fail, skip = counts[stage]
+        some = f"({success} <> 0 or {fail} <> 0 or {skip} <> 0)"
+        put(f"{STAGE_NAMES[stage]} 成功数", success, some)
+        put(f"{STAGE_NAMES[stage]} 失败数", fail, some)
+        put(f"{STAGE_NAMES[stage]} 跳过数", skip, f"{skip} <> 0")
     if list_key == PRIMARY:
-        put("错误类型分布", "", F.col("rule_problems") > 0)
+        put("错误类型分布", "''", "rule_problems > 0")
         for code in sorted(PROBLEM_CODES):
-            put(f"  {code}", F.col(code), F.col(code) > 0)
+            put(f"  {code}", code, f"{code} > 0")
     if dict_version is not None:
-        put("字典版本", dict_version)
-        put("字典文件", dict_file or "未知")
+        put("字典版本", sql_text(dict_version))
+        put("字典文件", sql_text(dict_file or "未知"))
     if run.key:
-        put("去重字段", run.key)
+        put("去重字段", sql_text(run.key))
         if run.ran(INTERNAL_DEDUP):
-            put("去重原始数", F.col("original_rows"))
-            put("去重重复数", F.col("repeat_rows"))
-            put("去重未知数（空值）", F.col("unknown_rows"))
-    lines = F.array(
-        *[
-            F.when(shown, F.struct(F.lit(i).alias("pos"), title.alias("statistic"), value.alias("value")))
-            for i, (title, value, shown) in enumerate(entries)
-        ]
-    )
-    return both.select(F.inline(F.array_compact(lines)))
+            put("去重原始数", "original_rows")
+            put("去重重复数", "repeat_rows")
+            put("去重未知数（空值）", "unknown_rows")
+    lines = [
+        f"case when {shown} then struct({pos} as pos, {title} as statistic, cast({value} as string) as value) end"
+        for pos, (title, value, shown) in enumerate(entries)
+    ]
+    return facts.selectExpr(f"inline(array_compact(array({', '.join(lines)})))")
 
 
 def run_totals(run: ListRun, facts: DataFrame | None = None) -> DataFrame:
@@ -145,20 +127,14 @@ def run_totals(run: ListRun, facts: DataFrame | None = None) -> DataFrame:
     columns are true row counts.
     """
     facts = run_facts(run) if facts is None else facts
-    metrics = stage_metrics(run, facts).agg(
-        F.sum("success").alias("sum_success"), F.sum("fail").alias("sum_fail")
-    )
-    rows = facts.select(
-        (F.col("primary_rows") + F.col("partner_rows") + F.col("vendor_rows")).alias("input_rows"),
-        _problems().alias("problems"),
-        F.col("repeat_rows").alias("rejected_rows"),
-    )
-    names = ("sum_success", "sum_fail", "input_rows", "problems", "rejected_rows")
-    none = F.lit(None).cast("long")
-    stacked = metrics.select("sum_success", "sum_fail", *[none.alias(n) for n in names[2:]]).unionByName(
-        rows.select(*[none.alias(n) for n in names[:2]], *names[2:])
+    counts = stage_counts(run).values()
+    return facts.selectExpr(
+        " + ".join(f"({success})" for success, _, _ in counts) + " as sum_success",
+        " + ".join(f"({fail})" for _, fail, _ in counts) + " as sum_fail",
+        "primary_rows + partner_rows + vendor_rows as input_rows",
+        f"{PROBLEMS} as problems",
+        "repeat_rows as rejected_rows",
     )
-    return stacked.agg(*[F.max(n).alias(n) for n in names])
 
 
 def run_report(run: ListRun, facts: DataFrame | None = None) -> DataFrame:
@@ -168,7 +144,7 @@ def run_report(run: ListRun, facts: DataFrame | None = None) -> DataFrame:
     return facts.select(
         F.to_json(
             F.struct(
-                display_status("failed" if run.failed else None).alias("status"),
+                F.expr(display_status("failed" if run.failed else None)).alias("status"),
                 F.lit(run.key).alias("key"),
                 states.alias("stages"),
                 F.struct("*").alias("counts"),

@@ -143,14 +143,14 @@ def test_export(spark, lists, dictionary, folder):
     assert "name" in kept and not any(c.startswith("_") or c.endswith("_Code") for c in kept)
 
 
-def test_rows_are_written_in_order(spark, folder):
+def test_rows_are_written_in_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(export, "ROWS_PER_FILE", 999)
     rows = spark.range(10_000).select((10_000 - F.col("id")).alias("_row_num"))
-    export.write_dataset(rows, folder + "/d", "parquet", "_row_num")
-    got = [r[0] for r in spark.read.parquet(folder + "/d").select("_row_num", F.input_file_name().alias("f")).orderBy("f").collect()]
-    assert sorted(got) == list(range(1, 10_001))
-    per_file = spark.read.parquet(folder + "/d").groupBy(F.input_file_name().alias("f")).agg(F.min("_row_num").alias("a"), F.max("_row_num").alias("b"))
-    spans = [(r["a"], r["b"]) for r in per_file.orderBy("f").collect()]
-    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    export.write_dataset(export.in_row_order(rows, "_row_num", 10_000), folder + "/d", "parquet")
+    back = spark.read.parquet(folder + "/d").select("_row_num", F.input_file_name().alias("f"))
+    per_file = back.groupBy("f").agg(F.min("_row_num").alias("a"), F.max("_row_num").alias("b"), F.count(F.lit(1)).alias("n"))
+    spans = [(r["a"], r["b"], r["n"]) for r in per_file.orderBy("f").collect()]
+    assert spans == [(i * 999 + 1, min((i + 1) * 999, 10_000), min(999, 10_000 - i * 999)) for i in range(11)]
 
 
 def test_shared_folder_follows_the_session(spark):

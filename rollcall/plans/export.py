@@ -17,7 +17,8 @@ from ..sources.lists import header_codes
 from .run import INTERNAL_DEDUP, ListRun, run_facts
 from .summary import summary_table
 
-ROWS_PER_FILE = 1_000_000
+# A long list gets files of this many rows; a short one is dealt to all cores, down to the lower bound.
+ROWS_PER_FILE, FEWEST_ROWS_PER_FILE = 1_000_000, 20_000
 DICT_ERRORS = "dictionary"
 
 
@@ -38,9 +39,10 @@ def in_row_order(rows: DataFrame, order: str, last: int) -> DataFrame:
     The partition follows from the row number alone, so no sampling pass over the list is needed
     and every file holds the same number of rows, whatever the data look like.
     """
-    files = (last - 1) // ROWS_PER_FILE + 1
-    file = ((col(order) - 1) / ROWS_PER_FILE).cast("int")
-    return rows.repartitionById(files, file).sortWithinPartitions(col(order))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    per_file = min(max(-(-last // cores), FEWEST_ROWS_PER_FILE), ROWS_PER_FILE)
+    file = ((col(order) - 1) / per_file).cast("int")
+    return rows.repartitionById((last - 1) // per_file + 1, file).sortWithinPartitions(col(order))
 
 
 def write_dataset(rows: DataFrame, path: str, fmt: str) -> None:

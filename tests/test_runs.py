@@ -145,6 +145,7 @@ def test_export(spark, lists, dictionary, folder):
 
 def test_rows_are_written_in_order(spark, folder, monkeypatch):
     monkeypatch.setattr(export, "ROWS_PER_FILE", 999)
+    monkeypatch.setattr(export, "FEWEST_ROWS_PER_FILE", 10)
     rows = spark.range(10_000).select((10_000 - F.col("id")).alias("_row_num"))
     export.write_dataset(export.in_row_order(rows, "_row_num", 10_000), folder + "/d", "parquet")
     back = spark.read.parquet(folder + "/d").select("_row_num", F.input_file_name().alias("f"))

@@ -24,8 +24,12 @@ def _group_key(key: str, normalize: bool) -> Column:
 
 
 def _tagged(key: Column) -> Column:
-    """Key text with a null tag, so that rows without a key form an ordinary group."""
-    return F.when(key.isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), key))
+    """Key text with a tag, so that rows without a key form an ordinary group.
+
+    The result is never null and known to be so: no null filter is planned below the groups, and
+    both uses of them share one shuffle.
+    """
+    return F.coalesce(F.concat(F.lit("k"), key), F.lit("n"))
 
 
 def key_groups(

@@ -67,14 +67,16 @@ def read_csv_folder(spark: SparkSession, path: str, multi_line: bool = True) ->
     return result
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """A list just scanned in fewer splits than the session has cores, dealt out to all cores.
+def spread(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """A list scanned in fewer splits than the session has cores, dealt out to all cores.
 
     One workbook, one multi-line CSV or one small file arrives in a single task, and all row checks
-    would run there. A list with enough splits is returned as it is, without a shuffle.
+    would run there. A list with enough splits is returned as it is, without a shuffle. ``scan`` is
+    the plain file scan below ``rows``, if ``rows`` is more than that.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    splits = (rows if scan is None else scan).rdd.getNumPartitions()
+    return rows.repartition(cores) if splits < cores else rows
 
 
 def tag_source(rows: DataFrame, list_key: str, labels: Labels = DEFAULT_LABELS) -> DataFrame:
@@ -156,8 +158,9 @@ def load_lists(
     lists = {}
     for key, path in paths.items():
         if path:
-            rows = read_csv_list(spark, path, encodings.get(key, "utf-8"), multi_line)
-            lists[key] = tag_source(number_rows(rows, labels=labels), key, labels)
+            scan = read_csv_list(spark, path, encodings.get(key, "utf-8"), multi_line)
+            rows = spread(number_rows(scan, labels=labels), scan)
+            lists[key] = tag_source(rows, key, labels)
     return lists
 
 

@@ -125,6 +125,17 @@ def test_plans_have_no_single_task_and_no_cross_join(spark, no_broadcast):
     assert "SinglePartition" not in plain
 
 
+def test_groups_are_shuffled_once(spark, no_broadcast, folder):
+    """On a stored list the groups feed the hot keys and the lookup from one exchange."""
+    skewed(spark).write.parquet(folder + "/list")
+    marked = dedup.dedup_mark(spark.read.parquet(folder + "/list"), "email")
+    marked.collect()
+    final = plan_text(marked).split("Initial Plan")[0]
+    # Adaptive plans print a reused stage again; the groups are computed once if their shuffle is reused.
+    reused = [line for line in final.splitlines() if "ReusedExchange" in line]
+    assert any("hashpartitioning" in line for line in reused)
+
+
 def test_flags(spark):
     primary = keyed(spark, ["a@x.cn", "B@x.cn ", None, ""]).withColumn(
         L.rule_status, F.when(F.col("_row_num") == 1, "不通过").otherwise("通过")

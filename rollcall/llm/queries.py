@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, exact, mixing, sharding, urls
+from . import counts, exact, leaks, mixing, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 SHARDS = 8
 MIX_SEED = 17
+QUALITY_CUT = 0.3
 
 #: Fixed values of the rule query.
 RULES = (
@@ -65,6 +66,26 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_copy")
 
 
+def held_out(part: int):
+    """Whether the CRC-32 of the document's id, as text, leaves no rest."""
+    return F.crc32(F.col("doc_id").cast("string")) % part == 0
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id`` and ``score`` of ``docs``; labels are learned from rows that are not held out."""
+    labels = _table(spark, sf_dir, "labels").filter(~held_out(5))
+    texts, marks = quality.training_sample(_table(spark, sf_dir, "documents"), labels)
+    return quality.score_quality(docs, quality.fit_quality(texts, marks))
+
+
+@_query("op1_subword_quality")
+def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(spark, _table(spark, sf_dir, "documents"), sf_dir)
+    return scores.select(
+        "doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
+    )
+
+
 @_query("op4_differencing_shards")
 def op4_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -76,6 +97,39 @@ def op4_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    "op5_prefix_decontamination",
+    """
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[p:p + least(len(words), 10) - 1], ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS p FROM item_words WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT l.doc_id, s.n, unnest(range(1, len(l.words) - s.n + 2)) AS p, l.words FROM low l JOIN sizes s ON len(l.words) >= s.n),
+hits AS (
+  SELECT p.doc_id, p.p, p.n, w.item_id FROM places p JOIN windows w ON p.n = w.n AND array_to_string(p.words[p.p:p.p + p.n - 1], ' ') = w.w),
+hit_words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT l.doc_id, len(l.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM low l LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+""",
+)
+def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = leaks.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 @_query(
     "op6_url_rules",
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, exact, jaccard, leaks, mixing, quality, sharding, urls
+from . import counts, exact, jaccard, leaks, mixing, quality, sharding, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +91,8 @@ def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
 WITH RECURSIVE low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS words FROM documents),
+    '[^ 	-
+]+') AS words FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS s
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS p FROM low WHERE len(words) > 0)),
@@ -183,6 +184,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+@_query("op7_column_suffixes")
+def op7_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"), VOCABULARY)

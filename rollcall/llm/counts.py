@@ -45,7 +45,11 @@ def read_vocabulary(path: str, end: str = "</w>") -> list[tuple[int, ...]]:
 class Automaton:
     """Trie of pieces with failure links and popped-piece counts."""
 
-    def __init__(self, pieces: list[tuple[int, ...]]):
+    def __init__(self, edges: dict[int, int], fail: list[int], popped: list[int]):
+        self.edges, self.fail, self.popped = edges, fail, popped
+
+    @classmethod
+    def of(cls, pieces: list[tuple[int, ...]]) -> Automaton:
         edges: dict[int, int] = {}
         children: list[list[tuple[int, int]]] = [[]]
         whole = [False]
@@ -76,7 +80,7 @@ class Automaton:
                     at = fail[at]
                 if at >= 0:
                     fail[node], popped[node] = edges[at << 9 | symbol], count
-        self.edges, self.fail, self.popped = edges, fail, popped
+        return cls(edges, fail, popped)
 
     def count(self, word: bytes) -> int:
         """Number of pieces of the word, or 0 if its greedy splitting gets stuck."""
@@ -126,11 +130,12 @@ def token_counts(
     have no words. ``vocabulary_path`` is read on the driver. Other columns are not read.
     """
     context = docs.sparkSession.sparkContext
-    automaton = context.broadcast(Automaton(read_vocabulary(vocabulary_path)))
+    built = Automaton.of(read_vocabulary(vocabulary_path))
+    shared = context.broadcast((built.edges, built.fail, built.popped))
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _Lengths(automaton.value)
+        lengths = _Lengths(Automaton(*shared.value))
         for batch in batches:
             texts = batch.column(1)
             out = np.zeros((3, batch.num_rows), dtype=np.int64)

@@ -7,8 +7,8 @@ representative of a class goes on.
 whose nodes hold the bitwise OR of the token bitmaps and the range of set sizes below them. Two trees (or
 one with itself) are traversed together. A pair of nodes is dropped if the size ranges cannot reach
 the threshold, if even the largest possible overlap, bounded by the bits that both bitmaps have and
-by the bits that a bitmap must spare, is too small, or if all sets below them are known to be
-connected already. Pairs of leaves that remain are compared exactly, hash by hash.
+by shingles that share a bit, is too small, or if all sets below them are known to be connected already.
+Pairs that remain are compared exactly, hash by hash.
 
 **Blocks.** Two rounds find all links.
 
@@ -20,7 +20,8 @@ connected already. Pairs of leaves that remain are compared exactly, hash by has
    shingles first: shingles that many documents share are ranked by their counts, others before them by
    hash. A shingle whose documents are all in one component of round 1 has nothing to add. The documents of
    every other shingle are cut into chunks; each pair of chunks that holds two components is a block of
-   its own, so that no shingle, however frequent, meets in one task.
+   its own, so that no shingle, however frequent, meets in one task. These blocks are traversed with the
+   signatures alone; full sets travel only for the few pairs that sizes and bitmaps let through.
 
 Links found in both rounds give the components. A pair of sets that is already connected through others
 is not compared, so groups of thousands of copies do not grow quadratically.
@@ -52,7 +53,7 @@ PERCENT = 75
 PERMUTATIONS = 4
 BLOCK_DOCS = 192
 LEAF_DOCS = 8
-SIGNATURE_BITS = 2048
+BITS_A_SHINGLE = 4
 RANKED_SHINGLES = 1 << 17
 FREQUENT_IN_TASK = 4
 ID_BITS = 1 << 23
@@ -90,35 +91,48 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """Bitmap of a set with four to eight bits a shingle; the number of bits is a power of two."""
+    bits = 1 << max(6, (BITS_A_SHINGLE * len(hashes) - 1).bit_length())
+    marks = np.zeros(bits, dtype=bool)
+    marks[(hashes & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
 class SignatureTree:
-    """Leaves of a few sets each, nodes of two children, level by level from the leaves up."""
-
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
-        self.sets, self.labels = sets, labels
-        sizes = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), SIGNATURE_BITS), dtype=bool)
-        for i, s in enumerate(sets):
-            bits[i, (s % _U(SIGNATURE_BITS)).astype(np.int64)] = True
-        packed = np.packbits(bits, axis=1)
-        #: Bits of a set, and how many shingles share bits: those can all lie in one overlap.
-        self.bitmap, self.surplus, self.sizes = packed, sizes - bits.sum(axis=1), sizes
-        starts = np.arange(0, len(sets), LEAF_DOCS)
-        level = (
-            np.bitwise_or.reduceat(packed, starts), np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts),
-            np.maximum.reduceat(self.surplus, starts),
+    """Leaves of a few sets each, nodes of two children, level by level from the leaves up.
+
+    Bitmaps of different lengths are repeated up to the longest: a shingle's bit is its hash modulo the
+    length, so a repeated bitmap still has every bit that the longer one would have.
+    """
+
+    def __init__(self, bitmaps: list[bytes], sizes: np.ndarray, labels: np.ndarray, width: int):
+        packed = np.empty((len(bitmaps), width), dtype=np.uint8)
+        #: How many shingles share bits with others: those can all lie in one overlap.
+        self.surplus = np.empty(len(bitmaps), dtype=np.int64)
+        for i, bitmap in enumerate(bitmaps):
+            own = np.frombuffer(bitmap, dtype=np.uint8)
+            self.surplus[i] = sizes[i] - int(np.bitwise_count(own).sum())
+            packed[i] = np.tile(own, width // len(own))
+        self.bitmap, self.sizes, self.labels = packed.view(_U), sizes, labels
+        starts = np.arange(0, len(bitmaps), LEAF_DOCS)
+        self.levels = [self._level((self.bitmap, sizes, sizes, self.surplus, labels, labels), starts)]
+        while len(self.levels[-1][1]) > 1:
+            self.levels.append(self._level(self.levels[-1], np.arange(0, len(self.levels[-1][1]), 2)))
+
+    @staticmethod
+    def _level(below, starts):
+        bits, low, high, spare, least, most = below
+        return (
+            np.bitwise_or.reduceat(bits, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts),
+            np.maximum.reduceat(spare, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts),
         )
-        self.levels = [level]
-        while len(level[1]) > 1:
-            pairs = np.arange(0, len(level[1]), 2)
-            level = (
-                np.bitwise_or.reduceat(level[0], pairs), np.minimum.reduceat(level[1], pairs),
-                np.maximum.reduceat(level[2], pairs), np.maximum.reduceat(level[3], pairs),
-            )
-            self.levels.append(level)
 
-    def members(self, level: int, node: int) -> range:
-        width = LEAF_DOCS << level
-        return range(node * width, min(len(self.sets), (node + 1) * width))
+    def children(self, level: int, node: int) -> list[int]:
+        return [c for c in (2 * node, 2 * node + 1) if c < len(self.levels[level - 1][1])]
+
+    def leaf(self, node: int) -> slice:
+        return slice(node * LEAF_DOCS, min(len(self.sizes), (node + 1) * LEAF_DOCS))
 
 
 def _possible(low_a, high_a, low_b, high_b, shared, percent: int):
@@ -128,13 +142,11 @@ def _possible(low_a, high_a, low_b, high_b, shared, percent: int):
 
 
 class _Union:
-    def __init__(self, labels: np.ndarray):
+    def __init__(self):
         self.parent: dict[int, int] = {}
-        self.labels = labels
 
     def find(self, label: int) -> int:
-        parent = self.parent
-        while (up := parent.get(label, label)) != label:
+        while (up := self.parent.get(label, label)) != label:
             label = up
         return label
 
@@ -144,127 +156,174 @@ class _Union:
             self.parent[max(a, b)] = min(a, b)
 
 
-def dual_links(left: SignatureTree, right: SignatureTree | None, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets of two trees, or within one, that connect what ``labels`` keep apart."""
+def dual_links(left: SignatureTree, right: SignatureTree | None, percent: int, verify=None) -> list[tuple[int, int]]:
+    """Pairs of two trees, or within one, with different labels.
+
+    With ``verify(i, j)``: links, as many as connect what can be connected. Without: every pair that the
+    signatures let through.
+    """
     same = right is None
     right = left if same else right
-    union, found = _Union(left.labels), []
-    top_l, top_r = len(left.levels) - 1, len(right.levels) - 1
-    stack = [(top_l, 0, top_r, 0)]
+    union, found = _Union(), []
+    stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         level_a, a, level_b, b = stack.pop()
-        bits_a, low_a, high_a, spare_a = left.levels[level_a]
-        bits_b, low_b, high_b, spare_b = right.levels[level_b]
-        if not (same and level_a == level_b and a == b):
+        bits_a, low_a, high_a, spare_a, least_a, most_a = left.levels[level_a]
+        bits_b, low_b, high_b, spare_b, least_b, most_b = right.levels[level_b]
+        itself = same and level_a == level_b and a == b
+        if min(least_a[a], least_b[b]) == max(most_a[a], most_b[b]):
+            continue
+        if not itself:
             common = int(np.bitwise_count(bits_a[a] & bits_b[b]).sum())
             shared = min(common + min(int(spare_a[a]), int(spare_b[b])), int(high_a[a]), int(high_b[b]))
             if not _possible(int(low_a[a]), int(high_a[a]), int(low_b[b]), int(high_b[b]), shared, percent):
                 continue
-        in_a, in_b = left.members(level_a, a), right.members(level_b, b)
-        roots = {union.find(int(left.labels[i])) for i in in_a} | {union.find(int(right.labels[j])) for j in in_b}
-        if len(roots) < 2:
-            continue
         if level_a == 0 and level_b == 0:
-            for i in in_a:
-                for j in in_b:
-                    if same and j <= i:
-                        continue
-                    if union.find(int(left.labels[i])) == union.find(int(right.labels[j])):
-                        continue
-                    shared = int(np.bitwise_count(left.bitmap[i] & right.bitmap[j]).sum()) + int(min(left.surplus[i], right.surplus[j]))
-                    n, m = int(left.sizes[i]), int(right.sizes[j])
-                    if _possible(n, n, m, m, min(shared, n, m), percent) and linked(left.sets[i], right.sets[j], percent):
-                        union.join(int(left.labels[i]), int(right.labels[j]))
-                        found.append((i, j))
-            continue
-        if level_a >= level_b and not (same and level_a == level_b and a == b):
-            below = [(level_a - 1, c) for c in (2 * a, 2 * a + 1) if c < len(left.levels[level_a - 1][1])]
-            stack.extend((la, c, level_b, b) for la, c in below)
-        elif same and level_a == level_b and a == b:
-            below = [c for c in (2 * a, 2 * a + 1) if c < len(left.levels[level_a - 1][1])]
+            at, bt = left.leaf(a), right.leaf(b)
+            n, m = left.sizes[at, None], right.sizes[None, bt]
+            common = np.bitwise_count(left.bitmap[at, None, :] & right.bitmap[None, bt, :]).sum(axis=2, dtype=np.int64)
+            shared = np.minimum(common + np.minimum(left.surplus[at, None], right.surplus[None, bt]), np.minimum(n, m))
+            hit = _possible(n, n, m, m, shared, percent) & (left.labels[at, None] != right.labels[None, bt])
+            if itself:
+                hit = np.triu(hit, 1)
+            for i, j in np.argwhere(hit).tolist():
+                i, j = i + at.start, j + bt.start
+                if verify is None:
+                    found.append((i, j))
+                    continue
+                one, two = int(left.labels[i]), int(right.labels[j])
+                if union.find(one) != union.find(two) and verify(i, j):
+                    union.join(one, two)
+                    found.append((i, j))
+        elif itself:
+            below = left.children(level_a, a)
             stack.extend((level_a - 1, c, level_a - 1, d) for c in below for d in below if c <= d)
+        elif level_a >= level_b:
+            stack.extend((level_a - 1, c, level_b, b) for c in left.children(level_a, a))
         else:
-            below = [c for c in (2 * b, 2 * b + 1) if c < len(right.levels[level_b - 1][1])]
-            stack.extend((level_a, a, level_b - 1, c) for c in below)
+            stack.extend((level_a, a, level_b - 1, c) for c in right.children(level_b, b))
     return found
 
 
-def _sorted_tree(frame: pd.DataFrame) -> tuple[SignatureTree, np.ndarray]:
-    sets = [np.frombuffer(x, dtype=_U) for x in frame["hashes"]]
-    labels, ids = frame["label"].to_numpy(), frame["id"].to_numpy()
-    _, which, members = np.unique(labels, return_inverse=True, return_counts=True)
-    # What is connected already stands together, everything else in the order of least hashes.
-    group = np.where(members[which] > 1, which, -1)
-    order = sorted(range(len(sets)), key=lambda i: (group[i], tuple(sets[i][:3]), ids[i]))
-    return SignatureTree([sets[i] for i in order], labels[order]), ids[order]
-
-
-def _block_links(percent: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if frame.duplicated(["side", "id"]).any():
-            spoken = [(len(x), blake2b(x, digest_size=16).digest()) for x in frame["hashes"]]
-            frame = frame.assign(spoken=spoken).sort_values("spoken", ascending=False).drop_duplicates(["side", "id"])
-        one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if len(two):
-            left, ids_l = _sorted_tree(one)
-            right, ids_r = _sorted_tree(two)
-            pairs = dual_links(left, right, percent) if len(one) else []
-        else:
-            left, ids_l = _sorted_tree(one)
-            ids_r = ids_l
-            pairs = dual_links(left, None, percent)
-        return pd.DataFrame({"a": [int(ids_l[i]) for i, _ in pairs], "b": [int(ids_r[j]) for _, j in pairs]}, dtype="int64")
+def _block_pairs(rows: list[tuple], percent: int, exact: bool) -> list[tuple[int, int]]:
+    """Of one block's rows ``(side, id, label, n, body)``: pairs of ids. ``body``: hashes or a signature."""
+    sides = []
+    for side in (0, 1):
+        own = [r for r in rows if r[0] == side]
+        if not own:
+            continue
+        sets = [np.frombuffer(r[4], dtype=_U) for r in own] if exact else None
+        bitmaps = [signature(x) for x in sets] if exact else [r[4] for r in own]
+        labels = np.array([r[2] for r in own])
+        _, which, members = np.unique(labels, return_inverse=True, return_counts=True)
+        # What is connected already stands together, everything else by its first bits or hashes.
+        group = np.where(members[which] > 1, which, -1)
+        order = sorted(range(len(own)), key=lambda i: (group[i], own[i][4][:24], own[i][1]))
+        sides.append(([own[i][1] for i in order], [bitmaps[i] for i in order], np.array([own[i][3] for i in order]), labels[order], [sets[i] for i in order] if exact else None))
+    if not sides:
+        return []
+    width = max(len(x) for side in sides for x in side[1])
+    trees = [SignatureTree(bitmaps, sizes, labels, width) for _, bitmaps, sizes, labels, _ in sides]
+    left, right = sides[0], sides[-1]
+    verify = (lambda i, j: linked(left[4][i], right[4][j], percent)) if exact else None
+    pairs = dual_links(trees[0], trees[1] if len(trees) > 1 else None, percent, verify)
+    return [(left[0][i], right[0][j]) for i, j in pairs]
+
+
+def _pairs_of_blocks(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """``(a, b)`` from rows ``(block, side, id, label, n, body)``: one block after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def out():
+            pairs = _block_pairs(held, percent, exact)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
+            )
 
-    return run
+        for batch in batches:
+            columns = [batch.column(c) for c in ("block", "side", "id", "label", "n", "body")]
+            for row in zip(*(c.to_pylist() for c in columns), strict=True):
+                if row[0] != block:
+                    if len(held) > 1:
+                        yield out()
+                    block, held = row[0], []
+                # Of rows with one id the largest set comes first and speaks for all.
+                if not held or held[-1][:2] != row[1:3]:
+                    held.append(row[1:])
+        if len(held) > 1:
+            yield out()
+
+    dealt = rows.repartition("block").sortWithinPartitions("block", "side", "id", F.desc("n"), F.desc("digest"))
+    return dealt.select("block", "side", "id", "label", "n", "body").mapInArrow(run, "a bigint, b bigint")
 
 
 def _scan(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row per document: size, digest and least hashes; and the frequent shingles of each task."""
+    """One row per document: size, digest, signature and least hashes; and the frequent shingles of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "digest", "least", "key", "count"]
+        names = ["id", "n", "digest", "signature", "least", "key", "count"]
         seen_keys, seen_counts = np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
         pending, held = [], 0
 
-        def counted(keys, counts, more):
-            every = np.concatenate([keys, *more])
-            weights = np.concatenate([counts, np.ones(len(every) - len(keys), dtype=np.int64)])
-            kinds, where = np.unique(every, return_inverse=True)
-            totals = np.bincount(where, weights=weights).astype(np.int64)
-            keep = totals >= FREQUENT_IN_TASK
-            return kinds[keep], totals[keep]
+        def counted():
+            new = np.sort(np.concatenate(pending))
+            head = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+            n = np.diff(np.append(head, len(new)))
+            new, n = new[head[n >= FREQUENT_IN_TASK]], n[n >= FREQUENT_IN_TASK]
+            kinds, where = np.unique(np.append(seen_keys, new), return_inverse=True)
+            return kinds, np.bincount(where, weights=np.append(seen_counts, n), minlength=len(kinds)).astype(np.int64)
 
         for batch in batches:
-            ids, sizes, digests, least = [], [], [], []
+            ids, sets, sizes, digests, signatures = [], [], [], [], []
             for row, keys in shingle_sets(batch.column("text"), shingle):
                 ids.append(row)
+                sets.append(keys)
                 sizes.append(len(keys))
                 digests.append(blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None)
-                least.append([int(mixed(keys ^ _U(7919 * (k + 1))).min().astype(np.int64)) for k in range(PERMUTATIONS)] if len(keys) else [])
-                pending.append(keys)
+                signatures.append(signature(keys) if len(keys) else None)
                 held += len(keys)
                 if held > 2_000_000:
-                    seen_keys, seen_counts = counted(seen_keys, seen_counts, pending)
+                    pending.extend(sets)
+                    yield rows_of(batch, ids, sets, sizes, digests, signatures, names)
+                    seen_keys, seen_counts = counted()
+                    ids, sets, sizes, digests, signatures = [], [], [], [], []
                     pending, held = [], 0
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(ids)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(least, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                names=names,
-            )
-        keys, counts = counted(seen_keys, seen_counts, pending)
-        n = len(keys)
+            pending.extend(sets)
+            yield rows_of(batch, ids, sets, sizes, digests, signatures, names)
+        if held:
+            seen_keys, seen_counts = counted()
+        n = len(seen_keys)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())),
-             pa.array(keys.astype(np.int64)), pa.array(counts)],
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+             pa.nulls(n, pa.list_(pa.int64())), pa.array(seen_keys.astype(np.int64)), pa.array(seen_counts)],
+            names=names,
+        )
+
+    def rows_of(batch, ids, sets, sizes, digests, signatures, names):
+        n, filled = len(ids), [i for i, k in enumerate(sizes) if k]
+        least = [[] for _ in ids]
+        if filled:
+            every = np.concatenate([sets[i] for i in filled])
+            ends = np.cumsum([sizes[i] for i in filled])
+            starts = ends - [sizes[i] for i in filled]
+            lows = [np.minimum.reduceat(mixed(every ^ _U(7919 * (k + 1))), starts).astype(np.int64) for k in range(PERMUTATIONS)]
+            for i, values in zip(filled, np.stack(lows, axis=1).tolist(), strict=True):
+                least[i] = values
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id").take(pa.array(ids, pa.int64())), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+             pa.array(signatures, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
             names=names,
         )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, digest binary, least array<bigint>, key bigint, count bigint")
+    return docs.mapInArrow(
+        run, "id bigint, n bigint, digest binary, signature binary, least array<bigint>, key bigint, count bigint"
+    )
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(id, hashes)`` of the wanted ids, and of the few others that share a bit with them."""
+    """``(id, n, digest, body)`` of the wanted ids, and of the few others that share a bit with them."""
     table = bit_table(wanted, slot_of(ID_BITS, "id"), ID_BITS)
     rows = docs.withColumn("slot", slot_of(ID_BITS, "id"))
 
@@ -278,20 +337,38 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets.append(keys.tobytes())
                 size += len(sets[-1])
                 if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids)), pa.array(sets, pa.binary())], names=["id", "hashes"])
+                    yield rows_of(batch, ids, sets)
                     ids, sets, size = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids)), pa.array(sets, pa.binary())], names=["id", "hashes"])
+                yield rows_of(batch, ids, sets)
+
+    def rows_of(batch, ids, sets):
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id").take(pa.array(ids)), pa.array([len(x) // 8 for x in sets], pa.int64()),
+             pa.array([blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array(sets, pa.binary())],
+            names=["id", "n", "digest", "body"],
+        )
 
-    return rows.mapInArrow(run, "id bigint, hashes binary")
+    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, body binary")
 
 
-def _join_blocks(docs: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked_blocks(docs: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` within ``blocks(block, side, id, label)``."""
     blocks = settled(blocks)
-    sets = _sets_of(docs, blocks, shingle)
-    full = blocks.join(sets, "id")
-    return full.groupBy("block").applyInPandas(_block_links(percent), "a bigint, b bigint")
+    return _pairs_of_blocks(blocks.join(_sets_of(docs, blocks, shingle), "id"), percent, exact=True)
+
+
+def _likely_pairs(blocks: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs within ``blocks`` that sizes and signatures let through, as blocks around one of the two."""
+    rows = blocks.join(reps.select("id", "n", "digest", F.col("signature").alias("body")), "id")
+    pairs = settled(_pairs_of_blocks(rows, percent, exact=False).distinct())
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
+    named = pairs.join(sizes, "a").select(
+        "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("rows") / F.lit(BLOCK_DOCS)))).alias("block")
+    )
+    heads = named.select("block", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
+    partners = named.select("block", F.lit(1).alias("side"), F.col("b").alias("id"))
+    return heads.unionByName(partners).withColumn("label", F.col("id"))
 
 
 def _neighbour_blocks(reps: DataFrame) -> DataFrame:
@@ -438,9 +515,9 @@ def jaccard_components(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
     scanned = settled(_scan(rows, shingle))
-    described = scanned.filter("key IS NULL").groupBy("id").agg(F.max(F.struct("n", "digest", "least")).alias("d")).select("id", "d.*")
-    classes = described.filter("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.min("least").alias("least"))
-    reps = settled(classes.select(F.col("rep").alias("id"), "n", "digest", "least"))
+    described = scanned.filter("key IS NULL").groupBy("id").agg(F.max(F.struct("n", "digest", "signature", "least")).alias("d")).select("id", "d.*")
+    classes = described.filter("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("least").alias("least"))
+    reps = settled(classes.select(F.col("rep").alias("id"), "n", "digest", "signature", "least"))
     frequent = (
         scanned.filter("key IS NOT NULL").groupBy("key").agg(F.sum("count").alias("count"))
         .orderBy(F.desc("count"), "key").limit(RANKED_SHINGLES).toPandas()
@@ -449,7 +526,7 @@ def jaccard_components(
     order = np.argsort(keys)
     ranks = keys[order], frequent["count"].to_numpy(dtype=np.int64)[order]
 
-    near = settled(_join_blocks(rows, _neighbour_blocks(reps), shingle, percent))
+    near = settled(_linked_blocks(rows, _neighbour_blocks(reps), shingle, percent))
     connected = components(near)
 
     total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -457,7 +534,7 @@ def jaccard_components(
     packed = _prefix_rows(rows, reps, ranks, shingle, percent, parts)
     shared = packed.repartition(parts, "part").groupBy("part").applyInPandas(_shared_keys, "key bigint, id bigint")
     shared = shared.join(reps.select("id"), "id", "left_semi")
-    far = _join_blocks(rows, _rest_blocks(shared, connected), shingle, percent)
+    far = _linked_blocks(rows, _likely_pairs(_rest_blocks(shared, connected), reps, percent), shingle, percent)
     final = components(near.unionByName(far))
 
     named = described.join(reps.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"], "left")

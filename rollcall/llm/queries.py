@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, exact, jaccard, leaks, mixing, quality, sharding, suffixes, urls
+from . import counts, exact, jaccard, leaks, mixing, quality, scoring, sharding, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,6 +190,12 @@ def op7_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op8_recurrent_scores")
+def op8_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_texts(_table(spark, sf_dir, "documents"), ~held_out(10))
+    return scored.withColumn("held_out", held_out(10))
+
+
 @_query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"), VOCABULARY)

@@ -6,7 +6,10 @@ rows through, which costs time but never changes a result, since an exact join f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,28 @@ def bit_table(rows: DataFrame, slot: Column, bits: int) -> np.ndarray:
     table = np.zeros(bits // 64, dtype=np.int64)
     table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     return table.view(np.uint8)
+
+
+def passed(rows: DataFrame, table: np.ndarray, slot: Column, wanted: bool) -> DataFrame:
+    """The rows whose bit is set (``wanted``), or those whose bit is not; null slots count as not set."""
+    marked = rows.withColumn("__slot", F.coalesce(slot, F.lit(-1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column("__slot").to_numpy()
+            at = np.maximum(slots, 0)
+            hit = (((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) & (slots >= 0)
+            yield batch.filter(pa.array(hit == wanted)).select(batch.schema.names[:-1])
+
+    return marked.mapInArrow(run, rows.schema)
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``keys``; rows with a null key stay.
+
+    Only rows that share a bit with a key are shuffled for the exact join.
+    """
+    keys = keys.select(key).distinct()
+    table = bit_table(keys, slot_of(bits, key), bits)
+    slot = F.when(F.col(key).isNotNull(), slot_of(bits, key))
+    return passed(rows, table, slot, False).unionByName(passed(rows, table, slot, True).join(keys, key, "left_anti").select(rows.columns))

@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.scratch import settled
+
+BROADCAST_SOURCES = 10_000
 _BITS = 52
 _UNSEEN = 2.0 ** -(_BITS + 1)
 
@@ -65,8 +68,10 @@ def source_rates(
     source weighs its input size to the power ``temperature``. ``size`` is what is mixed: rows by
     default. ``epochs`` scales the expected output against the input.
     """
-    sizes = docs.groupBy(F.col(source_column).alias("source")).agg(
-        F.sum(size if size is not None else F.lit(1)).cast("double").alias("input_size")
+    sizes = settled(
+        docs.groupBy(F.col(source_column).alias("source")).agg(
+            F.sum(size if size is not None else F.lit(1)).cast("double").alias("input_size")
+        )
     )
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow("input_size", F.lit(temperature)))
@@ -103,6 +108,9 @@ def poisson_mix(
     steps = rates.select("source", "rate").mapInPandas(
         _with_steps, "source string, rate double, steps array<double>"
     ).select(F.col("source").alias("__source"), F.col("steps").alias("__steps"))
+    if rates.count() <= BROADCAST_SOURCES:
+        # A source's steps take a few hundred bytes at ordinary rates; more sources are joined by shuffling.
+        steps = F.broadcast(steps)
     number = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
     drawn = unit_hash(F.lit(str(seed)), number)
     copies = F.size(F.filter("__steps", lambda s: s <= F.col("__drawn")))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import BYTE_VALUES, VISIBLE, find_words, hash_runs, mixed, powers, slices
 
@@ -140,16 +141,20 @@ def training_sample(
     return [r["text"] or "" for r in got], [r["label"] for r in got]
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (probability of label 1). Null and empty texts get the model's prior."""
+def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score_column``, the probability of label 1.
+
+    Null and empty texts get the model's prior. A column of ``docs`` with the name of the score is replaced.
+    """
+    docs = docs.drop(score_column)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    id_type = docs.schema[id_column].dataType.simpleString()
+    names = [*docs.columns, score_column]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column(text_column)):
                 words, buckets, owners, which, kinds, again = _distinct(part)
                 added = np.bincount(owners, weights=weights[buckets], minlength=kinds)
                 parts = np.bincount(owners, minlength=kinds)
@@ -158,7 +163,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_column: str = "doc_id
                 total = sums[words.rows[1:]] - sums[words.rows[:-1]]
                 n = counts[words.rows[1:]] - counts[words.rows[:-1]]
                 scores[part.first : part.last] = 1.0 / (1.0 + np.exp(-(total / np.maximum(n, 1) + bias)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=names)
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(scored, f"id {id_type}, score double").withColumnRenamed("id", id_column)
+    schema = StructType([*docs.schema.fields, StructField(score_column, DoubleType())])
+    return docs.mapInArrow(scored, schema)

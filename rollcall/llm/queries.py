@@ -71,17 +71,16 @@ def held_out(part: int):
     return F.crc32(F.col("doc_id").cast("string")) % part == 0
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id`` and ``score`` of ``docs``; labels are learned from rows that are not held out."""
-    labels = _table(spark, sf_dir, "labels").filter(~held_out(5))
-    texts, marks = quality.training_sample(_table(spark, sf_dir, "documents"), labels)
-    return quality.score_quality(docs, quality.fit_quality(texts, marks))
+def fitted_quality(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    """Learned from the labels of rows that are not held out."""
+    return quality.fit_quality(*quality.training_sample(docs, labels.filter(~held_out(5))))
 
 
 @_query("op1_subword_quality")
 def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = quality_scores(spark, _table(spark, sf_dir, "documents"), sf_dir)
-    return scores.select(
+    docs = _table(spark, sf_dir, "documents")
+    model = fitted_quality(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
     )
 
@@ -218,3 +217,10 @@ def op10_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     digest = F.sha2(exact.without_spaces(F.col("text")), 256)
     return exact.exact_groups(docs, carry={"text_sha256": digest})
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

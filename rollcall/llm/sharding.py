@@ -178,26 +178,25 @@ def shard_documents(
     0 without gaps. Rows with one id and one text are numbered in any order among themselves. An
     empty table gives an empty result.
     """
-    text = F.col(text_column)
-    digest = F.coalesce(F.md5(text), F.lit("null"))
+    digest = F.coalesce(F.md5(F.col(text_column)), F.lit("null"))
+    count = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    buckets = max(1, -(-count // ROWS_A_BUCKET)) * 4
     rows = docs.select(
         F.col(id_column).alias("__id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"),
+        (F.coalesce(F.octet_length(text_column), F.lit(0)).cast("bigint") + 1).alias("size"),
         F.xxhash64(digest).alias("h1"),
         F.xxhash64(F.lit(1), digest).alias("h2"),
         *[F.col(c).alias(f"__carry_{c}") for c in carry or []],
-    )
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"))
-    sharded = rows.join(group_shards(groups, shards), ["h1", "h2"])
-    count = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    buckets = max(1, -(-count // ROWS_A_BUCKET)) * 4
-    dealt = settled(sharded.withColumn("bucket", F.pmod(F.xxhash64("__id", "h1"), F.lit(buckets)).cast("int")))
+    ).withColumn("bucket", F.pmod(F.xxhash64("__id", "h1"), F.lit(buckets)).cast("int"))
+    narrow = settled(rows.groupBy("h1", "h2", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
+    shard_of = settled(group_shards(narrow.groupBy("h1", "h2").agg(F.sum("size").alias("size")), shards))
+    # Counts per shard and bucket give every bucket its first slot; there are few of them.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows")).select(
+    offsets = narrow.join(shard_of, ["h1", "h2"]).groupBy("shard", "bucket").agg(F.sum("rows").alias("rows")).select(
         "shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")
     )
     within = Window.partitionBy("shard", "bucket").orderBy("__id", "h1", "h2")
-    numbered = dealt.withColumn("nth", F.row_number().over(within) - 1)
+    numbered = rows.join(shard_of, ["h1", "h2"]).withColumn("nth", F.row_number().over(within) - 1)
     return numbered.join(offsets, ["shard", "bucket"]).select(
         F.col("__id").alias(id_column),
         "size", "shard", (F.col("offset") + F.col("nth")).cast("bigint").alias("slot"),

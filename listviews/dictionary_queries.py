@@ -183,20 +183,20 @@ def encode_labels(spark, sf):
 
 @query("encode_labels_join", ENCODED + f"SELECT _row_num, {CODE_SQL} FROM enc")
 def encode_labels_join(spark, sf):
-    """The join form, as used for dictionaries too large for a map in the plan."""
-    return encoded(spark, sf, inline=False).select("_row_num", *CODE_COLUMNS)
+    """The shuffled form, as used for dictionaries too large for a broadcast."""
+    return encoded(spark, sf, broadcast_bytes=0).select("_row_num", *CODE_COLUMNS)
 
 
 @query(
     "encode_large_dictionary",
     with_views("primary_list") + """SELECT p._row_num, lower(p.name) AS owner,
 coalesce(c.code, '未匹配') AS "owner_Code" FROM primary_list p
-LEFT JOIN (SELECT lower(concat('Customer ', cast(c_custkey AS string))) AS k, c_name AS code FROM customer WHERE c_acctbal > 0) c
+LEFT JOIN (SELECT lower(concat('Customer ', cast(c_custkey AS string))) AS k, c_name AS code FROM customer) c
 ON c.k = lower(trim(p.name))""",
 )
 def encode_large_dictionary(spark, sf):
-    """Every customer with a positive balance is one dictionary entry."""
-    customers = table(spark, sf, "customer").filter("c_acctbal > 0").select(
+    """Every customer is one dictionary entry."""
+    customers = table(spark, sf, "customer").select(
         F.lit("owner").alias("dict_id"),
         F.col("c_name").alias("code"),
         F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("label"),
@@ -219,10 +219,15 @@ def encode_missing_dict(spark, sf):
 count(*) FILTER (WHERE {c}_code = '未匹配') AS unmatched, printf('%.1f%%', count(*) FILTER (WHERE {c}_code <> '未匹配') / count(*) * 100) AS match_rate,
 'success' AS status FROM enc"""
         for c in ("status", "priority", "nation")
-    ),
+    )
+    + """
+UNION ALL SELECT 'remark', 'no such dictionary', 0, count(*), '0.0%', 'dict_not_found' FROM enc""",
 )
 def encode_stats(spark, sf):
-    return encode.encode_stats(encoded(spark, sf), DICT_FIELDS)
+    """One of the fields names a dictionary that is not there."""
+    fields = DICT_FIELDS | {"remark": "no such dictionary"}
+    codes = encode.encode_labels(marked_primary(spark, sf), fields, entries(spark, sf))
+    return encode.encode_stats(codes, fields, entries(spark, sf))
 
 
 @query(

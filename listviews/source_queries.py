@@ -181,10 +181,14 @@ def workbook_files(spark, sf):
 
 @query(
     "scan_workbooks",
-    """SELECT concat('orders-', cast(o_orderkey // 1000 AS string), '.xlsx') AS path, o_orderkey % 1000 + 1 AS _row_num,
-cast(o_orderkey AS string) AS o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders""",
+    """WITH files AS (SELECT concat('orders-', cast(o_orderkey // 1000 AS string), '.xlsx') AS path, max(o_orderkey % 1000 + 1) AS last FROM orders GROUP BY 1),
+starts AS (SELECT path, coalesce(sum(last) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files)
+SELECT path, cast(before + o_orderkey % 1000 + 1 AS bigint) AS _row_num,
+cast(o_orderkey AS string) AS o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, o_orderpriority
+FROM orders JOIN starts ON path = concat('orders-', cast(o_orderkey // 1000 AS string), '.xlsx')""",
 )
 def scan_workbooks(spark, sf):
+    """Row numbers go on from workbook to workbook."""
     cells = workbooks.workbook_cells(workbook_files(spark, sf))
     return workbooks.workbook_list(cells, columns=["o_orderkey", "o_orderstatus", "o_orderpriority"], sheet="orders")
 

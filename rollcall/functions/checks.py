@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 # Named format patterns.
 _EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -59,33 +61,77 @@ _DATE = "^(?:" + "|".join(
 ) + r")\z"
 
 
+# Categories that rule patterns and the JVM name alike; other names are scripts.
+_CATEGORIES = re.compile(r"C[cfnos]?|L[lmotu]?|M[cen]?|N[dlo]?|P[cdefios]?|S[ckmo]?|Z[lps]?|Is\w+|In\w+|Alpha|Digit|Alnum|Upper|Lower|Punct|Space")
+_COUNT = re.compile(r"\{\d+(,\d*)?\}")
+_PROPERTY = re.compile(r"([pP])\{(\^?)(\w+)\}")
+
+
 def search_pattern(pattern: str) -> str:
     """A rule pattern in the regex dialect of ``rlike``.
 
-    Rule patterns treat ``\\d``/``\\w``/``\\s`` as Unicode classes and ``$`` as the very end of
-    the text; the JVM needs ``(?U)`` and ``\\z`` for that.
+    Rule patterns treat ``\\d``/``\\w``/``\\s`` as Unicode classes and ``$`` as the very end of the text;
+    the JVM needs ``(?U)`` and ``\\z`` for that. Scripts are named ``\\p{Han}`` and groups ``(?P<n>...)``.
+    A brace that is no count, ``[`` within a class and ``&&`` within a class mean themselves.
     """
-    out, in_class, escaped = [], False, False
-    for ch in pattern.replace("(?P<", "(?<"):
-        if escaped:
-            escaped = False
-        elif ch == "\\":
-            escaped = True
+    out, at, in_class, class_start = [], 0, False, 0
+    while at < len(pattern):
+        ch, rest = pattern[at], pattern[at:]
+        step, piece = 1, ch
+        if ch == "\\":
+            step, piece = 2, rest[:2]
+            named = _PROPERTY.match(rest[1:])
+            if named:
+                kind, negated, name = named.groups()
+                kind = {"p": "P", "P": "p"}[kind] if negated else kind
+                step = 1 + named.end()
+                piece = f"\\{kind}{{{name if _CATEGORIES.fullmatch(name) else 'Is' + name}}}"
+        elif in_class:
+            if ch == "]" and at > class_start:
+                in_class = False
+            elif ch == "[" and rest.startswith("[:") and ":]" in rest:
+                step = rest.index(":]") + 2
+                piece = f"\\p{{{rest[2 : step - 2].capitalize()}}}"
+            elif ch == "[" or ch == "]":
+                piece = "\\" + ch
+            elif rest.startswith("&&"):
+                step, piece = 2, r"\&\&"
         elif ch == "[":
             in_class = True
-        elif ch == "]":
-            in_class = False
-        elif ch == "$" and not in_class:
-            ch = r"\z"
-        out.append(ch)
+            if rest.startswith("[^"):
+                step, piece = 2, "[^"
+            class_start = at + step
+        elif ch == "$":
+            piece = r"\z"
+        elif ch == "{" and not (out and _COUNT.match(rest)):
+            piece = r"\{"
+        elif ch == "{":
+            step = _COUNT.match(rest).end()
+            piece = rest[:step]
+        elif ch == "}":
+            piece = r"\}"
+        elif rest.startswith("(?P<"):
+            step, piece = 4, "(?<"
+        elif rest.startswith("(?P="):
+            end = rest.find(")")
+            step, piece = end + 1, f"\\k<{rest[4:end]}>"
+        out.append(piece)
+        at += step
     return "(?U)" + "".join(out)
 
 
 def is_usable_pattern(pattern: str) -> bool:
-    """False for a pattern that does not compile; such a rule is skipped with a warning."""
+    """False for a pattern that the engine which would run it does not accept.
+
+    The translated pattern is tried on one constant row; such a rule is skipped with a warning. Without
+    a session, where nothing can run, every pattern counts as usable.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.range(1).select(F.lit("").rlike(search_pattern(pattern))).collect()
+    except PySparkException:
         return False
     return True
 

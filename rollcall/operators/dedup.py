@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, fixed, match_key
 from ..labels import DEFAULT_LABELS, Labels
-from .lookup import HOT_KEYS, lookup_join
+from .lookup import lookup_join
 from .rules import is_valid
 
 _FIRST, _SIZE = "__first_row", "__group_size"
@@ -52,15 +52,6 @@ def key_groups(
     )
 
 
-def _heaviest(groups: DataFrame) -> DataFrame:
-    """The exact heaviest keys, at most ``HOT_KEYS``.
-
-    Ordering by both aggregates keeps the plan of ``groups`` unchanged, so its shuffle is done once
-    and reused.
-    """
-    return groups.orderBy(F.desc(_SIZE), _FIRST).limit(HOT_KEYS).select("group_key", F.lit(True))
-
-
 def _mark(
     rows: DataFrame, joined: DataFrame, key: str, labels: Labels, normalize: bool, valid_only: bool
 ) -> DataFrame:
@@ -100,9 +91,7 @@ def dedup_mark(
     if strategy == "join":
         joined = rows.withColumn("group_key", lookup_key).join(groups, "group_key", "left")
     elif strategy == "salted":
-        joined = lookup_join(
-            rows, groups, lookup_key, "group_key", col(labels.row_num), hot=_heaviest(groups)
-        )
+        joined = lookup_join(rows, groups, lookup_key, "group_key", col(labels.row_num), key_rows=_SIZE)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
     return _mark(rows, joined, key, labels, normalize, valid_only)
@@ -149,7 +138,7 @@ def duplicate_groups(
     )
     joined = lookup_join(
         rows.select(col(labels.row_num), col(key)), groups, key_text, "group_key",
-        col(labels.row_num), hot=_heaviest(groups),
+        col(labels.row_num), key_rows=_SIZE,
     )
     return joined.filter(F.col(_SIZE).isNotNull()).select(
         col(labels.row_num),

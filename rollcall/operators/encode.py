@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -10,16 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, match_key, percent_text, sql_name, sql_text
 from ..labels import DEFAULT_LABELS, Labels
+from ..scratch import settled
 from .dictionary import forward_map, reverse_map
-from .lookup import lookup_join
+from .lookup import SMALL_BYTES, lookup_join, table_bytes
 from .match import _row_id
 from .rules import FieldSpec, is_valid
 
-# A dictionary up to this size is carried inside the plan as a map; map access is a linear scan,
-# so larger ones are joined (hash lookup) instead.
-INLINE_ENTRIES = 256
-# A dictionary counted to be no larger than this is broadcast; a larger one is joined by shuffle.
-BROADCAST_ENTRIES = 200_000
+#: All fields' dictionaries together may take so many bytes in broadcasts.
+ALL_BROADCASTS = 4 * SMALL_BYTES
 
 DICT_NOT_FOUND = "DICT_NOT_FOUND"
 
@@ -29,41 +26,6 @@ def encoded_fields(spec: FieldSpec, columns: list[str]) -> dict[str, str]:
     return {f.name: f.dict_id for f in spec.fields if f.dict_id and f.name in columns}
 
 
-def _sizes(wanted: DataFrame) -> dict[str, int]:
-    return {
-        r["dict_id"]: r["n"]
-        for r in wanted.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-
-
-def _prepare(
-    table: DataFrame, key: str, value: str, ids: list[str], inline: bool
-) -> dict[str, Column | int]:
-    """Per known dictionary id a map literal if it is small, else its number of entries.
-
-    The driver never receives more than ``INLINE_ENTRIES`` rows per id (plus one): if the wanted
-    dictionaries hold more in total, sizes are counted on the cluster and only the small
-    dictionaries are fetched.
-    """
-    wanted = table.filter(F.col("dict_id").isin(ids)).select("dict_id", key, value)
-    if not inline:
-        return dict(_sizes(wanted))
-    bound = INLINE_ENTRIES * len(ids)
-    fetched = wanted.limit(bound + 1).collect()
-    known: dict[str, Column | int] = {}
-    if len(fetched) > bound:
-        known.update(_sizes(wanted))
-        small = [i for i, n in known.items() if n <= INLINE_ENTRIES]
-        fetched = wanted.filter(F.col("dict_id").isin(small)).collect() if small else []
-    entries: dict[str, dict[str, str]] = {}
-    for r in fetched:
-        entries.setdefault(r["dict_id"], {})[r[key]] = r[value]
-    for i, pairs in entries.items():
-        literal = F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), "map<string,string>")
-        known[i] = literal if len(pairs) <= INLINE_ENTRIES else len(pairs)
-    return known
-
-
 def _translate(
     rows: DataFrame,
     fields: Mapping[str, str],
@@ -74,29 +36,30 @@ def _translate(
     targets: Mapping[str, str],
     default: Column,
     labels: Labels,
-    inline: bool,
+    broadcast_bytes: int,
 ) -> DataFrame:
-    """Adds one translated column per field, each right after its source column."""
-    known = _prepare(table, key, value, sorted(set(fields.values())), inline)
+    """Adds one translated column per field, each right after its source column.
+
+    The wanted dictionaries are written and measured in one job. Every field is one lookup join; the
+    fields share ``broadcast_bytes``, and a dictionary that no longer fits is joined by shuffling.
+    """
+    wanted = settled(table.filter(F.col("dict_id").isin(sorted(set(fields.values())))).select("dict_id", key, value))
+    sizes = {r["dict_id"]: r["bytes"] for r in wanted.groupBy("dict_id").agg(table_bytes(wanted).alias("bytes")).collect()}
     translated: dict[str, Column] = {}
     joined = rows
     row_id = _row_id(rows, labels)
     for pos, (name, dict_id) in enumerate(fields.items()):
-        found = known.get(dict_id)
-        if found is None:
+        if dict_id not in sizes:
             translated[name] = default
-        elif isinstance(found, Column):
-            translated[name] = F.coalesce(F.try_element_at(found, normal[name]), default)
+            continue
+        hit, entry = f"__hit_{pos}", f"__entry_{pos}"
+        entries = wanted.filter(F.col("dict_id") == dict_id).select(F.col(key).alias(entry), F.col(value).alias(hit))
+        if sizes[dict_id] <= broadcast_bytes:
+            broadcast_bytes -= sizes[dict_id]
+            joined = joined.join(F.broadcast(entries), normal[name] == F.col(entry), "left").drop(entry)
         else:
-            hit = f"__hit_{pos}"
-            entries = table.filter(F.col("dict_id") == dict_id).select(
-                F.col(key).alias("__entry_key"), F.col(value).alias(hit)
-            )
-            if found <= BROADCAST_ENTRIES:
-                joined = joined.join(F.broadcast(entries), normal[name] == F.col("__entry_key"), "left").drop("__entry_key")
-            else:
-                joined = lookup_join(joined, entries, normal[name], "__entry_key", row_id)
-            translated[name] = F.coalesce(F.col(hit), default)
+            joined = lookup_join(joined, entries, normal[name], entry, row_id, small_bytes=0)
+        translated[name] = F.coalesce(F.col(hit), default)
     out = []
     for name in rows.columns:
         out.append(col(name))
@@ -110,7 +73,7 @@ def encode_labels(
     fields: Mapping[str, str],
     dictionary: DataFrame,
     labels: Labels = DEFAULT_LABELS,
-    inline: bool = True,
+    broadcast_bytes: int = ALL_BROADCASTS,
 ) -> DataFrame:
     """Adds ``<field>_Code`` per field by label (trimmed, lower-cased); unmatched text otherwise.
 
@@ -127,7 +90,7 @@ def encode_labels(
         {name: name + labels.code_suffix for name in fields},
         F.lit(labels.unmatched),
         labels,
-        inline,
+        broadcast_bytes,
     )
 
 
@@ -137,7 +100,7 @@ def decode_codes(
     dictionary: DataFrame,
     targets: Mapping[str, str],
     labels: Labels = DEFAULT_LABELS,
-    inline: bool = True,
+    broadcast_bytes: int = ALL_BROADCASTS,
 ) -> DataFrame:
     """Adds the label of each code column (null where the code is unknown)."""
     return _translate(
@@ -150,17 +113,20 @@ def decode_codes(
         targets,
         F.lit(None).cast("string"),
         labels,
-        inline,
+        broadcast_bytes,
     )
 
 
 def encode_stats(
     encoded: DataFrame,
     fields: Mapping[str, str],
-    known_ids: set[str] | None = None,
+    dictionary: DataFrame,
     labels: Labels = DEFAULT_LABELS,
 ) -> DataFrame:
-    """Matched and unmatched rows and match rate per encoded field; one pass over the list."""
+    """Matched and unmatched rows and match rate per encoded field; one pass over the list.
+
+    The status says whether ``dictionary`` has any entry of the field's dictionary.
+    """
     names = list(fields)
     counts = encoded.agg(
         F.count(F.lit(1)).alias("n"),
@@ -169,7 +135,8 @@ def encode_stats(
             for pos, name in enumerate(names)
         ],
     )
-    known = set(fields.values()) if known_ids is None else known_ids
+    wanted = dictionary.filter(F.col("dict_id").isin(sorted(set(fields.values()))))
+    known = {r["dict_id"] for r in wanted.select("dict_id").distinct().collect()}  # one row per field at most
     per_field = F.array(
         *[
             F.struct(

@@ -1,17 +1,16 @@
 """Left join to a table with one row per key that stays balanced under hot keys.
 
-A list may carry one value in a third of its rows, and null or blank keys may be just as
-frequent. A plain shuffle join would send each such group to one task. Here
-
-* rows without a key are spread over all tasks (they cannot match anything);
-* the heaviest keys are found with a mergeable top-k sketch: one column-pruned pass, constant
-  memory per task, at most ``hot`` keys, so the broadcast of them is bounded by a constant;
-* rows of a hot key are salted by their row id (a deterministic salt: a recomputed task
-  produces the same rows), and only the matching table rows are replicated per salt.
-
-Whether a key is treated as hot never changes the result, only where its rows are processed.
-The join itself carries no hint: a table that is small enough at run time is broadcast by
-the adaptive planner, a large one is shuffled.
+A list may carry one value in a third of its rows, and null or blank keys may be just as frequent. A
+plain shuffle join would send each such group to one task. The table is written and measured first:
+
+* a table of at most ``SMALL_BYTES`` is broadcast, and the list is not shuffled at all;
+* beyond that, a key with more rows than a task should take is salted. The number of its salts is its row
+  count by that target, so it grows with the list and no key is left out; only its table row is
+  replicated. Row counts are exact: from the table, if it was made by grouping the list, else from
+  one aggregate with map-side combine;
+* rows without a key match nothing and are spread by their row id.
+
+How a key is treated never changes the result, only where its rows are processed.
 """
 
 from __future__ import annotations
@@ -19,23 +18,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 64
-SALTS = 32
-_TRACKED = 4096
+from ..scratch import settled
 
-_KEY, _SALT, _HOT = "__lookup_key", "__lookup_salt", "__lookup_hot"
+SMALL_BYTES = 8 << 20
+TARGET_ROWS = 500_000
+#: Keys that hold more than this part of all hot rows are fewer than this number: the bound of what is broadcast.
+MOST_HOT = 100_000
+_ROW_BYTES = 32
 
+_KEY, _SALT, _SALTS = "__lookup_key", "__lookup_salt", "__lookup_salts"
+
+
+def table_bytes(table: DataFrame) -> Column:
+    """Aggregate: about how many bytes the rows of ``table`` take in memory."""
+    texts = [c for c, kind in table.dtypes if kind == "string"]
+    width = F.lit(_ROW_BYTES + 8 * len(table.columns))
+    for name in texts:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    return F.coalesce(F.sum(width.cast("bigint")), F.lit(0).cast("bigint"))
 
-def heaviest_keys(rows: DataFrame, key: Column, limit: int = HOT_KEYS) -> DataFrame:
-    """At most ``limit`` keys that hold the most rows (approximate, one pass, no key shuffle)."""
-    top = F.call_function("approx_top_k", F.col(_KEY), F.lit(limit), F.lit(_TRACKED))
-    return (
-        rows.select(key.alias(_KEY))
-        .filter(F.col(_KEY).isNotNull())
-        .agg(top.alias("t"))
-        .select(F.explode("t").alias("t"))
-        .select(F.col("t.item").alias(_KEY), F.lit(True).alias(_HOT))
-    )
+
+def hot_keys(counts: DataFrame, key: str, rows: str, target: int = TARGET_ROWS) -> DataFrame:
+    """Keys with more than ``target`` rows and their number of salts.
+
+    There are at most ``MOST_HOT``: where the list is so large that more keys exceed the target, the
+    target grows.
+    """
+    hot = settled(counts.filter(F.col(rows) > target).select(F.col(key).alias(_KEY), F.col(rows).alias("n")))
+    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).first()
+    if found["keys"] > MOST_HOT:
+        target = max(target, found["n"] // MOST_HOT)
+    return hot.filter(F.col("n") > target).select(_KEY, F.ceil(F.col("n") / F.lit(target)).cast("int").alias(_SALTS))
 
 
 def lookup_join(
@@ -44,36 +57,40 @@ def lookup_join(
     key: Column,
     table_key: str,
     row_id: Column,
-    hot: DataFrame | None = None,
-    salts: int = SALTS,
+    key_rows: str | None = None,
+    small_bytes: int | None = None,
+    target: int | None = None,
 ) -> DataFrame:
     """``rows`` with the non-key columns of ``table``; null where ``key`` has no match.
 
-    ``table`` must hold one row per ``table_key``. ``hot`` may be given when the heavy keys are
-    already known (columns: key, true); it must be small by construction.
+    ``table`` must hold one row per ``table_key``; ``key_rows`` names its column with the number of list
+    rows of the key, if it has one. ``row_id`` spreads the rows of a hot key and should differ between them.
+    On a stream, whose keys cannot be counted, a large table is joined without salts.
     """
-    if hot is None:
-        hot = heaviest_keys(rows, key)
-    hot = F.broadcast(hot.toDF(_KEY, _HOT))
-    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-
-    keyed = (
-        rows.withColumn(_KEY, key)
-        .join(hot, _KEY, "left")
+    small_bytes = SMALL_BYTES if small_bytes is None else small_bytes
+    target = TARGET_ROWS if target is None else target
+    table = settled(table.withColumnRenamed(table_key, _KEY).filter(F.col(_KEY).isNotNull()))
+    keyed = rows.withColumn(_KEY, key)
+    if table.agg(table_bytes(table)).first()[0] <= small_bytes:
+        return keyed.join(F.broadcast(table), _KEY, "left").drop(_KEY)
+    if rows.isStreaming:
+        return keyed.join(table, _KEY, "left").drop(_KEY)
+    if key_rows:
+        counts, count = table, key_rows
+    else:
+        counts, count = rows.groupBy(key.alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).filter(F.col(_KEY).isNotNull()), "n"
+    hot = F.broadcast(hot_keys(counts, _KEY, count, target))
+    spread = F.xxhash64(row_id)
+    salted = (
+        keyed.join(hot, _KEY, "left")
         .withColumn(
             _SALT,
-            F.when(F.col(_KEY).isNull(), F.pmod(F.xxhash64(row_id), F.lit(1 << 20)).cast("int"))
-            .when(F.col(_HOT), spread)
-            .otherwise(F.lit(0)),
+            F.when(F.col(_KEY).isNull(), spread)
+            .when(F.col(_SALTS).isNotNull(), F.pmod(spread, F.col(_SALTS).cast("bigint")))
+            .otherwise(F.lit(0).cast("bigint")),
         )
-        .drop(_HOT)
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    replicated = (
-        table.withColumnRenamed(table_key, _KEY)
-        .filter(F.col(_KEY).isNotNull())
-        .join(hot, _KEY, "left")
-        .withColumn(_SALT, F.explode(F.when(F.col(_HOT), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop(_HOT)
+        .drop(_SALTS)
     )
-    return keyed.join(replicated, [_KEY, _SALT], "left").drop(_KEY, _SALT)
+    every_salt = F.sequence(F.lit(0).cast("bigint"), F.coalesce(_SALTS, F.lit(1)).cast("bigint") - 1)
+    replicated = table.join(hot, _KEY, "left").withColumn(_SALT, F.explode(every_salt)).drop(_SALTS)
+    return salted.join(replicated, [_KEY, _SALT], "left").drop(_KEY, _SALT)

@@ -51,10 +51,13 @@ def flag_membership(
 
 
 def _row_id(rows: DataFrame, labels: Labels) -> Column:
-    """What spreads a hot key's rows: the row number, or the whole row where there is none."""
+    """What spreads a hot key's rows: the row number, or the row's place in its scan where there is none.
+
+    Never a hash of the row: equal rows would stay together.
+    """
     if labels.row_num in rows.columns:
         return col(labels.row_num)
-    return F.xxhash64(*[col(name) for name in rows.columns])
+    return F.monotonically_increasing_id()
 
 
 def flag_partner(

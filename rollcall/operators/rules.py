@@ -56,7 +56,7 @@ class FieldRule:
         """0 = no limit; text that is not a number sets no limit either."""
         try:
             return max(int(float(self.max_length or 0)), 0)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):
             return 0
 
     @property
@@ -164,12 +164,8 @@ def compile_checks(
         found.append(Check(2, rule.name, LENGTH_EXCEED, too_long, shown, detail))
 
     for rule in here:
-        label = rule.pattern_label
-        if label is None:
-            continue
-        pattern = checks.NAMED_PATTERNS.get(label.lower(), label)
-        if not checks.is_usable_pattern(pattern):
-            log.warning("pattern of field %s does not compile and is skipped: %s", rule.name, pattern)
+        label, pattern = rule.pattern_label, usable_pattern(rule)
+        if pattern is None:
             continue
         shown = f"left(cast({sql_name(rule.name)} as string), {SHOWN_CHARS})"
         fails = _mismatch(rule.name, checks.search_pattern(pattern))
@@ -177,6 +173,19 @@ def compile_checks(
     return found
 
 
+def usable_pattern(rule: FieldRule) -> str | None:
+    """The rule's pattern; None if it has none, or one that does not compile and is skipped."""
+    if rule.pattern_label is None:
+        return None
+    named = checks.NAMED_PATTERNS.get(rule.pattern_label.lower())
+    if named:
+        return named
+    if checks.is_usable_pattern(rule.pattern_label):
+        return rule.pattern_label
+    log.warning("pattern of field %s does not compile and is skipped: %s", rule.name, rule.pattern_label)
+    return None
+
+
 def with_trimmed(rows: DataFrame, spec: FieldSpec) -> DataFrame:
     """``rows`` plus one trimmed text column per checked field, in one projection."""
     present = set(rows.columns)
@@ -315,8 +324,8 @@ def verdict_reasons(spec: FieldSpec) -> list[tuple[str, Column]]:
         text = F.coalesce(utrim(rule.name), F.lit(""))
         if rule.is_required:
             reasons.append((f"{rule.name}必填为空", text == ""))
-        if rule.pattern_label:
-            pattern = checks.NAMED_PATTERNS.get(rule.pattern_label.lower(), rule.pattern_label)
+        pattern = usable_pattern(rule)
+        if pattern:
             failed = (text != "") & ~text.rlike(checks.search_pattern(pattern))
             reasons.append((f"{rule.name}格式校验失败", failed))
     return reasons

@@ -15,10 +15,10 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import EmptyInputError, InputError
+from ..errors import EmptyInputError
 from ..functions.text import col
 from ..labels import DEFAULT_LABELS, Labels
 from ..schemas import CELL_SCHEMA
@@ -53,7 +53,13 @@ def _shared_texts(book: zipfile.ZipFile) -> list[str]:
     root = _part(book, "sharedStrings.xml")
     if root is None:
         return []
-    return ["".join(t.text or "" for t in item.iter(_MAIN + "t")) for item in root.iter(_MAIN + "si")]
+    return [_rich_text(item) for item in root.iter(_MAIN + "si")]
+
+
+def _rich_text(item) -> str:
+    """Plain text or text runs; reading aids beside them are no part of the text."""
+    own = item.findall(_MAIN + "t") + item.findall(f"{_MAIN}r/{_MAIN}t")
+    return "".join(t.text or "" for t in own)
 
 
 def _date_styles(book: zipfile.ZipFile) -> set[str]:
@@ -82,7 +88,8 @@ def _column_index(reference: str) -> int:
 def _cell_text(cell, shared: list[str], date_styles: set[str]) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(_MAIN + "t"))
+        inline = cell.find(_MAIN + "is")
+        return "" if inline is None else _rich_text(inline)
     value = cell.findtext(_MAIN + "v")
     if value is None or kind == "e":
         return None
@@ -157,21 +164,39 @@ def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
 def workbook_list(
     cells: DataFrame, columns: list[str] | None = None, sheet: str | None = None, labels: Labels = DEFAULT_LABELS
 ) -> DataFrame:
-    """One sheet per workbook as a list: named text columns, ``path`` and row number per workbook.
+    """One sheet per workbook as a list: named text columns, ``path`` and row numbers.
 
-    The workbooks share one header row; it is read from the first of them unless ``columns`` is
-    given. Row 1 of the sheet is the header, so data row numbers start at 1.
+    Row 1 of every sheet is its header. Without ``columns`` each workbook's cells are placed by its own
+    header, so workbooks may order their columns differently; the list has every name that occurs,
+    in the order of first occurrence. Cells under a blank header are left out. Row numbers are dense
+    over the fleet, in the order of paths, so that a number names one row.
     """
     chosen = pick_sheet(cells, sheet)
     if columns is None:
-        header = chosen.filter("row_idx = 1").orderBy("path").select("cells").first()
-        if header is None:
+        headers = _distinct_headers(chosen)
+        columns = list(dict.fromkeys(name for header in headers for name in header if name))
+        if not columns:
             raise EmptyInputError("文件为空")
-        columns = [name for name in header["cells"] if name]
-        if len(columns) != len(header["cells"]):
-            raise InputError("header row has blank cells", code="HEADER")
-    return chosen.filter("row_idx > 1").select(
-        *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(columns)],
+        own = chosen.filter("row_idx = 1").select("path", F.col("cells").alias("__header"))
+        # The header of a workbook is one short row; its place map is worked out once per workbook.
+        places = own.select("path", *[F.array_position("__header", name).cast("int").alias(f"__at_{i}") for i, name in enumerate(columns)])
+        body = chosen.filter("row_idx > 1").join(places, "path")
+        values = [F.get("cells", F.nullif(F.col(f"__at_{i}"), F.lit(0)) - 1).alias(name) for i, name in enumerate(columns)]
+    else:
+        body = chosen.filter("row_idx > 1")
+        values = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(columns)]
+    last = chosen.groupBy("path").agg(F.max("row_idx").alias("last"))
+    # One row per workbook: the only place where everything meets.
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.select(F.col("path"), F.coalesce(F.sum(F.col("last") - 1).over(earlier), F.lit(0)).alias("__start"))
+    return body.join(starts, "path").select(
+        *values,
         col("path"),
-        (F.col("row_idx") - 1).alias(labels.row_num),
+        (F.col("__start") + F.col("row_idx") - 1).alias(labels.row_num),
     )
+
+
+def _distinct_headers(chosen: DataFrame) -> list[list[str]]:
+    """The different header rows, by first path: as many as there are layouts, not workbooks."""
+    rows = chosen.filter("row_idx = 1").groupBy("cells").agg(F.min("path").alias("path")).orderBy("path").collect()
+    return [[name for name in r["cells"] if name] for r in rows]

@@ -1,8 +1,8 @@
 """The row-local stages on an arriving list.
 
 Field rules, encoding and the dictionary check look at one row at a time and keep no state, so the
-batch operators apply to a streaming DataFrame as they are. Dictionaries are inlined, which keeps
-the stream free of joins.
+batch operators apply to a streaming DataFrame as they are. Dictionaries are static: every batch of
+the stream is joined with them.
 """
 
 from __future__ import annotations

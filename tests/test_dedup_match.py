@@ -3,8 +3,8 @@ from helpers import one_column, plan_text, values
 from pyspark.sql import functions as F
 
 from rollcall.labels import DEFAULT_LABELS as L
-from rollcall.operators import dedup, keys, match
-from rollcall.operators.lookup import heaviest_keys, lookup_join
+from rollcall.operators import lookup, dedup, keys, match
+from rollcall.operators.lookup import hot_keys, lookup_join
 
 
 def keyed(spark, cells, **extra):
@@ -49,8 +49,10 @@ def skewed(spark, n=30_000):
 
 
 @pytest.fixture
-def no_broadcast(spark):
-    """Forces the shuffle form of the joins."""
+def no_broadcast(spark, monkeypatch):
+    """Forces the shuffled and salted form of the joins."""
+    monkeypatch.setattr(lookup, "SMALL_BYTES", -1)
+    monkeypatch.setattr(lookup, "TARGET_ROWS", 300)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -83,7 +85,7 @@ def test_hot_key_is_spread(spark, no_broadcast):
     table = match.key_set(rows, "email").withColumn("hit", F.lit(True))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = lookup_join(rows, table, F.lower("email"), "match_key", F.col("_row_num"))
+        joined = lookup_join(rows, table, F.lower("email"), "match_key", F.col("_row_num"), small_bytes=0, target=1_000)
         sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -91,9 +93,26 @@ def test_hot_key_is_spread(spark, no_broadcast):
     assert joined.filter("hit").count() == 40_000
 
 
-def test_heaviest_keys_are_few_and_include_the_hot_one(spark):
-    found = [r[0] for r in heaviest_keys(skewed(spark), F.col("email")).collect()]
-    assert "hot@x.cn" in found and len(found) <= 64
+def test_salts_grow_with_the_rows_of_a_key_and_no_key_is_left_out(spark):
+    counts = spark.createDataFrame([(f"k{i}", 50 + i) for i in range(200)] + [("hot", 10_000), ("cold", 5)], "k string, n long")
+    salts = {r[0]: r[1] for r in hot_keys(counts, "k", "n", target=50).collect()}
+    assert salts["hot"] == 200 and "cold" not in salts and len(salts) == 200
+    assert {r[1] for r in hot_keys(counts, "k", "n", target=5_000).collect()} == {2}
+
+
+def test_many_hot_keys_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "MOST_HOT", 10)
+    counts = spark.createDataFrame([(f"k{i}", 50 + i) for i in range(200)] + [("hot", 10_000)], "k string, n long")
+    found = {r[0] for r in hot_keys(counts, "k", "n", target=20).collect()}
+    assert "hot" in found and len(found) <= 10
+
+
+@pytest.mark.parametrize("small", [0, None])
+def test_equal_rows_without_numbers_keep_their_count(spark, small):
+    rows = spark.createDataFrame([("a", 1)] * 300 + [("b", 1), (None, 1)], "email string, v int")
+    table = spark.createDataFrame([("a", True)], "match_key string, hit boolean")
+    joined = lookup_join(rows, table, F.col("email"), "match_key", F.monotonically_increasing_id(), small_bytes=small, target=20)
+    assert joined.groupBy("email", "hit").count().orderBy("email").collect() == [(None, None, 1), ("a", True, 300), ("b", None, 1)]
 
 
 def test_lookup_without_any_key(spark):
@@ -125,15 +144,11 @@ def test_plans_have_no_single_task_and_no_cross_join(spark, no_broadcast):
     assert "SinglePartition" not in plain
 
 
-def test_groups_are_shuffled_once(spark, no_broadcast, folder):
-    """On a stored list the groups feed the hot keys and the lookup from one exchange."""
+def test_a_small_group_table_leaves_the_list_unshuffled(spark, folder):
+    """Groups are made and measured once; the list itself is then neither shuffled nor sorted."""
     skewed(spark).write.parquet(folder + "/list")
-    marked = dedup.dedup_mark(spark.read.parquet(folder + "/list"), "email")
-    marked.collect()
-    final = plan_text(marked).split("Initial Plan")[0]
-    # Adaptive plans print a reused stage again; the groups are computed once if their shuffle is reused.
-    reused = [line for line in final.splitlines() if "ReusedExchange" in line]
-    assert any("hashpartitioning" in line for line in reused)
+    text = plan_text(dedup.dedup_mark(spark.read.parquet(folder + "/list"), "email"))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text and "Aggregate" not in text
 
 
 def test_flags(spark):

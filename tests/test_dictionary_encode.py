@@ -43,33 +43,32 @@ def test_code_operators(spark, dictionary):
     assert values(d.dictionary_sizes(dictionary)) == [("A1", 4, 3), ("B2", 1, 1)]
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_encode(spark, dictionary, inline):
+@pytest.mark.parametrize("bytes_", [encode.ALL_BROADCASTS, 0])
+def test_encode(spark, dictionary, bytes_):
     rows = coded(spark, [" NEW york", "PARIS", "blank", "", None, "Lyon", "none"]).withColumn("w", F.lit("x"))
     fields = {"v": "A1", "w": "missing"}
-    got = encode.encode_labels(rows, fields, dictionary, inline=inline)
+    got = encode.encode_labels(rows, fields, dictionary, broadcast_bytes=bytes_)
     assert got.columns == ["_row_num", "v", "v_Code", "w", "w_Code"]
     assert one_column(got, "v_Code") == ["01", "03", "未匹配", "未匹配", "未匹配", "02", "未匹配"]
     assert set(one_column(got, "w_Code")) == {"未匹配"}
-    stats = encode.encode_stats(got, fields, known_ids={"A1"})
+    stats = encode.encode_stats(got, fields, dictionary)
     assert values(stats) == [("v", "A1", 3, 4, "42.9%", "success"), ("w", "missing", 0, 7, "0.0%", "dict_not_found")]
 
 
-def test_inline_and_join_agree_around_the_limit(spark, monkeypatch):
-    monkeypatch.setattr(encode, "INLINE_ENTRIES", 3)
+def test_broadcast_and_shuffle_agree_around_the_limit(spark):
     entries = spark.createDataFrame(
         [("small", str(i), f"l{i}", i) for i in range(3)] + [("large", str(i), f"l{i}", i) for i in range(9)],
         "dict_id string, code string, label string, ord int",
     )
     rows = spark.range(12).select((F.col("id") + 1).alias("_row_num"), F.concat(F.lit("L"), "id").alias("a"), F.concat(F.lit("l"), "id").alias("b"))
-    got = encode.encode_labels(rows, {"a": "small", "b": "large"}, d.dictionary_table(entries))
+    got = encode.encode_labels(rows, {"a": "small", "b": "large"}, d.dictionary_table(entries), broadcast_bytes=300)
     assert one_column(got, "a_Code") == ["0", "1", "2"] + ["未匹配"] * 9
     assert one_column(got, "b_Code") == [str(i) for i in range(9)] + ["未匹配"] * 3
 
 
-def test_inline_encoding_has_no_join(spark, dictionary):
+def test_small_dictionaries_do_not_shuffle_the_list(spark, dictionary):
     text = plan_text(encode.encode_labels(coded(spark, ["a"]), {"v": "A1"}, dictionary))
-    assert "Join" not in text and "Exchange" not in text and "Python" not in text
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text and "Python" not in text
 
 
 def test_decode(spark, dictionary):

@@ -344,7 +344,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     whole = placed.filter("copy").select("rid", "n").distinct().select(
         "rid", F.lit(None).cast("binary").alias("spans"), "n"
     )
-    return texts, merged.withColumn("n", F.lit(None).cast("bigint")).unionByName(whole)
+    # The bitmap may have let some whole copies through to the pieces.
+    partly = merged.join(whole.select("rid"), "rid", "left_anti").withColumn("n", F.lit(None).cast("bigint"))
+    return texts, partly.unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -74,10 +74,16 @@ def _groups(rows):
 def test_jaccard_matches_brute_force(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 6)  # Chunks and pairs of chunks on a small table.
     monkeypatch.setattr(jaccard, "LEAF_DOCS", 2)
+    monkeypatch.setattr(jaccard, "ID_BITS", 64)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
     assert got == _groups(_plain(docs))
 
 
+def test_packed_sets_come_back():
+    hashes = np.sort(np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64))
+    assert jaccard.unpacked_set(jaccard.packed_set(hashes)).tolist() == sorted(int(h) % 2**40 for h in hashes)
+
+
 def test_jaccard_empty(docs):
     assert jaccard.jaccard_components(docs.limit(0)).collect() == []
 
@@ -166,9 +172,10 @@ def _repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT_PIECES, 3])
-def test_repeats_match_brute_force(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot,bits", [(suffixes.HOT_PIECES, suffixes.ROW_BITS), (3, 64)])
+def test_repeats_match_brute_force(docs, monkeypatch, hot, bits):
     monkeypatch.setattr(suffixes, "HOT_PIECES", hot)
+    monkeypatch.setattr(suffixes, "ROW_BITS", bits)  # So few bits that rows share them.
     rows = [(r["doc_id"], r["text"] or "") for r in docs.filter("n_chars IS NULL OR n_chars <> 1").collect()]
     got = suffixes.remove_repeats(docs.filter("n_chars IS NULL OR n_chars <> 1")).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == _repeats(rows)

@@ -26,7 +26,7 @@ Pairs that remain are compared exactly, hash by hash.
 Links found in both rounds give the components. A pair of sets that is already connected through others
 is not compared, so groups of thousands of copies do not grow quadratically.
 
-Shingle hashes have 64 bits. Frequent-shingle ranks and the bitmap of ids that limits the second reading
+Shingle hashes have 64 bits, of which 40 travel. Frequent-shingle ranks and the bitmap of ids that limits the second reading
 of texts have fixed sizes and influence cost only.
 """
 
@@ -53,6 +53,8 @@ PERCENT = 75
 PERMUTATIONS = 4
 BLOCK_DOCS = 192
 LEAF_DOCS = 8
+SMALL_GROUP = 8
+EXAMINED_GROUP = 200
 BITS_A_SHINGLE = 4
 RANKED_SHINGLES = 1 << 17
 FREQUENT_IN_TASK = 4
@@ -80,6 +82,19 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int
                 yield part.first + r, np.zeros(0, dtype=_U)
 
 
+def packed_set(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of every hash: what travels of a set. Two sets of 500 shingles then take two different
+    shingles for one about once in four million pairs."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked_set(body: bytes) -> np.ndarray:
+    """Sorted 40-bit hashes."""
+    wide = np.zeros((len(body) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(body, dtype=np.uint8).reshape(-1, 5)
+    return np.sort(wide.view(_U).ravel())
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
     if not len(a) or not len(b):
@@ -212,13 +227,13 @@ def _block_pairs(rows: list[tuple], percent: int, exact: bool) -> list[tuple[int
         own = [r for r in rows if r[0] == side]
         if not own:
             continue
-        sets = [np.frombuffer(r[4], dtype=_U) for r in own] if exact else None
+        sets = [unpacked_set(r[4]) for r in own] if exact else None
         bitmaps = [signature(x) for x in sets] if exact else [r[4] for r in own]
         labels = np.array([r[2] for r in own])
         _, which, members = np.unique(labels, return_inverse=True, return_counts=True)
         # What is connected already stands together, everything else by its first bits or hashes.
         group = np.where(members[which] > 1, which, -1)
-        order = sorted(range(len(own)), key=lambda i: (group[i], own[i][4][:24], own[i][1]))
+        order = sorted(range(len(own)), key=lambda i: (group[i], sets[i][:3].tolist() if exact else own[i][4][:24], own[i][1]))
         sides.append(([own[i][1] for i in order], [bitmaps[i] for i in order], np.array([own[i][3] for i in order]), labels[order], [sets[i] for i in order] if exact else None))
     if not sides:
         return []
@@ -334,7 +349,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             ids, sets, size = [], [], 0
             for row, keys in shingle_sets(batch.column("text"), shingle):
                 ids.append(row)
-                sets.append(keys.tobytes())
+                sets.append(packed_set(keys))
                 size += len(sets[-1])
                 if size > 1 << 23:
                     yield rows_of(batch, ids, sets)
@@ -344,8 +359,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def rows_of(batch, ids, sets):
         return pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(ids)), pa.array([len(x) // 8 for x in sets], pa.int64()),
-             pa.array([blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array(sets, pa.binary())],
+            [batch.column("id").take(pa.array(ids)), pa.array([len(x) // 5 for x in sets], pa.int64()),
+             pa.array([blake2b(x, digest_size=16).digest() for x in sets], pa.binary()),
+             pa.array(sets, pa.binary())],
             names=["id", "n", "digest", "body"],
         )
 
@@ -358,17 +374,69 @@ def _linked_blocks(docs: DataFrame, blocks: DataFrame, shingle: int, percent: in
     return _pairs_of_blocks(blocks.join(_sets_of(docs, blocks, shingle), "id"), percent, exact=True)
 
 
-def _likely_pairs(blocks: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs within ``blocks`` that sizes and signatures let through, as blocks around one of the two."""
+def _chunk_pairs(rows: DataFrame) -> DataFrame:
+    """``rows(key, id, label)``: pairs of chunks of every key that hold two labels, as blocks.
+
+    Chunks have a bounded size: labels are dealt to as many homes as the key needs, and a home with too
+    many rows is divided again. So a label is mostly whole in one chunk, and pairs of chunks with one label
+    need no block.
+    """
+    totals = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    homed = rows.join(totals.filter("low < high"), "key").select(
+        "key", "id", "label", F.pmod(F.xxhash64("label"), F.ceil(F.col("rows") / F.lit(BLOCK_DOCS))).cast("int").alias("home")
+    )
+    homes = homed.groupBy("key", "home").agg(F.count(F.lit(1)).alias("in_home"))
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("in_home") / F.lit(BLOCK_DOCS))).cast("int")
+    chunked = settled(homed.join(homes, ["key", "home"]).select("key", "id", "label", F.struct("home", part.alias("part")).alias("chunk")))
+    facts = chunked.groupBy("key", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = facts.select("key", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = facts.join(other, "key").filter("chunk <= chunk2 AND least(low, low2) < greatest(high, high2)")
+    pairs = pairs.select("key", "chunk", "chunk2", F.xxhash64("key", "chunk", "chunk2").alias("block"))
+    sides = pairs.select("key", "chunk", "block", F.lit(0).alias("side")).unionByName(
+        pairs.filter("chunk < chunk2").select("key", F.col("chunk2").alias("chunk"), "block", F.lit(1).alias("side"))
+    )
+    return chunked.join(sides, ["key", "chunk"]).select("block", "side", "id", "label")
+
+
+def _labelled(rows: DataFrame, connected: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``id`` as ``label``."""
+    return rows.join(connected, rows["id"] == connected["node"], "left").select(
+        *rows.columns, F.coalesce("component", "id").alias("label")
+    )
+
+
+def _likely_blocks(blocks: DataFrame, reps: DataFrame, connected: DataFrame, percent: int) -> DataFrame:
+    """Blocks of the pairs within ``blocks`` that sizes and signatures let through.
+
+    Documents are dealt to chunks by the least component among their own and their partners', so that
+    what belongs to one dense group shares few chunks. Every pair of chunks with a likely pair is a block,
+    and holds only documents of such pairs: a set travels once per block, and never more often than it
+    has partners.
+    """
     rows = blocks.join(reps.select("id", "n", "digest", F.col("signature").alias("body")), "id")
     pairs = settled(_pairs_of_blocks(rows, percent, exact=False).distinct())
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
-    named = pairs.join(sizes, "a").select(
-        "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("rows") / F.lit(BLOCK_DOCS)))).alias("block")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = _labelled(ends.select(F.col("a").alias("id")).distinct(), connected)
+    near = ends.join(own.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+    placed = settled(
+        own.join(near, own["id"] == near["a"]).select(
+            "id", "label", F.least("label", "other").alias("anchor"), (F.col("label") <= F.col("other")).alias("main")
+        )
     )
-    heads = named.select("block", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
-    partners = named.select("block", F.lit(1).alias("side"), F.col("b").alias("id"))
-    return heads.unionByName(partners).withColumn("label", F.col("id"))
+    sizes = placed.groupBy("anchor", "main").agg(F.count(F.lit(1)).alias("rows"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / F.lit(BLOCK_DOCS)))
+    chunked = settled(placed.join(sizes, ["anchor", "main"]).select("id", "label", F.xxhash64("anchor", "main", part).alias("chunk")))
+    one = chunked.select(F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("chunk").alias("chunk_a"))
+    two = chunked.select(F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("chunk").alias("chunk_b"))
+    met = pairs.join(one, "a").join(two, "b")
+    low, high = F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b")
+
+    def member(c: str):
+        return F.struct((F.col(f"chunk_{c}") > low).cast("int").alias("side"), F.col(c).alias("id"), F.col(f"label_{c}").alias("label"))
+
+    return met.select(F.xxhash64(low, high).alias("block"), F.explode(F.array(member("a"), member("b"))).alias("m")).select(
+        "block", "m.side", "m.id", "m.label"
+    ).distinct()
 
 
 def _neighbour_blocks(reps: DataFrame) -> DataFrame:
@@ -397,20 +465,20 @@ def _prefix_rows(docs: DataFrame, reps: DataFrame, ranks: np.ndarray, shingle: i
     table = bit_table(reps, slot_of(ID_BITS, "id"), ID_BITS)
     rows = docs.withColumn("slot", slot_of(ID_BITS, "id"))
 
-    def packed(keys, ids):
+    def packed(keys, ids, sizes, rests):
         part = (mixed(keys) % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
-        keys, ids = keys[order], ids[order]
         filled = [p for p in range(parts) if edges[p + 1] > edges[p]]
+        columns = [x[order] for x in (keys, ids, sizes, rests)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(filled, pa.int64()), pa.array([keys[edges[p] : edges[p + 1]].tobytes() for p in filled], pa.binary()),
-             pa.array([ids[edges[p] : edges[p + 1]].tobytes() for p in filled], pa.binary())],
-            names=["part", "keys", "ids"],
+            [pa.array(filled, pa.int64()), *(pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in filled], pa.binary()) for x in columns)],
+            names=["part", "keys", "ids", "sizes", "rests"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        held: list[tuple] = []
+        waiting = 0
         for batch in batches:
             slots = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array(((table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1) == 1))
@@ -427,73 +495,93 @@ def _prefix_rows(docs: DataFrame, reps: DataFrame, ranks: np.ndarray, shingle: i
                     rank[hit] = ranked_counts[at[hit]]
                 # Within a rank the order of hashes, which are sorted already.
                 first = own[np.argsort(rank, kind="stable")[:length]]
-                keys.append(first)
-                ids.append(np.full(length, numbers[row], dtype=np.int64))
-                held += length
-                if held > 2_000_000:
-                    yield packed(np.concatenate(keys), np.concatenate(ids))
-                    keys, ids, held = [], [], 0
-        if keys:
-            yield packed(np.concatenate(keys), np.concatenate(ids))
-
-    return rows.mapInArrow(run, "part bigint, keys binary, ids binary")
-
-
-def _shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: the shingles that two documents have, with their documents."""
-    keys = np.concatenate([np.frombuffer(x, dtype=_U) for x in frame["keys"]])
-    ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in frame["ids"]])
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    edge = np.append(True, keys[1:] != keys[:-1])
-    alone = edge & np.append(edge[1:], True)
-    keys, ids, starts = keys[~alone], ids[~alone], np.flatnonzero(edge[~alone])
-    if not len(starts):
-        return pd.DataFrame({"key": [], "id": []}, dtype="int64")
-    # Shingles with the same documents say the same; one of them goes on.
-    counts = np.diff(np.append(starts, len(keys)))
-    spread = mixed(ids.view(_U))
-    sums = np.stack([counts.astype(_U), np.add.reduceat(spread, starts), np.add.reduceat(mixed(spread), starts)])
-    _, first = np.unique(sums, axis=1, return_index=True)
-    picked = np.zeros(len(starts), dtype=bool)
-    picked[first] = True
-    rows = np.repeat(picked, counts)
-    return pd.DataFrame({"key": keys[rows].astype(np.int64), "id": ids[rows]})
+                held.append((first, np.full(length, numbers[row], dtype=np.int64), np.full(length, n, dtype=np.int32), _rest(n, np.arange(length))))
+                waiting += length
+                if waiting > 2_000_000:
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, waiting = [], 0
+        if held:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.mapInArrow(run, "part bigint, keys binary, ids binary, sizes binary, rests binary")
+
+
+def _rest(n: int, places: np.ndarray) -> np.ndarray:
+    """How many of ``n`` shingles stand at a place or after it, in steps of n / 255, rounded up to one byte."""
+    return np.ceil((n - places) * (255 / n)).clip(0, 255).astype(np.uint8)
+
+
+def _partnered(starts, counts, sizes, rests, percent: int) -> np.ndarray:
+    """Which rows may have a partner in their shingle's group: by size, and by what can follow in the order.
+
+    If the shingle is the first that two sets share, both must have enough shingles from it on. Groups of
+    more than ``EXAMINED_GROUP`` rows are not examined.
+    """
+    kept = np.repeat(counts > EXAMINED_GROUP, counts)
+    after = rests * sizes / 255
+
+    def fits(a, b):
+        n, m = sizes[a], sizes[b]
+        rest = np.minimum(after[a], after[b]) + 1e-6
+        return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * rest >= percent * (n + m))
+
+    for size in range(2, SMALL_GROUP + 1):
+        first = starts[counts == size]
+        for i in range(size if len(first) else 0):
+            for j in range(i + 1, size):
+                a, b = first + i, first + j
+                hit = fits(a, b)
+                kept[a[hit]] = True
+                kept[b[hit]] = True
+    larger = (counts > SMALL_GROUP) & (counts <= EXAMINED_GROUP)
+    for start, size in zip(starts[larger], counts[larger], strict=True):
+        rows = np.arange(start, start + size)
+        hit = fits(rows[:, None], rows[None, :])
+        np.fill_diagonal(hit, False)
+        kept[rows] = hit.any(axis=1)
+    return kept
+
+
+def _shared_keys(percent: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of one part: the shingles that two documents have, with their documents."""
+        keys, ids = (np.concatenate([np.frombuffer(x, dtype=t) for x in frame[c]]) for c, t in (("keys", _U), ("ids", np.int64)))
+        sizes, rests = (np.concatenate([np.frombuffer(x, dtype=t) for x in frame[c]]).astype(np.int64) for c, t in (("sizes", np.int32), ("rests", np.uint8)))
+        order = np.argsort(keys, kind="stable")
+        keys, ids, sizes, rests = keys[order], ids[order], sizes[order], rests[order]
+        edge = np.append(True, keys[1:] != keys[:-1])
+        keep = ~(edge & np.append(edge[1:], True))
+        keys, ids, sizes, rests = keys[keep], ids[keep], sizes[keep], rests[keep]
+        if len(keys):
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keep = _partnered(starts, np.diff(np.append(starts, len(keys))), sizes, rests, percent)
+            keys, ids = keys[keep], ids[keep]
+        if not len(keys):
+            return pd.DataFrame({"key": [], "id": []}, dtype="int64")
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(starts, len(keys)))
+        # Shingles with the same documents say the same; one of them goes on.
+        spread = mixed(ids.view(_U))
+        sums = np.stack([counts.astype(_U), np.add.reduceat(spread, starts), np.add.reduceat(mixed(spread), starts)])
+        _, first = np.unique(sums, axis=1, return_index=True)
+        picked = np.zeros(len(starts), dtype=bool)
+        picked[first] = True
+        rows = np.repeat(picked, counts)
+        return pd.DataFrame({"key": keys[rows].astype(np.int64), "id": ids[rows]})
+
+    return run
 
 
 def _rest_blocks(shared: DataFrame, connected: DataFrame) -> DataFrame:
     """Pairs of chunks, of every shingle, that hold two components."""
-    labelled = settled(
-        shared.join(connected, shared["id"] == connected["node"], "left")
-        .select("key", "id", F.coalesce("component", "id").alias("label"))
-    )
+    labelled = settled(_labelled(shared, connected))
     keys = labelled.groupBy("key").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"),
+        F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id")).alias("s"),
-    ).filter("least < most")
+    ).filter("low < high")
     # Shingles with the same documents need one block between them.
-    keys = keys.groupBy("rows", "x", "s").agg(F.min("key").alias("key")).select("key", "rows")
-    chunked = labelled.join(keys, "key").select(
-        "key", "id", "label",
-        F.ceil(F.col("rows") / F.lit(BLOCK_DOCS)).cast("int").alias("chunks"),
-        F.pmod(F.xxhash64("label"), F.ceil(F.col("rows") / F.lit(BLOCK_DOCS))).cast("int").alias("home"),
-    )
-    # A component that fills more than a chunk is spread over chunks again.
-    homes = chunked.groupBy("key", "home").agg(F.count(F.lit(1)).alias("in_home"))
-    chunked = chunked.join(homes, ["key", "home"]).withColumn(
-        "chunk",
-        F.struct("home", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("in_home") / F.lit(BLOCK_DOCS))).cast("int").alias("sub")),
-    )
-    facts = settled(
-        chunked.groupBy("key", "chunk").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("id").alias("first"))
-    )
-    other = facts.select("key", F.col("chunk").alias("chunk2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    pairs = facts.join(other, "key").filter("chunk <= chunk2").filter("least(least, least2) < greatest(most, most2)")
-    pairs = pairs.select("key", "chunk", "chunk2", F.xxhash64("key", "chunk", "chunk2").alias("block"))
-    sides = pairs.select("key", "chunk", "block", F.lit(0).alias("side")).unionByName(
-        pairs.filter("chunk < chunk2").select("key", F.col("chunk2").alias("chunk"), "block", F.lit(1).alias("side"))
-    )
-    return chunked.join(sides, ["key", "chunk"]).select("block", "side", "id", "label")
+    chosen = keys.groupBy("rows", "x", "s").agg(F.min("key").alias("key")).select("key")
+    return _chunk_pairs(labelled.join(chosen, "key", "left_semi"))
 
 
 def jaccard_components(
@@ -532,9 +620,9 @@ def jaccard_components(
     total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * TOKENS_A_PART)))
     packed = _prefix_rows(rows, reps, ranks, shingle, percent, parts)
-    shared = packed.repartition(parts, "part").groupBy("part").applyInPandas(_shared_keys, "key bigint, id bigint")
+    shared = packed.repartition(parts, "part").groupBy("part").applyInPandas(_shared_keys(percent), "key bigint, id bigint")
     shared = shared.join(reps.select("id"), "id", "left_semi")
-    far = _linked_blocks(rows, _likely_pairs(_rest_blocks(shared, connected), reps, percent), shingle, percent)
+    far = _linked_blocks(rows, _likely_blocks(_rest_blocks(shared, connected), reps, connected, percent), shingle, percent)
     final = components(near.unionByName(far))
 
     named = described.join(reps.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"], "left")

@@ -10,6 +10,10 @@ the threshold, if even the largest possible overlap, bounded by the bits that bo
 by shingles that share a bit, is too small, or if all sets below them are known to be connected already.
 Pairs that remain are compared exactly, hash by hash.
 
+**Hopeless sets.** A set with a link shares ``percent`` of its shingles with its partner. So a set of which more
+shingles than the rest are in no other set has no link. Half of all shingles, chosen by hash, are counted: one that
+stands alone there stands alone everywhere, so none is left out wrongly. Only sets with a chance are kept as a table.
+
 **Blocks.** Two rounds find all links.
 
 1. *Neighbours.* A few least hashes under different permutations group likely partners around the
@@ -21,7 +25,8 @@ Pairs that remain are compared exactly, hash by hash.
    hash. A shingle whose documents are all in one component of round 1 has nothing to add. The documents of
    every other shingle are cut into chunks; each pair of chunks that holds two components is a block of
    its own, so that no shingle, however frequent, meets in one task. These blocks are traversed with the
-   signatures alone; full sets travel only for the few pairs that sizes and bitmaps let through.
+   signatures alone; full sets travel only for the few pairs that sizes and bitmaps let through. Before
+   that, sets are judged hopeless once more, where now only shingles of other components count as shared.
 
 Links found in both rounds give the components. A pair of sets that is already connected through others
 is not compared, so groups of thousands of copies do not grow quadratically.
@@ -60,6 +65,7 @@ RANKED_SHINGLES = 1 << 17
 FREQUENT_IN_TASK = 4
 ID_BITS = 1 << 23
 TOKENS_A_PART = 1_500_000
+HOT_SHINGLE = 100_000
 
 _U = np.uint64
 
@@ -88,11 +94,32 @@ def packed_set(hashes: np.ndarray) -> bytes:
     return hashes.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def unpacked_set(body: bytes) -> np.ndarray:
-    """Sorted 40-bit hashes."""
+def unpacked_in_order(body: bytes) -> np.ndarray:
+    """40-bit hashes as they were packed."""
     wide = np.zeros((len(body) // 5, 8), dtype=np.uint8)
     wide[:, :5] = np.frombuffer(body, dtype=np.uint8).reshape(-1, 5)
-    return np.sort(wide.view(_U).ravel())
+    return wide.view(_U).ravel()
+
+
+def unpacked_set(body: bytes) -> np.ndarray:
+    """Sorted 40-bit hashes."""
+    return np.sort(unpacked_in_order(body))
+
+
+def packed_longs(values: np.ndarray) -> bytes:
+    """64-bit integers as their least, a width, and distances from the least in that many bytes."""
+    least = values.min()
+    far = values.view(_U) - least.view(_U)
+    width = max(1, (int(far.max()).bit_length() + 7) // 8)
+    return least.tobytes() + bytes([width]) + far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_longs(body: bytes) -> np.ndarray:
+    """What ``packed_longs`` was given."""
+    width = body[8]
+    wide = np.zeros(((len(body) - 9) // width, 8), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(body, dtype=np.uint8, offset=9).reshape(-1, width)
+    return (wide.view(_U).ravel() + np.frombuffer(body[:8], dtype=_U)).view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -337,41 +364,142 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
     )
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(id, n, digest, body)`` of the wanted ids, and of the few others that share a bit with them."""
+def _with_bit(docs: DataFrame, wanted: DataFrame):
+    """``docs`` with a slot, and a filter of batches that keeps wanted ids and the few others that share their bit."""
     table = bit_table(wanted, slot_of(ID_BITS, "id"), ID_BITS)
-    rows = docs.withColumn("slot", slot_of(ID_BITS, "id"))
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        slots = batch.column("slot").to_numpy()
+        return batch.filter(pa.array(((table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1) == 1))
+
+    return docs.withColumn("slot", slot_of(ID_BITS, "id")), kept
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(id, n, digest, body)``: the sets of ``wanted(id, n, digest)``, once each."""
+    rows, kept = _with_bit(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array(((table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1) == 1))
-            ids, sets, size = [], [], 0
+        for batch in map(kept, batches):
+            ids, sets, digests, size = [], [], [], 0
             for row, keys in shingle_sets(batch.column("text"), shingle):
                 ids.append(row)
                 sets.append(packed_set(keys))
+                digests.append(blake2b(keys.tobytes(), digest_size=16).digest())
                 size += len(sets[-1])
                 if size > 1 << 23:
-                    yield rows_of(batch, ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield rows_of(batch, ids, sets, digests)
+                    ids, sets, digests, size = [], [], [], 0
             if ids:
-                yield rows_of(batch, ids, sets)
+                yield rows_of(batch, ids, sets, digests)
 
-    def rows_of(batch, ids, sets):
+    def rows_of(batch, ids, sets, digests):
         return pa.RecordBatch.from_arrays(
             [batch.column("id").take(pa.array(ids)), pa.array([len(x) // 5 for x in sets], pa.int64()),
-             pa.array([blake2b(x, digest_size=16).digest() for x in sets], pa.binary()),
-             pa.array(sets, pa.binary())],
+             pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
             names=["id", "n", "digest", "body"],
         )
 
-    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, body binary")
+    sets = rows.mapInArrow(run, "id bigint, n bigint, digest binary, body binary")
+    return sets.join(wanted.select("id", "n", "digest"), ["id", "n", "digest"]).groupBy("id", "n", "digest").agg(F.first("body").alias("body"))
+
+
+def _dealt(sets: Iterator[tuple[int, int, np.ndarray]], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Half of the 40-bit shingles of ``(id, label, shingles)``, packed by part; those in ``hot`` stay behind."""
+    held, waiting = [], 0
 
+    def out():
+        keys = np.concatenate([x[2] for x in held])
+        lengths = [len(x[2]) for x in held]
+        ids, labels = (np.repeat(np.array([x[i] for x in held], dtype=np.int64), lengths) for i in (0, 1))
+        place = mixed(keys)
+        chosen = (place & _U(1)) == 0
+        if len(hot):
+            chosen &= hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] != keys
+        part = ((place[chosen] >> _U(1)) % _U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        keys, ids, labels = keys[chosen][order], ids[chosen][order], labels[chosen][order]
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        filled = [(p, slice(edges[p], edges[p + 1])) for p in range(parts) if edges[p + 1] > edges[p]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in filled], pa.int64()), pa.array([packed_set(keys[x]) for _, x in filled], pa.binary()),
+             pa.array([packed_longs(ids[x]) for _, x in filled], pa.binary()),
+             pa.array([None if np.array_equal(ids[x], labels[x]) else packed_longs(labels[x]) for _, x in filled], pa.binary())],
+            names=["part", "keys", "ids", "labels"],
+        )
+
+    for row in sets:
+        held.append(row)
+        waiting += len(row[2])
+        if waiting > 2_000_000:
+            yield out()
+            held, waiting = [], 0
+    if waiting:
+        yield out()
 
-def _linked_blocks(docs: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+
+def _alone(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: how many shingles of every id are in sets of one label only."""
+    keys = np.concatenate([unpacked_in_order(x) for x in frame["keys"]])
+    ids = np.concatenate([unpacked_longs(x) for x in frame["ids"]])
+    labels = np.concatenate([unpacked_longs(x if y is None else y) for x, y in zip(frame["ids"], frame["labels"], strict=True)])
+    order = np.argsort(keys)
+    keys, ids, labels = keys[order], ids[order], labels[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    single = np.minimum.reduceat(labels, starts) == np.maximum.reduceat(labels, starts)
+    own, alone = np.unique(ids[np.repeat(single, np.diff(np.append(starts, len(keys))))], return_counts=True)
+    return pd.DataFrame({"id": own, "alone": alone})
+
+
+def _parts(spark, shingles: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // (4 * TOKENS_A_PART)))
+
+
+def _with_a_chance(dealt: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The ``sets(id, n, ...)`` whose shingles that stand alone leave room for a link, and those whose id has several rows."""
+    alone = (
+        dealt.repartition(parts, "part").groupBy("part").applyInPandas(_alone, "id bigint, alone bigint")
+        .groupBy("id").agg(F.sum("alone").alias("alone"))
+    )
+    hopeless = 100 * F.coalesce("alone", F.lit(0)) > (100 - percent) * F.col("n")
+    return sets.join(alone, "id", "left").filter(~hopeless | F.col("repeated")).select(sets.columns)
+
+
+def _text_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, shingle: int, parts: int) -> DataFrame:
+    """Packed shingles of all representatives, each its own label."""
+    rows, kept = _with_bit(docs, reps)
+    low = _U((1 << 40) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets():
+            for batch in map(kept, batches):
+                numbers = batch.column("id").to_pylist()
+                for row, keys in shingle_sets(batch.column("text"), shingle):
+                    yield numbers[row], numbers[row], keys & low
+
+        yield from _dealt(sets(), hot, parts)
+
+    return rows.mapInArrow(run, "part bigint, keys binary, ids binary, labels binary")
+
+
+def _set_shingles(sets: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """Packed shingles of ``sets(id, label, body)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unpacked():
+            for batch in batches:
+                columns = (batch.column(c).to_pylist() for c in ("id", "label", "body"))
+                for number, label, body in zip(*columns, strict=True):
+                    yield number, label, unpacked_in_order(body)
+
+        yield from _dealt(unpacked(), hot, parts)
+
+    return sets.select("id", "label", "body").mapInArrow(run, "part bigint, keys binary, ids binary, labels binary")
+
+
+def _linked_blocks(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` within ``blocks(block, side, id, label)``."""
-    blocks = settled(blocks)
-    return _pairs_of_blocks(blocks.join(_sets_of(docs, blocks, shingle), "id"), percent, exact=True)
+    return _pairs_of_blocks(settled(blocks).join(sets.select("id", "n", "digest", "body"), "id"), percent, exact=True)
 
 
 def _chunk_pairs(rows: DataFrame) -> DataFrame:
@@ -456,14 +584,12 @@ def _neighbour_blocks(reps: DataFrame) -> DataFrame:
     )
 
 
-def _prefix_rows(docs: DataFrame, reps: DataFrame, ranks: np.ndarray, shingle: int, percent: int, parts: int) -> DataFrame:
-    """Shingles that only some components' documents need: ``(key, id)``.
+def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent: int, parts: int) -> DataFrame:
+    """The shingles of each of ``sets(id, body)`` of which partners have one in common, packed.
 
     Tasks hand packed arrays of (shingle, id) to one of ``parts`` parts by shingle.
     """
     ranked_keys, ranked_counts = ranks
-    table = bit_table(reps, slot_of(ID_BITS, "id"), ID_BITS)
-    rows = docs.withColumn("slot", slot_of(ID_BITS, "id"))
 
     def packed(keys, ids, sizes, rests):
         part = (mixed(keys) % _U(parts)).astype(np.int64)
@@ -480,13 +606,9 @@ def _prefix_rows(docs: DataFrame, reps: DataFrame, ranks: np.ndarray, shingle: i
         held: list[tuple] = []
         waiting = 0
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array(((table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1) == 1))
-            numbers = batch.column("id").to_numpy()
-            for row, own in shingle_sets(batch.column("text"), shingle):
+            for number, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                own = unpacked_set(body)
                 n = len(own)
-                if not n:
-                    continue
                 length = n - math.ceil(percent * n / 100) + 1
                 rank = np.zeros(n, dtype=np.int64)
                 if len(ranked_keys):
@@ -495,7 +617,7 @@ def _prefix_rows(docs: DataFrame, reps: DataFrame, ranks: np.ndarray, shingle: i
                     rank[hit] = ranked_counts[at[hit]]
                 # Within a rank the order of hashes, which are sorted already.
                 first = own[np.argsort(rank, kind="stable")[:length]]
-                held.append((first, np.full(length, numbers[row], dtype=np.int64), np.full(length, n, dtype=np.int32), _rest(n, np.arange(length))))
+                held.append((first, np.full(length, number, dtype=np.int64), np.full(length, n, dtype=np.int32), _rest(n, np.arange(length))))
                 waiting += length
                 if waiting > 2_000_000:
                     yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -503,7 +625,7 @@ def _prefix_rows(docs: DataFrame, reps: DataFrame, ranks: np.ndarray, shingle: i
         if held:
             yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return rows.mapInArrow(run, "part bigint, keys binary, ids binary, sizes binary, rests binary")
+    return sets.select("id", "body").mapInArrow(run, "part bigint, keys binary, ids binary, sizes binary, rests binary")
 
 
 def _rest(n: int, places: np.ndarray) -> np.ndarray:
@@ -603,26 +725,38 @@ def jaccard_components(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
     scanned = settled(_scan(rows, shingle))
-    described = scanned.filter("key IS NULL").groupBy("id").agg(F.max(F.struct("n", "digest", "signature", "least")).alias("d")).select("id", "d.*")
-    classes = described.filter("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("least").alias("least"))
-    reps = settled(classes.select(F.col("rep").alias("id"), "n", "digest", "signature", "least"))
+    described = (
+        scanned.filter("key IS NULL").groupBy("id")
+        .agg(F.max(F.struct("n", "digest", "signature", "least")).alias("d"), (F.count(F.lit(1)) > 1).alias("repeated")).select("id", "repeated", "d.*")
+    )
+    classes = described.filter("n > 0").groupBy("n", "digest").agg(
+        F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("least").alias("least"), F.max("repeated").alias("repeated")
+    )
+    reps = settled(classes.select("id", "n", "digest", "signature", "least", "repeated"))
     frequent = (
         scanned.filter("key IS NOT NULL").groupBy("key").agg(F.sum("count").alias("count"))
         .orderBy(F.desc("count"), "key").limit(RANKED_SHINGLES).toPandas()
     )
-    keys = frequent["key"].to_numpy(dtype=np.int64).view(_U)
+    keys = frequent["key"].to_numpy(dtype=np.int64).view(_U) & _U((1 << 40) - 1)
     order = np.argsort(keys)
     ranks = keys[order], frequent["count"].to_numpy(dtype=np.int64)[order]
+    hot = ranks[0][ranks[1] > HOT_SHINGLE]
 
-    near = settled(_linked_blocks(rows, _neighbour_blocks(reps), shingle, percent))
+    parts = _parts(spark, (reps.agg(F.sum("n").alias("n")).first()["n"] or 0) // 2)
+    possible = settled(_with_a_chance(_text_shingles(rows, reps, hot, shingle, parts), reps, parts, percent))
+    sets = settled(_sets_of(rows, possible, shingle))
+    near = settled(_linked_blocks(sets, _neighbour_blocks(possible), percent))
     connected = components(near)
 
-    total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * TOKENS_A_PART)))
-    packed = _prefix_rows(rows, reps, ranks, shingle, percent, parts)
+    total = possible.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = _parts(spark, total // 2)
+    labelled = settled(_labelled(possible.select("id", "n", F.lit(False).alias("repeated")), connected))
+    open_sets = settled(_with_a_chance(_set_shingles(sets.select("id", "body").join(labelled, "id"), hot, parts), labelled, parts, percent))
+
+    parts = _parts(spark, total)
+    packed = _prefix_rows(sets.join(open_sets.select("id"), "id", "left_semi"), ranks, percent, parts)
     shared = packed.repartition(parts, "part").groupBy("part").applyInPandas(_shared_keys(percent), "key bigint, id bigint")
-    shared = shared.join(reps.select("id"), "id", "left_semi")
-    far = _linked_blocks(rows, _likely_blocks(_rest_blocks(shared, connected), reps, connected, percent), shingle, percent)
+    far = _linked_blocks(sets, _likely_blocks(_rest_blocks(shared, connected), possible, connected, percent), percent)
     final = components(near.unionByName(far))
 
     named = described.join(reps.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"], "left")

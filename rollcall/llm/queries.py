@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, exact, jaccard, leaks, mixing, quality, scoring, sharding, suffixes, urls
+from . import counts, exact, jaccard, leaks, mixing, phrases, quality, scoring, sharding, spelling, suffixes, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,6 +219,61 @@ def op10_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs, carry={"text_sha256": digest})
 
 
+@_query(
+    "op11_sorted_spelling",
+    """
+WITH RECURSIVE table_(list) AS (
+  SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-zÀ-ÿ]{7,}')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS times FROM runs GROUP BY doc_id, run),
+bytes AS (
+  SELECT id, run, times, hex(encode(id || ':' || run)) AS x FROM counted),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+      lambda k: ('0x' || substr(x, (2 * k + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, list[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM bytes, table_),
+slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cuts AS (
+  SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS cut
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.p = b.p AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chains(word, at) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.at AS root FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots USING (word)
+""",
+)
+def op11_sorted_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, sf_dir, "documents")))
+
+
+@_query("op12_phrase_fingerprints")
+def op12_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_polynomial_whitening")
+def op13_polynomial_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -251,11 +251,11 @@ best AS (
 formed AS (
   SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
   FROM words w LEFT JOIN best USING (word)),
-chains(word, at) AS (
+chains(word, reached) AS (
   SELECT word, word FROM formed
   UNION ALL
-  SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
-roots AS (SELECT c.word, c.at AS root FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+  SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.reached WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.reached AS root FROM chains c JOIN formed f ON f.word = c.reached WHERE f.form IS NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots USING (word)
 """,
 )

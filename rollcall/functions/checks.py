@@ -7,6 +7,7 @@ decide what a blank value means.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
@@ -123,14 +124,17 @@ def search_pattern(pattern: str) -> str:
 def is_usable_pattern(pattern: str) -> bool:
     """False for a pattern that the engine which would run it does not accept.
 
-    The translated pattern is tried on one constant row; such a rule is skipped with a warning. Without
-    a session, where nothing can run, every pattern counts as usable.
+    The translated pattern is tried on one constant row, once per process; such a rule is skipped with a
+    warning. Without a session, where nothing can run, every pattern counts as usable.
     """
     spark = SparkSession.getActiveSession()
-    if spark is None:
-        return True
+    return spark is None or _runs(search_pattern(pattern))
+
+
+@cache
+def _runs(pattern: str) -> bool:
     try:
-        spark.range(1).select(F.lit("").rlike(search_pattern(pattern))).collect()
+        SparkSession.active().range(1).select(F.lit("").rlike(pattern)).collect()
     except PySparkException:
         return False
     return True

@@ -7,9 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, match_key, percent_text, sql_name, sql_text
+from ..functions.text import col, match_key, pair_key, percent_text, sql_name, sql_text
 from ..labels import DEFAULT_LABELS, Labels
-from ..scratch import settled
+from ..scratch import measured, settled
 from .dictionary import forward_map, reverse_map
 from .lookup import SMALL_BYTES, lookup_join, table_bytes
 from .match import _row_id
@@ -26,6 +26,49 @@ def encoded_fields(spec: FieldSpec, columns: list[str]) -> dict[str, str]:
     return {f.name: f.dict_id for f in spec.fields if f.dict_id and f.name in columns}
 
 
+_COMBINED = "__keys"
+
+
+def _combined(keys: list[Column]) -> Column:
+    """One text for the keys of a row: different for different keys, null if none is there."""
+    parts = [F.coalesce(F.concat(F.char_length(k).cast("string"), F.lit(":"), k), F.lit("-")) for k in keys]
+    return F.when(F.coalesce(*keys).isNotNull(), F.concat(*parts))
+
+
+def _join_together(
+    rows: DataFrame, hits: Mapping[str, str], normal: Mapping[str, Column], fields: Mapping[str, str],
+    entries: DataFrame, row_id: Column, broadcast_bytes: int,
+) -> DataFrame:
+    """Adds the hit column of every field whose dictionary is too large for a broadcast.
+
+    The list is scanned once for the different combinations of keys that occur, which are counted with
+    map-side combine. Combinations are melted to one row per field and key, joined with all
+    dictionaries at once and put together again; then one lookup brings them back to the list.
+    Both joins salt by exact counts. However many fields there are, the list is scanned twice and
+    shuffled once at most, and not at all if the combinations fit into ``broadcast_bytes``.
+    """
+    names = list(hits)
+    keys = [F.col(f"__key_{i}") for i in range(len(names))]
+    keyed = rows.select(*[normal[name].alias(f"__key_{i}") for i, name in enumerate(names)])
+    combos = (
+        keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        .select(_combined(keys).alias(_COMBINED), *keys, "n").filter(F.col(_COMBINED).isNotNull())
+    )
+    combos = settled(combos)
+    melted = combos.select(
+        _COMBINED,
+        F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(fields[name]).alias("dict_id"), keys[i].alias("key")) for i, name in enumerate(names)])),
+    ).filter(F.col("key").isNotNull())
+    table = entries.filter(F.col("dict_id").isin(sorted({fields[n] for n in names})))
+    table = table.select(pair_key(F.col("dict_id"), F.col("key")).alias("entry"), "value")
+    found = lookup_join(melted, table, pair_key(F.col("dict_id"), F.col("key")), "entry", F.xxhash64(_COMBINED), small_bytes=broadcast_bytes)
+    values = [F.max(F.when(F.col("pos") == i, F.col("value"))).alias(hits[name]) for i, name in enumerate(names)]
+    translated = found.groupBy(_COMBINED).agg(*values)
+    counted = translated.join(combos.select(_COMBINED, F.col("n").alias("__n")), _COMBINED)
+    key = _combined([normal[name] for name in names])
+    return lookup_join(rows, counted, key, _COMBINED, row_id, key_rows="__n", small_bytes=broadcast_bytes).drop("__n")
+
+
 def _translate(
     rows: DataFrame,
     fields: Mapping[str, str],
@@ -40,26 +83,34 @@ def _translate(
 ) -> DataFrame:
     """Adds one translated column per field, each right after its source column.
 
-    The wanted dictionaries are written and measured in one job. Every field is one lookup join; the
-    fields share ``broadcast_bytes``, and a dictionary that no longer fits is joined by shuffling.
+    The wanted dictionaries are written and measured in one job. Fields whose dictionaries fit into
+    ``broadcast_bytes`` together are broadcast joins; all others are joined at once. On a stream, where
+    nothing can be counted, each of those is a join of its own.
     """
-    wanted = settled(table.filter(F.col("dict_id").isin(sorted(set(fields.values())))).select("dict_id", key, value))
-    sizes = {r["dict_id"]: r["bytes"] for r in wanted.groupBy("dict_id").agg(table_bytes(wanted).alias("bytes")).collect()}
+    ids = sorted(set(fields.values()))
+    wanted = table.filter(F.col("dict_id").isin(ids)).select("dict_id", F.col(key).alias("key"), F.col(value).alias("value"))
+    sizes_of = {f"bytes_{i}": table_bytes(wanted, F.col("dict_id") == d) for i, d in enumerate(ids)}
+    wanted, seen = measured(wanted, **sizes_of) if ids else (wanted, {})
+    sizes = {d: seen[f"bytes_{i}"] for i, d in enumerate(ids) if seen[f"bytes_{i}"]}
     translated: dict[str, Column] = {}
-    joined = rows
-    row_id = _row_id(rows, labels)
+    alone: dict[str, DataFrame] = {}
+    together: dict[str, str] = {}
     for pos, (name, dict_id) in enumerate(fields.items()):
-        if dict_id not in sizes:
-            translated[name] = default
-            continue
-        hit, entry = f"__hit_{pos}", f"__entry_{pos}"
-        entries = wanted.filter(F.col("dict_id") == dict_id).select(F.col(key).alias(entry), F.col(value).alias(hit))
-        if sizes[dict_id] <= broadcast_bytes:
+        hit = f"__hit_{pos}"
+        translated[name] = F.coalesce(F.col(hit), default) if dict_id in sizes else default
+        if dict_id in sizes and (sizes[dict_id] <= broadcast_bytes or rows.isStreaming):
             broadcast_bytes -= sizes[dict_id]
-            joined = joined.join(F.broadcast(entries), normal[name] == F.col(entry), "left").drop(entry)
-        else:
-            joined = lookup_join(joined, entries, normal[name], entry, row_id, small_bytes=0)
-        translated[name] = F.coalesce(F.col(hit), default)
+            entries = wanted.filter(F.col("dict_id") == dict_id)
+            alone[name] = entries.select(F.col("key").alias(f"__entry_{pos}"), F.col("value").alias(hit))
+        elif dict_id in sizes:
+            together[name] = hit
+    left = max(broadcast_bytes, 0)
+    row_id = _row_id(rows, labels)
+    joined = _join_together(rows, together, normal, fields, wanted, row_id, left) if together else rows
+    for name, entries in alone.items():
+        entry = entries.columns[0]
+        fits = sizes[fields[name]] <= ALL_BROADCASTS
+        joined = joined.join(F.broadcast(entries) if fits else entries, normal[name] == F.col(entry), "left").drop(entry)
     out = []
     for name in rows.columns:
         out.append(col(name))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import settled
+from ..scratch import measured
 
 SMALL_BYTES = 8 << 20
 TARGET_ROWS = 500_000
@@ -29,23 +29,26 @@ _ROW_BYTES = 32
 _KEY, _SALT, _SALTS = "__lookup_key", "__lookup_salt", "__lookup_salts"
 
 
-def table_bytes(table: DataFrame) -> Column:
-    """Aggregate: about how many bytes the rows of ``table`` take in memory."""
+def table_bytes(table: DataFrame, where: Column | None = None) -> Column:
+    """Aggregate: about how many bytes the rows of ``table`` (``where``) take in memory."""
     texts = [c for c, kind in table.dtypes if kind == "string"]
     width = F.lit(_ROW_BYTES + 8 * len(table.columns))
     for name in texts:
         width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
-    return F.coalesce(F.sum(width.cast("bigint")), F.lit(0).cast("bigint"))
+    width = width.cast("bigint")
+    return F.coalesce(F.sum(width if where is None else F.when(where, width)), F.lit(0).cast("bigint"))
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str, target: int = TARGET_ROWS) -> DataFrame:
-    """Keys with more than ``target`` rows and their number of salts.
+def hot_keys(counts: DataFrame, key: str, rows: str, target: int = TARGET_ROWS) -> DataFrame | None:
+    """Keys with more than ``target`` rows and their number of salts; None if there are no such keys.
 
     There are at most ``MOST_HOT``: where the list is so large that more keys exceed the target, the
     target grows.
     """
-    hot = settled(counts.filter(F.col(rows) > target).select(F.col(key).alias(_KEY), F.col(rows).alias("n")))
-    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).first()
+    above = counts.filter(F.col(rows) > target).select(F.col(key).alias(_KEY), F.col(rows).alias("n"))
+    hot, found = measured(above, keys=F.count(F.lit(1)), n=F.sum("n"))
+    if not found["keys"]:
+        return None
     if found["keys"] > MOST_HOT:
         target = max(target, found["n"] // MOST_HOT)
     return hot.filter(F.col("n") > target).select(_KEY, F.ceil(F.col("n") / F.lit(target)).cast("int").alias(_SALTS))
@@ -69,28 +72,30 @@ def lookup_join(
     """
     small_bytes = SMALL_BYTES if small_bytes is None else small_bytes
     target = TARGET_ROWS if target is None else target
-    table = settled(table.withColumnRenamed(table_key, _KEY).filter(F.col(_KEY).isNotNull()))
+    table = table.withColumnRenamed(table_key, _KEY).filter(F.col(_KEY).isNotNull())
+    most = F.max(key_rows) if key_rows else F.lit(target + 1)
+    table, size = measured(table, bytes=table_bytes(table), most=F.coalesce(most, F.lit(0)).cast("bigint"))
     keyed = rows.withColumn(_KEY, key)
-    if table.agg(table_bytes(table)).first()[0] <= small_bytes:
+    if size["bytes"] <= small_bytes:
         return keyed.join(F.broadcast(table), _KEY, "left").drop(_KEY)
     if rows.isStreaming:
         return keyed.join(table, _KEY, "left").drop(_KEY)
-    if key_rows:
-        counts, count = table, key_rows
-    else:
-        counts, count = rows.groupBy(key.alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).filter(F.col(_KEY).isNotNull()), "n"
-    hot = F.broadcast(hot_keys(counts, _KEY, count, target))
+    hot = None
+    if size["most"] > target:
+        if key_rows:
+            counts, count = table, key_rows
+        else:
+            counts, count = rows.groupBy(key.alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).filter(F.col(_KEY).isNotNull()), "n"
+        hot = hot_keys(counts, _KEY, count, target)
     spread = F.xxhash64(row_id)
-    salted = (
-        keyed.join(hot, _KEY, "left")
-        .withColumn(
-            _SALT,
-            F.when(F.col(_KEY).isNull(), spread)
-            .when(F.col(_SALTS).isNotNull(), F.pmod(spread, F.col(_SALTS).cast("bigint")))
-            .otherwise(F.lit(0).cast("bigint")),
-        )
-        .drop(_SALTS)
-    )
-    every_salt = F.sequence(F.lit(0).cast("bigint"), F.coalesce(_SALTS, F.lit(1)).cast("bigint") - 1)
-    replicated = table.join(hot, _KEY, "left").withColumn(_SALT, F.explode(every_salt)).drop(_SALTS)
+    salt = F.when(F.col(_KEY).isNull(), spread)
+    if hot is None:
+        salted = keyed.withColumn(_SALT, salt.otherwise(F.lit(0).cast("bigint")))
+        replicated = table.withColumn(_SALT, F.lit(0).cast("bigint"))
+    else:
+        hot = F.broadcast(hot)
+        some = salt.when(F.col(_SALTS).isNotNull(), F.pmod(spread, F.col(_SALTS).cast("bigint")))
+        salted = keyed.join(hot, _KEY, "left").withColumn(_SALT, some.otherwise(F.lit(0).cast("bigint"))).drop(_SALTS)
+        every_salt = F.sequence(F.lit(0).cast("bigint"), F.coalesce(_SALTS, F.lit(1)).cast("bigint") - 1)
+        replicated = table.join(hot, _KEY, "left").withColumn(_SALT, F.explode(every_salt)).drop(_SALTS)
     return salted.join(replicated, [_KEY, _SALT], "left").drop(_KEY, _SALT)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,3 +25,10 @@ def settled(frame: DataFrame) -> DataFrame:
     folder = scratch_folder(spark)
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def measured(frame: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``settled``, and aggregates over all its rows, taken while it is written: no second scan."""
+    seen = Observation()
+    table = settled(frame.observe(seen, *[value.alias(name) for name, value in figures.items()]))
+    return table, seen.get

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rollcall.labels import DEFAULT_LABELS as L
 from rollcall.operators import dictionary as d
-from rollcall.operators import encode
+from rollcall.operators import encode, lookup
 from rollcall.operators.rules import FieldRule, FieldSpec
 
 ENTRIES = [
@@ -144,3 +144,37 @@ def test_changed_versions(spark):
     log = spark.createDataFrame([("r1", "a", "a", "m1", 1), ("r2", "a", "a", "m2", 2), ("r3", "b", "b", "m3", 1)], "run_id string, dict_file string, file_name string, md5_hash string, recorded_at int")
     now = spark.createDataFrame([("a", "m2"), ("b", "other"), ("c", "new"), ("a2", None)], "dict_file string, md5_hash string")
     assert values(d.changed_versions(now, log), "dict_file", "changed") == [("a", False), ("a2", True), ("b", True), ("c", True)]
+
+
+def test_many_large_dictionaries_are_one_join(spark, folder):
+    """Three fields, one of them hot, one unknown, one null in a third of the rows; the list is scanned twice."""
+    rows = spark.range(3_000).select(
+        (F.col("id") + 1).alias("_row_num"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), F.col("id") % 50)).alias("a"),
+        F.when(F.col("id") % 3 != 1, F.concat(F.lit(" B"), F.col("id") % 7)).alias("b"),
+        F.concat(F.lit("c"), "id").alias("c"),
+    )
+    rows.write.parquet(folder + "/list")
+    listed = spark.read.parquet(folder + "/list")
+    entries = spark.createDataFrame(
+        [("A", f"A{i}", f"a{i}", i) for i in range(50)] + [("A", "H", "hot", 99)] + [("B", f"B{i}", f"b{i}", i) for i in range(5)]
+        + [("C", f"C{i}", f"c{i}", i) for i in range(0, 3_000, 2)],
+        "dict_id string, code string, label string, ord int",
+    )
+    got = encode.encode_labels(listed, {"a": "A", "b": "B", "c": "C"}, d.dictionary_table(entries), broadcast_bytes=0)
+    want = []
+    for i in range(3_000):
+        b = f"B{i % 7}" if i % 3 != 1 and i % 7 < 5 else "未匹配"
+        want.append((i + 1, "H" if i % 3 == 0 else f"A{i % 50}", b, f"C{i}" if i % 2 == 0 else "未匹配"))
+    assert values(got, "_row_num", "a_Code", "b_Code", "c_Code") == sorted(want, key=repr)
+    # The first scan, for the combinations, is over; what is left reads the list once.
+    assert plan_text(got).count("/list]") == 1
+
+
+def test_hot_combinations_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "TARGET_ROWS", 100)
+    rows = spark.range(2_000).select((F.col("id") + 1).alias("_row_num"), F.lit("x").alias("v"))
+    entries = spark.createDataFrame([("A", "1", "x", 1)], "dict_id string, code string, label string, ord int")
+    got = encode.encode_labels(rows, {"v": "A"}, d.dictionary_table(entries), broadcast_bytes=0)
+    assert "__lookup_salt" in plan_text(got)
+    assert got.filter("v_Code = '1'").count() == 2_000

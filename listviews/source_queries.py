@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollcall.labels import DEFAULT_LABELS as L
 from rollcall.plans.export import shared_folder
-from rollcall.sources import encoding, lists, workbooks
+from rollcall.sources import encoding, layouts, lists, workbooks
 
 from .registry import query
 from .views import table, view, with_views
@@ -200,3 +200,123 @@ UNION ALL SELECT DISTINCT concat('orders-', cast(o_orderkey // 1000 AS string),
 )
 def list_sheets(spark, sf):
     return workbooks.workbook_sheets(workbook_files(spark, sf))
+
+
+# Files as they come from different offices: other encodings, other column orders, ragged rows.
+
+_OFFICES = "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'gbk' ELSE 'utf-8' END"
+_OFFICE_ROWS = f"""WITH offices AS (
+SELECT c_custkey, {_OFFICES} AS office, concat('客户', cast(c_custkey AS string)) AS name, cast(c_nationkey AS string) AS nation, c_mktsegment AS segment FROM customer)
+"""
+
+
+def _write_files(rows, folder):
+    """One file per value of ``file``; ``content`` is text or bytes."""
+    rows.select("file", F.col("content").cast("string").alias("content")).write.partitionBy("file").text(folder)
+
+
+def office_files(spark, sf):
+    """UTF-8 files (name, nation, segment) with ragged rows and GBK files (segment, name, nation)."""
+    folder = shared_folder(spark, "offices")
+    customers = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.expr(_OFFICES).alias("office"),
+        F.concat(F.lit("客户"), F.col("c_custkey").cast("string")).alias("name"),
+        F.col("c_nationkey").cast("string").alias("nation"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+    line = (
+        F.when(F.col("c_custkey") % 10 == 3, F.concat_ws(",", "name", "nation", "segment", F.lit("more")))
+        .when(F.col("c_custkey") % 10 == 7, F.concat_ws(",", "name", "nation"))
+        .otherwise(F.concat_ws(",", "name", "nation", "segment"))
+    )
+    plain = customers.filter("office = 'utf-8'").groupBy(F.floor(F.col("c_custkey") / 500).alias("file")).agg(
+        F.concat_ws("\n", F.lit("name,nation,segment"), F.array_sort(F.collect_list(line))).alias("content")
+    )
+    _write_files(plain, f"{folder}/a")
+    charset = layouts.charset_of(spark, "gbk")
+    gbk = customers.filter("office = 'gbk'").select("segment", "name", "nation").repartition(4)
+    gbk.write.option("header", True).option("encoding", charset).csv(f"{folder}/b")
+    return folder
+
+
+@query(
+    "load_list_layouts",
+    _OFFICE_ROWS + """SELECT name, nation, CASE WHEN office = 'utf-8' AND c_custkey % 10 = 7 THEN NULL ELSE segment END AS segment, 'partner' AS "_来源" FROM offices""",
+)
+def load_list_layouts(spark, sf):
+    """Every file by its own encoding and column order."""
+    folder = office_files(spark, sf)
+    loaded, _ = lists.load_all(spark, {"primary": folder, "partner": folder, "vendor": None}, multi_line=False)
+    return loaded["partner"].drop(L.row_num)
+
+
+@query(
+    "load_list_numbers",
+    _OFFICE_ROWS + "SELECT count(*) AS n, count(*) AS n_numbers, 1 AS first_number, count(*) AS last_number FROM offices",
+)
+def load_list_numbers(spark, sf):
+    """Numbers are dense over files of both layouts."""
+    rows = lists.load_list(spark, office_files(spark, sf), multi_line=False).rows
+    number = F.col(L.row_num)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(number).alias("n_numbers"), F.min(number).alias("first_number"), F.max(number).alias("last_number")
+    )
+
+
+@query(
+    "load_findings",
+    _OFFICE_ROWS + """SELECT name AS first_value, concat(name, ',', nation, CASE WHEN c_custkey % 10 = 3 THEN concat(',', segment, ',more') ELSE '' END) AS raw_value,
+'RAGGED_ROW' AS problem FROM offices WHERE office = 'utf-8' AND c_custkey % 10 IN (3, 7)""",
+)
+def load_findings(spark, sf):
+    found = lists.load_list(spark, office_files(spark, sf), multi_line=False).findings
+    return found.select("first_value", "raw_value", "problem")
+
+
+@query(
+    "scan_file_heads",
+    _OFFICE_ROWS + """SELECT 'utf-8' AS encoding, 'name|nation|segment' AS header, count(DISTINCT c_custkey // 500) AS files FROM offices WHERE office = 'utf-8'
+UNION ALL SELECT 'gbk', 'segment|name|nation', least(count(*), 4) FROM offices WHERE office = 'gbk'""",
+)
+def scan_file_heads(spark, sf):
+    """Encodings and headers, told from the written files."""
+    heads = layouts.csv_heads(spark, office_files(spark, sf))
+    return heads.groupBy("encoding", F.array_join("header", "|").alias("header")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def _office_book(batch: pd.DataFrame) -> pd.DataFrame:
+    """A workbook with codes below its header; every second one has its columns in another order."""
+    batch = batch.sort_values("o_orderkey")
+    number = int(batch["o_orderkey"].iloc[0]) // 1000
+    names = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    names = names if number % 2 else names[::-1]
+    body = batch[names].astype(str).values.tolist()
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in _BOOK.items():
+            book.writestr(name, text)
+        book.writestr("xl/worksheets/sheet1.xml", _sheet_xml([names, [f"c_{n}" for n in names], *body]))
+        book.writestr("xl/worksheets/sheet2.xml", _sheet_xml([["rows"]]))
+    return pd.DataFrame({"file": [batch["file"].iloc[0]], "content": [buffer.getvalue()]})
+
+
+@query(
+    "scan_workbook_fleet",
+    """WITH files AS (SELECT concat('orders-', cast(o_orderkey // 1000 AS string)) AS file, count(*) AS n FROM orders GROUP BY 1),
+starts AS (SELECT file, coalesce(sum(n) OVER (ORDER BY file || '/' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files)
+SELECT cast(before + o_orderkey % 1000 + 1 AS bigint) AS _row_num, cast(o_orderkey AS string) AS o_orderkey, o_orderstatus, o_orderpriority,
+'c_o_orderkey|c_o_orderstatus|c_o_orderpriority' AS codes
+FROM orders JOIN starts ON file = concat('orders-', cast(o_orderkey // 1000 AS string))""",
+)
+def scan_workbook_fleet(spark, sf):
+    """Written workbooks with two header rows; each is placed by its own header, and all are parsed once."""
+    folder = shared_folder(spark, "fleet")
+    orders = table(spark, sf, "orders").select(
+        F.concat(F.lit("orders-"), F.floor(F.col("o_orderkey") / 1000).cast("string")).alias("file"), "o_orderkey", "o_orderstatus", "o_orderpriority"
+    )
+    _write_files(orders.groupBy("file").applyInPandas(_office_book, "file string, content binary"), folder)
+    rows = lists.load_list(spark, folder, sheet="orders", code_row=True).rows
+    names = ("o_orderkey", "o_orderstatus", "o_orderpriority")
+    codes = lists.header_codes(rows)
+    return rows.select(L.row_num, *names, F.lit("|".join(codes[n] for n in names)).alias("codes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from ..labels import DEFAULT_LABELS, PRIMARY, Labels
 from ..operators.dedup import dedup_metrics, repeated_rows
 from ..operators.encode import dict_check_errors
 from ..operators.rules import errors_for_export
+from ..scratch import shared_root
 from ..sources.lists import header_codes
 from .run import INTERNAL_DEDUP, ListRun, run_facts
 from .summary import summary_table
@@ -111,19 +113,5 @@ def export_run(
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    The session names the folder. Only where it names none, as in local tests, a local temporary
-    one is made; that is refused on a cluster, whose workers could not see it.
-    """
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all workers share")
-        base = tempfile.mkdtemp(prefix="rollcall-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
+    """A new folder below the folder that driver and executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

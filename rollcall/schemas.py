@@ -22,6 +22,9 @@ def _schema(text: str) -> T.StructType:
 ERROR_SCHEMA = _schema(
     "field string, row_num long, raw_value string, problem string, detail string"
 )
+FINDING_SCHEMA = _schema(
+    "path string, row_num long, first_value string, raw_value string, problem string"
+)
 SPEC_SCHEMA = _schema(
     "spec_id string, name string, attr_code string, category string, type string, sub_type string, "
     "dict_id string, regex string, required boolean, max_length int, ord long"

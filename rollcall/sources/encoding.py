@@ -32,7 +32,9 @@ def _decodes(head: bytes, encoding: str) -> bool:
     return True
 
 
-def _encoding_of(head: bytes) -> str:
+def encoding_of(head: bytes) -> str:
+    """The encoding of a text by its first bytes; more than the sample may be given."""
+    head = head[: SAMPLE_BYTES + LONGEST_CHARACTER]
     if head.startswith(UTF8_MARK):
         return "utf-8-sig"
     return next((c for c in CANDIDATES if _decodes(head, c)), CANDIDATES[0])
@@ -40,14 +42,14 @@ def _encoding_of(head: bytes) -> str:
 
 @F.pandas_udf(T.StringType())
 def _detect(heads: pd.Series) -> pd.Series:
-    return heads.map(_encoding_of)
+    return heads.map(encoding_of)
 
 
 def detect_encodings(files: DataFrame) -> DataFrame:
     """Encoding per file; takes ``path`` and ``content`` of the ``binaryFile`` source.
 
     Only the head of each file crosses into Python. The source itself reads whole files and
-    refuses those above 2 GB: give such files their encoding explicitly.
+    refuses those above 2 GB; ``layouts.csv_heads`` has no such limit.
     """
     head = F.substring("content", 1, SAMPLE_BYTES + LONGEST_CHARACTER)
     return files.select("path", _detect(head).alias("encoding"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EmptyInputError, InputError
 from ..functions.text import col
 from ..labels import DEFAULT_LABELS, PRIMARY, Labels
-from .encoding import CHARSETS, SPARK_CHARSETS, detect_encodings, read_binary
-
-log = logging.getLogger(__name__)
+from ..schemas import FINDING_SCHEMA
+from .encoding import read_binary
+from .layouts import RAGGED, RAW, charset_of, csv_layouts, scan_layouts
+from .numbers import BLOCK, FILE, POSITION, placed_rows, split_offsets, with_numbers
+from .workbooks import workbook_cells, workbook_list
 
 
 def read_csv_list(
@@ -28,10 +30,7 @@ def read_csv_list(
     ``multi_line`` accepts line breaks inside quotes but reads a file in one task. Pass False for
     files known to have none: large files are then split.
     """
-    charset = CHARSETS.get(encoding.lower(), encoding)
-    if charset.upper() not in SPARK_CHARSETS:
-        log.info("enabling JVM charsets for %s", charset)
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    charset = charset_of(spark, encoding)
     try:
         rows = (
             spark.read.option("header", True)
@@ -53,18 +52,8 @@ def read_csv_list(
 
 
 def read_csv_folder(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All CSV files of a folder, each decoded by its detected encoding."""
-    found = detect_encodings(read_binary(spark, path))
-    by_encoding: dict[str, list[str]] = {}
-    for row in found.collect():  # one short row per file, like the file listing itself
-        by_encoding.setdefault(CHARSETS[row["encoding"]], []).append(row["path"])
-    if not by_encoding:
-        raise InputError(f"文件不存在: {path}", code="NOT_FOUND")
-    parts = [read_csv_list(spark, paths, e, multi_line) for e, paths in sorted(by_encoding.items())]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+    """All CSV files of a folder, each by its own encoding and header."""
+    return scan_layouts(spark, csv_layouts(spark, path), multi_line).drop(FILE, BLOCK, POSITION)
 
 
 def spread(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
@@ -90,39 +79,11 @@ def number_rows(
     """Adds dense row numbers in file order; ``rows`` must come straight from a file source.
 
     Rows are counted per file split, the counts are summed up over the splits (one small row per
-    split), and every row adds its position inside its split. No sort and no shuffle of the rows.
+    split), and every row adds its position inside its split; see ``with_numbers``.
     ``row_index=True`` uses the position that the Parquet source knows itself.
     """
-    path = F.col("_metadata.file_path").alias("__file")
-    block = F.lit(0).cast("long") if row_index else F.col("_metadata.file_block_start")
-    position = F.col("_metadata.row_index") if row_index else F.monotonically_increasing_id()
-    placed = rows.select("*", path, block.alias("__block"), position.alias("__pos"))
-    blocks = (
-        rows.select(path, block.alias("__block"), position.alias("__pos"))
-        .groupBy("__file", "__block")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
-    )
-    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__n"))
-    earlier = (Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("__file").orderBy("__block").rowsBetween(*earlier)
-    # One row per file, not per list row: the only place where everything meets in one task.
-    over_files = Window.orderBy("__file").rowsBetween(*earlier)
-    file_start = files.select(
-        "__file", F.coalesce(F.sum("__n").over(over_files), F.lit(0)).alias("__file_start")
-    )
-    offsets = blocks.join(file_start, "__file").select(
-        "__file",
-        "__block",
-        (
-            F.col("__file_start")
-            + F.coalesce(F.sum("__n").over(in_file), F.lit(0))
-            - F.col("__first")
-        ).alias("__offset"),
-    )
-    return placed.join(offsets, ["__file", "__block"]).select(
-        *[col(name) for name in rows.columns],
-        (F.col("__offset") + F.col("__pos") + F.lit(start)).alias(labels.row_num),
-    )
+    placed = placed_rows(rows, row_index)
+    return with_numbers(placed, split_offsets(placed), start, labels).drop(FILE, BLOCK, POSITION)
 
 
 def split_header_row(rows: DataFrame, labels: Labels = DEFAULT_LABELS) -> DataFrame:
@@ -144,24 +105,98 @@ def header_codes(rows: DataFrame) -> dict[str, str]:
     return {f.name: f.metadata["code"] for f in rows.schema.fields if "code" in f.metadata}
 
 
-def load_lists(
+class LoadedList(NamedTuple):
+    """A numbered list and what was odd about its rows."""
+
+    rows: DataFrame
+    findings: DataFrame
+
+
+def load_list(
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    labels: Labels = DEFAULT_LABELS,
+    multi_line: bool = True,
+    sheet: str | None = None,
+    code_row: bool = False,
+) -> LoadedList:
+    """One list from a file or folder: workbooks if their name or ``sheet`` says so, else CSV.
+
+    Every CSV file is read by its own encoding (``encoding`` overrides what its head tells) and header, every
+    workbook by its own header. ``code_row``: the first row below each header holds codes. It is no row
+    of the list; the first file's codes become column metadata. Findings are CSV rows with more or
+    fewer cells than their header: file, row number, first value, raw text, problem.
+    """
+    if sheet is not None or path.lower().endswith(".xlsx"):
+        files = read_binary(spark, path)
+        if files.select("path").isEmpty():
+            raise EmptyInputError(f"文件为空: {path}")
+        numbered = workbook_list(workbook_cells(files), None, sheet, labels, 2 if code_row else 1).withColumnRenamed("path", FILE)
+        checked = None
+    else:
+        found = csv_layouts(spark, path, encoding)
+        placed = scan_layouts(spark, found, multi_line)
+        offsets = split_offsets(placed, code_row)
+        numbered = with_numbers(placed, offsets, labels=labels).drop(BLOCK, POSITION)
+        checked = with_numbers(scan_layouts(spark, found, multi_line, raw=True), offsets, labels=labels)
+    body = numbered.filter(col(labels.row_num) > 0) if code_row else numbered
+    if body.isEmpty():
+        raise EmptyInputError("文件只有表头无数据" if code_row else f"文件为空: {path}")
+    names = [n for n in numbered.columns if n not in (FILE, labels.row_num)]
+    rows = body.select(*[col(n) for n in names], col(labels.row_num))
+    if code_row:
+        codes = numbered.filter(col(labels.row_num) == 0).orderBy(FILE).select(*[col(n) for n in names]).first()
+        for name, code in zip(names, codes or ()):
+            rows = rows.withMetadata(name, {"code": code or ""})
+    if checked is None:
+        return LoadedList(rows, spark.createDataFrame([], FINDING_SCHEMA))
+    ragged = checked.filter(F.col(RAW).isNotNull() & (col(labels.row_num) > 0))
+    return LoadedList(
+        rows,
+        ragged.select(
+            F.col(FILE).alias("path"), col(labels.row_num).alias("row_num"), col(names[0]).alias("first_value"),
+            F.col(RAW).alias("raw_value"), F.lit(RAGGED).alias("problem"),
+        ),
+    )
+
+
+def load_all(
     spark: SparkSession,
     paths: Mapping[str, str | None],
     encodings: Mapping[str, str] | None = None,
     labels: Labels = DEFAULT_LABELS,
     multi_line: bool = True,
-) -> dict[str, DataFrame]:
-    """Lazy tables per list, tagged and numbered; lists with a blank path are left out."""
+    sheets: Mapping[str, str] | None = None,
+    code_rows: Collection[str] = (),
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Lazy tables per list, tagged and numbered, and the findings of all lists; blank paths are left out.
+
+    ``sheets`` chooses a workbook sheet per list, ``code_rows`` names lists with a second header row.
+    """
     if not paths.get(PRIMARY):
         raise InputError("the primary list is mandatory", code="PRIMARY_MISSING")
-    encodings = encodings or {}
-    lists = {}
+    encodings, sheets = encodings or {}, sheets or {}
+    lists: dict[str, DataFrame] = {}
+    findings = None
     for key, path in paths.items():
         if path:
-            scan = read_csv_list(spark, path, encodings.get(key, "utf-8"), multi_line)
-            rows = spread(number_rows(scan, labels=labels), scan)
-            lists[key] = tag_source(rows, key, labels)
-    return lists
+            loaded = load_list(spark, path, encodings.get(key), labels, multi_line, sheets.get(key), key in code_rows)
+            lists[key] = tag_source(spread(loaded.rows), key, labels)
+            found = loaded.findings.select(F.lit(key).alias("list"), "*")
+            findings = found if findings is None else findings.unionByName(found)
+    return lists, findings
+
+
+def load_lists(
+    spark: SparkSession,
+    paths: Mapping[str, str | None],
+    encodings: Mapping[str, str] | None = None,
+    labels: Labels = DEFAULT_LABELS,
+    multi_line: bool = True,
+) -> dict[str, DataFrame]:
+    """The tables of ``load_all``."""
+    return load_all(spark, paths, encodings, labels, multi_line)[0]
 
 
 def list_counts(lists: Mapping[str, DataFrame], labels: Labels = DEFAULT_LABELS) -> DataFrame:

@@ -12,16 +12,22 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmptyInputError
-from ..functions.text import col
 from ..labels import DEFAULT_LABELS, Labels
+from ..operators.lookup import lookup_join
 from ..schemas import CELL_SCHEMA
+from ..scratch import settled
+from .numbers import running_starts
+
+ROWS_AT_A_TIME = 10_000
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -119,21 +125,22 @@ def _sheet_rows(book, member, shared, date_styles) -> Iterator[tuple[int, list[s
             yield number, cells
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = CELL_SCHEMA.names
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as book:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as book:
                 shared, dates = _shared_texts(book), _date_styles(book)
                 for pos, (sheet, member) in enumerate(_sheets(book)):
-                    out = []
-                    for number, cells in _sheet_rows(book, member, shared, dates):
-                        out.append((path, pos, sheet, number, cells))
-                        if len(out) == 10_000:
-                            yield pd.DataFrame(out, columns=columns)
-                            out = []
-                    if out:
-                        yield pd.DataFrame(out, columns=columns)
+                    rows = _sheet_rows(book, member, shared, dates)
+                    while some := list(islice(rows, ROWS_AT_A_TIME)):
+                        n = len(some)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([path] * n, pa.string()), pa.array([pos] * n, pa.int32()), pa.array([sheet] * n, pa.string()),
+                                pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.list_(pa.string())),
+                            ],
+                            names=CELL_SCHEMA.names,
+                        )
 
 
 def _list_sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +153,7 @@ def _list_sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """All rows of all sheets: path, sheet_pos, sheet, row_idx (1-based), cells."""
-    return files.select("path", "content").mapInPandas(_parse, CELL_SCHEMA)
+    return files.select("path", "content").mapInArrow(_parse, CELL_SCHEMA)
 
 
 def workbook_sheets(files: DataFrame) -> DataFrame:
@@ -162,41 +169,40 @@ def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
 
 
 def workbook_list(
-    cells: DataFrame, columns: list[str] | None = None, sheet: str | None = None, labels: Labels = DEFAULT_LABELS
+    cells: DataFrame,
+    columns: list[str] | None = None,
+    sheet: str | None = None,
+    labels: Labels = DEFAULT_LABELS,
+    header_rows: int = 1,
 ) -> DataFrame:
     """One sheet per workbook as a list: named text columns, ``path`` and row numbers.
 
     Row 1 of every sheet is its header. Without ``columns`` each workbook's cells are placed by its own
     header, so workbooks may order their columns differently; the list has every name that occurs,
-    in the order of first occurrence. Cells under a blank header are left out. Row numbers are dense
-    over the fleet, in the order of paths, so that a number names one row.
+    in the order of first occurrence. Cells under a blank header are left out. With two ``header_rows`` the
+    second one, which holds codes, gets number 0. Row numbers are dense over the fleet, in
+    the order of paths, so that a number names one row.
+
+    The fleet is parsed once: the chosen sheet's rows are written, and headers, row counts and the list
+    itself are read from there.
     """
-    chosen = pick_sheet(cells, sheet)
+    chosen = settled(pick_sheet(cells, sheet).select("path", "row_idx", "cells"))
+    headers = chosen.filter("row_idx = 1").select("path", F.col("cells").alias("header"))
+    last = chosen.groupBy("path").agg(F.max("row_idx").alias("last"))
+    counted = last.withColumn("__rows", F.greatest(F.col("last") - header_rows, F.lit(0)))
+    files = running_starts(counted, ["path"], "__rows", "__start")
     if columns is None:
-        headers = _distinct_headers(chosen)
-        columns = list(dict.fromkeys(name for header in headers for name in header if name))
+        layouts = headers.groupBy("header").agg(F.min("path").alias("first")).orderBy("first").collect()  # one row per layout
+        columns = list(dict.fromkeys(name for r in layouts for name in r["header"] if name))
         if not columns:
             raise EmptyInputError("文件为空")
-        own = chosen.filter("row_idx = 1").select("path", F.col("cells").alias("__header"))
-        # The header of a workbook is one short row; its place map is worked out once per workbook.
-        places = own.select("path", *[F.array_position("__header", name).cast("int").alias(f"__at_{i}") for i, name in enumerate(columns)])
-        body = chosen.filter("row_idx > 1").join(places, "path")
-        values = [F.get("cells", F.nullif(F.col(f"__at_{i}"), F.lit(0)) - 1).alias(name) for i, name in enumerate(columns)]
+        places = F.array(*[F.array_position("header", name).cast("int") for name in columns])
+        files = files.join(headers.select("path", places.alias("__places")), "path")
     else:
-        body = chosen.filter("row_idx > 1")
-        values = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(columns)]
-    last = chosen.groupBy("path").agg(F.max("row_idx").alias("last"))
-    # One row per workbook: the only place where everything meets.
-    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = last.select(F.col("path"), F.coalesce(F.sum(F.col("last") - 1).over(earlier), F.lit(0)).alias("__start"))
-    return body.join(starts, "path").select(
-        *values,
-        col("path"),
-        (F.col("__start") + F.col("row_idx") - 1).alias(labels.row_num),
-    )
-
-
-def _distinct_headers(chosen: DataFrame) -> list[list[str]]:
-    """The different header rows, by first path: as many as there are layouts, not workbooks."""
-    rows = chosen.filter("row_idx = 1").groupBy("cells").agg(F.min("path").alias("path")).orderBy("path").collect()
-    return [[name for name in r["cells"] if name] for r in rows]
+        files = files.withColumn("__places", F.array(*[F.lit(i + 1) for i in range(len(columns))]))
+    table = files.select("path", "__start", "__places", F.col("last").alias("__last"))
+    body = chosen.filter("row_idx > 1").withColumn("__file", F.col("path"))
+    placed = lookup_join(body, table, F.col("path"), "path", F.col("row_idx"), key_rows="__last").filter("__places IS NOT NULL")
+    values = [F.get("cells", F.nullif(F.get("__places", F.lit(i)), F.lit(0)) - 1).alias(name) for i, name in enumerate(columns)]
+    number = F.when(F.col("row_idx") > header_rows, F.col("__start") + F.col("row_idx") - header_rows).otherwise(F.lit(0))
+    return placed.select(*values, F.col("__file").alias("path"), number.cast("bigint").alias(labels.row_num))

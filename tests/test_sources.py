@@ -2,13 +2,14 @@ import os
 import zipfile
 
 import pytest
-from helpers import one_column, values
+from helpers import one_column, plan_text, values
 from pyspark.sql import functions as F
 
 from rollcall.errors import EmptyInputError, InputError
 from rollcall.labels import DEFAULT_LABELS as L
+from rollcall.operators import lookup
 from rollcall.operators.rules import FieldRule, FieldSpec
-from rollcall.sources import encoding, lists, workbooks
+from rollcall.sources import encoding, layouts, lists, workbooks
 from rollcall.streaming import mark_stream
 
 
@@ -169,3 +170,72 @@ def test_stream_of_rows(spark, folder):
     assert one_column(got, L.rule_status) == ["不通过", "通过"]
     assert one_column(got, "kind_Code") == ["1", "未匹配"]
     assert one_column(got, L.dict_status) == ["通过", "不通过"]
+
+
+def test_files_with_other_encoding_and_column_order(spark, folder):
+    put(folder, "a 1.csv", "姓名,邮箱\n张三,a@x.cn\n李四,b@x.cn,extra\n王五\n".encode())
+    put(folder, "b[1].csv", "邮箱,姓名,备注\nc@x.cn,赵六,\"两\n行\"\n".encode("gbk"))
+    put(folder, "c.csv", '"姓名","邮箱\n地址","姓名"\n孙七,d@x.cn,八\n'.encode())
+    put(folder, "empty.csv", b"")
+    found = layouts.csv_layouts(spark, folder)
+    assert [(x.encoding, x.names, x.spans) for x in found] == [
+        ("utf-8", ["姓名", "邮箱"], False), ("gbk", ["邮箱", "姓名", "备注"], False), ("utf-8", ["姓名", "邮箱\n地址", "姓名_duplicated_0"], True),
+    ]
+    loaded = lists.load_list(spark, folder)
+    assert loaded.rows.columns == ["姓名", "邮箱", "备注", "邮箱\n地址", "姓名_duplicated_0", "_row_num"]
+    assert values(loaded.rows, "_row_num", "姓名", "邮箱", "备注", "邮箱\n地址", "姓名_duplicated_0") == [
+        (1, "张三", "a@x.cn", None, None, None), (2, "李四", "b@x.cn", None, None, None), (3, "王五", None, None, None, None),
+        (4, "赵六", "c@x.cn", "两\n行", None, None), (5, "孙七", None, None, "d@x.cn", "八"),
+    ]
+    assert values(loaded.findings, "row_num", "first_value", "raw_value", "problem") == [
+        (2, "李四", "李四,b@x.cn,extra", "RAGGED_ROW"), (3, "王五", "王五", "RAGGED_ROW"),
+    ]
+    assert "a%201.csv" in loaded.findings.first()["path"]
+    # A count looks at one column at least; it must not depend on which one.
+    assert loaded.rows.count() == 5 and loaded.findings.count() == 2
+
+
+def test_code_row_below_each_header(spark, folder):
+    put(folder, "a.csv", b"name,mail\nc_name,\nx,1\ny,2\n")
+    put(folder, "b.csv", b"mail,name\nc_mail,c_name\n3,z\n")
+    both, findings = lists.load_all(spark, {"primary": folder, "partner": folder, "vendor": ""}, code_rows=["primary"])
+    assert values(both["primary"], "_row_num", "name", "mail") == [(1, "x", "1"), (2, "y", "2"), (3, "z", "3")]
+    assert lists.header_codes(both["primary"]) == {"name": "c_name", "mail": ""}
+    assert both["partner"].count() == 5 and findings.count() == 0
+    os.mkdir(folder + "/only")
+    put(folder + "/only", "a.csv", b"name,mail\nc_name,c_mail\n")
+    with pytest.raises(EmptyInputError):
+        lists.load_list(spark, folder + "/only", code_row=True)
+
+
+def test_heads_look_at_first_splits_only(spark, folder):
+    put(folder, "long.csv", ("h" * 5_000 + ",b\n" + "x,y\n" * 40_000).encode())
+    put(folder, "plain.csv", b"a,b\n1,2\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        assert sorted(len(r["header"][0]) for r in layouts.csv_heads(spark, folder).collect()) == [1, 5_000]
+        assert lists.load_list(spark, folder, multi_line=False).rows.agg(F.max("_row_num")).first()[0] == 40_001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_workbook_lists_with_codes(spark, folder):
+    workbook(folder + "/a.xlsx")
+    workbook(folder + "/b.xlsx")
+    loaded = lists.load_list(spark, folder, sheet="名单", code_row=True)
+    # Row 2 of the sheet is blank and not stored, so there is no code; rows 3 and 4 are the list.
+    assert values(loaded.rows, "_row_num", "name") == [(1, "Zhang"), (2, None), (3, "Zhang"), (4, None)]
+    assert loaded.findings.count() == 0
+    one = lists.load_list(spark, folder + "/a.xlsx")
+    assert values(one.rows, "_row_num", "name") == [(2, "Zhang"), (3, None)]
+    assert "Map" not in plan_text(one.rows), "the fleet is parsed once, by the job that wrote its rows"
+
+
+def test_offsets_beyond_a_broadcast(spark, folder, monkeypatch):
+    monkeypatch.setattr(lookup, "SMALL_BYTES", 0)
+    monkeypatch.setattr(lookup, "TARGET_ROWS", 100)
+    spark.range(3_000).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(folder + "/t")
+    got = lists.number_rows(spark.read.parquet(folder + "/t"), row_index=True)
+    assert got.filter(F.col("id") + 1 != F.col(L.row_num)).count() == 0 and got.count() == 3_000
+    assert "__lookup_salt" in plan_text(got), "a split's rows are spread"

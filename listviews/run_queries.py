@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.text import base_name, duration_text, file_stem, short_path
 from rollcall.labels import DEFAULT_LABELS as L
 from rollcall.labels import PARTNER, PRIMARY, VENDOR
-from rollcall.plans import export, history, run, summary
+from rollcall.plans import export, history, journal, run, summary
 
 from .dedup_queries import MARK_SQL, dedup_select
 from .dictionary_queries import CODE_SQL, UNMATCHED, entries
@@ -79,6 +79,45 @@ def full_run_partner(spark, sf):
     return whole_run(spark, sf).lists[PARTNER]
 
 
+def staged_run(spark, sf, folder, dictionary, **options):
+    lists = {k: view(spark, sf, f"{k}_list") for k in (PRIMARY, PARTNER, VENDOR)}
+    return journal.run_staged(
+        lists, SPEC, dictionary, key="email", journal=f"{folder}/journal", work_dir=f"{folder}/work", run_id="r1", **options
+    )
+
+
+@query("stage_log", RUN + "," + METRICS + "SELECT pos, stage, 'completed' AS status, success, fail, skip FROM metrics")
+def stage_log(spark, sf):
+    """Every stage executed where it ends; its counts are those observed by its write."""
+    folder = export.shared_folder(spark, "staged")
+    done, _ = staged_run(spark, sf, folder, entries(spark, sf))
+    return journal.stage_log(done, journal.read_journal(spark, f"{folder}/journal"), "r1").drop("message", "elapsed_ms")
+
+
+@query(
+    "run_resume",
+    RUN + "," + METRICS + "SELECT pos, stage, CASE WHEN pos <= 2 THEN 'resumed' ELSE 'completed' END AS status, success, fail, skip FROM metrics",
+)
+def run_resume(spark, sf):
+    """The dictionary breaks while stage 3 runs; a second call takes the stages before it from their folders."""
+    folder = export.shared_folder(spark, "resumed")
+    good = entries(spark, sf)
+    broken = good.withColumn("code", F.when(F.col("dict_id") == "status", F.raise_error(F.lit("broken"))).otherwise(F.col("code")))
+    staged_run(spark, sf, folder, broken)
+    done, _ = staged_run(spark, sf, folder, good)
+    return journal.stage_log(done, journal.read_journal(spark, f"{folder}/journal"), "r1").drop("message", "elapsed_ms")
+
+
+@query(
+    "full_run_staged",
+    RUN + f"""SELECT _row_num, name, email, mobile, birthday, amount, units, {CODE_SQL}, remark, id_card, {MARKS}, {MARK_SQL},
+CASE WHEN dict_errors = 0 THEN '通过' ELSE '不通过' END AS "字典校验_状态", dict_errors AS "字典校验_错误数" FROM chk""",
+)
+def full_run_staged(spark, sf):
+    """The primary list as the last stage wrote it."""
+    return staged_run(spark, sf, export.shared_folder(spark, "staged"), entries(spark, sf))[0].primary
+
+
 @query("stage_metrics", RUN + "," + METRICS + "SELECT * FROM metrics")
 def stage_metrics(spark, sf):
     return run.stage_metrics(whole_run(spark, sf))
@@ -188,6 +227,31 @@ def export_header_map(spark, sf):
     return one.select("n", F.inline("h"))
 
 
+@query("export_repeats", RUN + f"SELECT _row_num, name, email, {MARK_SQL} FROM chk WHERE mark = '重复'")
+def export_repeats(spark, sf):
+    """The repeats data set, read back from an export."""
+    written = export.export_run(
+        whole_run(spark, sf), export.shared_folder(spark, "export"), timestamp="20240101_000000", repeats=True
+    )
+    rows = spark.read.parquet(f"{written[PRIMARY]}/repeats")
+    return rows.select(L.row_num, "name", "email", L.dedup, L.dup_key, L.occurrences)
+
+
+@query(
+    "export_header",
+    with_views("vendor_list") + """SELECT pos, name, code, (SELECT count(*) FROM vendor_list) AS n FROM (VALUES
+(0, '_row_num', '系统生成'), (1, 'name', 'attr_name'), (2, 'email', '系统生成')) h(pos, name, code)""",
+)
+def export_header(spark, sf):
+    """The header data set next to the written list; both are read back from an export."""
+    rows = view(spark, sf, "vendor_list").withMetadata("name", {"code": "attr_name"})
+    written = export.export_run(
+        run.run_lists({PRIMARY: rows}, stages=[]), export.shared_folder(spark, "export"), timestamp="20240101_000000"
+    )
+    counted = spark.read.parquet(f"{written[PRIMARY]}/data").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{written[PRIMARY]}/header").crossJoin(F.broadcast(counted))
+
+
 LATEST = with_views("run_log") + """, latest AS (SELECT run_id, arg_max(status, event_time) FILTER (WHERE status IS NOT NULL) AS status,
 arg_max(total_records, event_time) FILTER (WHERE total_records IS NOT NULL) AS total_records,
 arg_max(output_dir, event_time) FILTER (WHERE output_dir IS NOT NULL) AS output_dir,
@@ -202,13 +266,14 @@ def runs_latest_state(spark, sf):
 
 @query(
     "runs_top_n",
-    with_views("run_log") + """SELECT run_id, status, concat_ws('|', coalesce(run_id, ''), coalesce(status, '')) AS inputs FROM run_log ORDER BY event_time DESC, run_id LIMIT 50""",
+    with_views("run_log") + """, states AS (SELECT run_id, arg_max(status, event_time) FILTER (WHERE status IS NOT NULL) AS status, max(event_time) AS start_time FROM run_log GROUP BY run_id)
+SELECT run_id, status, concat_ws('|', coalesce(run_id, ''), coalesce(status, '')) AS inputs FROM states ORDER BY start_time DESC, run_id LIMIT 50""",
 )
 def runs_top_n(spark, sf):
-    log = view(spark, sf, "run_log").select(
-        "run_id", "status", F.col("event_time").alias("start_time"), F.col("run_id").alias("in_a"), F.col("status").alias("in_b")
-    )
-    top = history.run_inputs(history.newest_runs(log, 50), {"primary": "in_a", "dict": "in_b"})
+    """The latest 50 runs by their current state, not by their log events."""
+    log = view(spark, sf, "run_log").select("run_id", "event_time", "status", F.col("event_time").alias("start_time"))
+    states = history.latest_runs(log).withColumns({"in_a": F.col("run_id"), "in_b": F.col("status")})
+    top = history.run_inputs(history.newest_runs(states, 50), {"primary": "in_a", "dict": "in_b"})
     inputs = F.concat_ws("|", F.coalesce(F.col("inputs")["primary"], F.lit("")), F.coalesce(F.col("inputs")["dict"], F.lit("")))
     return top.select("run_id", "status", inputs.alias("inputs"))
 

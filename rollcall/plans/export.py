@@ -6,7 +6,7 @@ import uuid
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -16,7 +16,7 @@ from ..operators.encode import dict_check_errors
 from ..operators.rules import errors_for_export
 from ..scratch import shared_root
 from ..sources.lists import header_codes
-from .run import INTERNAL_DEDUP, ListRun, run_facts
+from .run import INTERNAL_DEDUP, ListRun, facts_row, list_expressions
 from .summary import summary_table
 
 # A long list gets files of this many rows; a short one is dealt to all cores, down to the lower bound.
@@ -73,20 +73,24 @@ def export_run(
     """Writes data, header, summary and error tables per list; returns the folder per list.
 
     Empty lists are left out (rows are never removed, so an empty input is an empty result). The
-    data set is written first; summary, dictionary errors and repeats are then read from it instead
-    of computing the marks again.
+    data set is written first, and what the summary counts is observed by that write; dictionary errors
+    and repeats are then read from it instead of computing the marks again.
     """
     labels = run.labels
     spark: SparkSession = run.primary.sparkSession
     batch = f"{output}/批次_{timestamp or datetime.now().strftime('%Y%m%d_%H%M%S')}"
     written: dict[str, str] = {}
+    expressions, found = list_expressions(run), {}
     kept = replace(run, lists=dict(run.lists), errors=dict(run.errors))
     for key, rows in run.lists.items():
         last = _last_row(run.inputs.get(key, rows), labels)
         if last is None:
             continue
         folder = written[key] = f"{batch}/list={key}"
-        write_dataset(in_row_order(rows, labels.row_num, last) if last else rows, f"{folder}/data", fmt)
+        seen = Observation()
+        counted = [F.expr(f"cast({e} as long)").alias(n) for n, e in expressions[key].items()]
+        write_dataset((in_row_order(rows, labels.row_num, last) if last else rows).observe(seen, *counted), f"{folder}/data", fmt)
+        found |= seen.get
         if fmt == "parquet":
             kept.lists[key] = spark.read.schema(rows.schema).parquet(f"{folder}/data")
         codes = header_codes(rows)
@@ -94,15 +98,14 @@ def export_run(
             write_dataset(header_map(rows, codes, labels), f"{folder}/header", fmt)
     if DICT_ERRORS in kept.errors:
         kept.errors[DICT_ERRORS] = dict_check_errors(kept.primary, labels)
-    counted = run_facts(kept)
-    facts = spark.createDataFrame([counted.first()], counted.schema)
+    facts = facts_row(spark, found)
     for key, folder in written.items():
         write_dataset(summary_table(kept, key, start=start, end=end, facts=facts), f"{folder}/summary", fmt)
         if key == PRIMARY:
             for name, errors in kept.errors.items():
                 write_dataset(errors_for_export(errors), f"{folder}/errors_{name}", fmt)
             if repeats and run.ran(INTERNAL_DEDUP):
-                some = facts.first()["repeat_rows"] > 0
+                some = (found.get("repeat_rows") or 0) > 0
                 marked = kept.primary
                 write_dataset(
                     repeated_rows(marked, labels) if some else dedup_metrics(marked, labels),

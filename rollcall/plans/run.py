@@ -7,11 +7,14 @@ cross-list matching. Rows are never removed; every stage adds marker columns.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import Protocol
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CriticalError, InputError, StageError
@@ -69,6 +72,16 @@ class ListRun:
         return any(s.status == FAILED for s in self.stages)
 
 
+class StageBoundary(Protocol):
+    """Executes stages where they end and keeps account of them."""
+
+    def execute(self, run: ListRun, stage: str, action: Callable[[ListRun], None]) -> None: ...
+
+    def skipped(self, run: ListRun, stage: str, reason: str) -> None: ...
+
+    def failed(self, run: ListRun, stage: str, error: str) -> None: ...
+
+
 def _need_spec(run: ListRun) -> str | None:
     return None if run.spec is not None else "请先执行字段规范导入"
 
@@ -101,9 +114,14 @@ def _field_rules(run: ListRun) -> None:
 
 def _store_marked(run: ListRun, folder: str) -> None:
     """Writes the marked list; the error table then looks at the failing rows only."""
+    run.lists[PRIMARY] = stored(run.primary, folder)
+    errors_of_failing(run)
+
+
+def errors_of_failing(run: ListRun) -> None:
+    """Takes the error table from the failing rows of a marked list that is already written."""
     columns = [col(c) for c in run.inputs[PRIMARY].columns]
-    marked = run.lists[PRIMARY] = stored(run.primary, folder)
-    failing = marked.filter(col(run.labels.rule_status) == run.labels.failed).select(*columns)
+    failing = run.primary.filter(col(run.labels.rule_status) == run.labels.failed).select(*columns)
     run.errors[PRIMARY] = validation_errors(failing, run.spec, run.labels)
 
 
@@ -164,6 +182,7 @@ def run_lists(
     check_rows: bool = True,
     work_dir: str | None = None,
     labels: Labels = DEFAULT_LABELS,
+    boundary: StageBoundary | None = None,
 ) -> ListRun:
     """Applies the chosen stages; a stage whose precondition fails is skipped with its reason.
 
@@ -173,7 +192,9 @@ def run_lists(
     from end to end, and each consumer of the markers evaluates the rules for itself.
 
     ``check_rows`` also checks that there are rows to work on (a look for one row, not a count).
-    Input errors abort the run, other errors fail their stage and the run goes on.
+    Input errors abort the run, other errors fail their stage and the run goes on with the lists as they
+    were before it. ``boundary`` executes every stage where it ends (``plans.journal``), so that errors of
+    its jobs fail the stage too.
     """
     unknown = set(stages) - set(STAGES)
     if unknown:
@@ -199,69 +220,102 @@ def run_lists(
         if reason is not None:
             log.warning("stage %s skipped: %s", stage, reason)
             run.stages.append(StageState(stage, SKIPPED, reason))
+            if boundary:
+                boundary.skipped(run, stage, reason)
             continue
+        before = replace(run, lists=dict(run.lists), errors=dict(run.errors), encoded=dict(run.encoded))
         try:
-            _ACTIONS[stage](run)
-            if stage == FIELD_RULES and work_dir:
-                _store_marked(run, f"{work_dir}/marked")
+            if boundary:
+                boundary.execute(run, stage, _ACTIONS[stage])
+            else:
+                _ACTIONS[stage](run)
+            if stage == FIELD_RULES and work_dir and not boundary:
+                _store_marked(run, f"{work_dir}/marked-{uuid.uuid4().hex}")
         except (InputError, CriticalError):
             raise
-        except (StageError, PySparkException, TypeError, ValueError, AttributeError) as e:
+        except (StageError, PySparkException, Py4JError, TypeError, ValueError, AttributeError) as e:
             log.exception("stage %s failed", stage)
+            run.lists, run.errors, run.encoded = before.lists, before.errors, before.encoded
             run.stages.append(StageState(stage, FAILED, f"执行异常: {e}"))
+            if boundary:
+                boundary.failed(run, stage, str(e))
             continue
         run.stages.append(StageState(stage, COMPLETED))
     return run
 
 
-def run_facts(run: ListRun) -> DataFrame:
-    """All counts of a run in one row; each list is read once, however many counts come from it."""
+def stage_expressions(run: ListRun, stage: str) -> dict[str, dict[str, str]]:
+    """What a stage counts, per list: name of the fact and its aggregate as SQL text."""
     labels = run.labels
-    rows = run.primary
 
     def hits(frame: DataFrame, column: str, value: str) -> str:
         present = column in frame.columns
         return f"count_if({sql_name(column)} = {sql_text(value)})" if present else "max(0L)"
 
-    def counts(frame: DataFrame, named: dict[str, str]) -> DataFrame:
-        pairs = ", ".join(f"struct('{n}' as fact, cast({n} as long) as value)" for n in named)
-        return frame.agg(*[F.expr(f"{e} as {n}") for n, e in named.items()]).selectExpr(f"inline(array({pairs}))")
-
-    primary = {"primary_rows": "count(1)"}
-    if run.ran(FIELD_RULES):
-        primary["passed_rows"] = hits(rows, labels.rule_status, labels.passed)
-        primary["failed_rows"] = hits(rows, labels.rule_status, labels.failed)
-        primary["rule_problems"] = f"sum({sql_name(labels.rule_count)})"
+    facts: dict[str, str] = {}
+    if stage == FIELD_RULES:
+        facts["passed_rows"] = hits(run.primary, labels.rule_status, labels.passed)
+        facts["failed_rows"] = hits(run.primary, labels.rule_status, labels.failed)
+        facts["rule_problems"] = f"sum({sql_name(labels.rule_count)})"
         types = sql_name(labels.rule_types)
         for code in PROBLEM_CODES:
             # No code is part of another one, so removing it shows how often it occurs.
             removed = f"char_length({types}) - char_length(replace({types}, '{code}', ''))"
-            primary[code] = f"sum(({removed}) div {len(code)})"
-    if run.ran(INTERNAL_DEDUP):
+            facts[code] = f"sum(({removed}) div {len(code)})"
+    elif stage == INTERNAL_DEDUP:
         for fact, mark in (
             ("original_rows", labels.original),
             ("repeat_rows", labels.repeat),
             ("unknown_rows", labels.unknown),
             ("skipped_rows", labels.skipped),
         ):
-            primary[fact] = hits(rows, labels.dedup, mark)
-    if run.ran(DICT_ENCODE) and run.encoded:
+            facts[fact] = hits(run.primary, labels.dedup, mark)
+    elif stage == DICT_ENCODE and run.encoded:
         unmatched = sql_text(labels.unmatched)
         codes = [sql_name(name + labels.code_suffix) for name in run.encoded]
-        primary["matched_codes"] = " + ".join(f"count_if({c} <> {unmatched})" for c in codes)
-        primary["all_codes"] = f"count(1) * {len(codes)}"
-    if run.ran(DICT_CHECK):
-        primary["dict_problems"] = f"sum({sql_name(labels.dict_count)})"
-    long = counts(rows, primary)
-    for key in (PARTNER, VENDOR):
-        if key in run.lists:
-            other = run.lists[key]
-            named = {
-                f"{key}_rows": "count(1)",
-                f"{key}_in_primary": hits(other, labels.in_primary, labels.yes),
-                f"{key}_in_partner": hits(other, labels.in_partner, labels.yes),
+        facts["matched_codes"] = " + ".join(f"count_if({c} <> {unmatched})" for c in codes)
+        facts["all_codes"] = f"count(1) * {len(codes)}"
+    elif stage == DICT_CHECK:
+        facts["dict_problems"] = f"sum({sql_name(labels.dict_count)})"
+    elif stage == CROSS_DEDUP:
+        return {
+            key: {
+                f"{key}_in_primary": hits(run.lists[key], labels.in_primary, labels.yes),
+                f"{key}_in_partner": hits(run.lists[key], labels.in_partner, labels.yes),
             }
-            long = long.unionByName(counts(other, named))
+            for key in (PARTNER, VENDOR)
+            if key in run.lists
+        }
+    return {PRIMARY: facts} if facts else {}
+
+
+def list_expressions(run: ListRun) -> dict[str, dict[str, str]]:
+    """Everything a run counts, per list; the cross matching counts nothing where it did not run."""
+    found = {key: {f"{key}_rows": "count(1)"} for key in run.lists}
+    for stage in STAGES:
+        if run.ran(stage):
+            for key, named in stage_expressions(run, stage).items():
+                found[key] |= named
+    return found
+
+
+def facts_row(spark: SparkSession, counted: Mapping[str, int | None]) -> DataFrame:
+    """One row with all facts; those that were not counted are 0."""
+    schema = ", ".join(f"{name} bigint" for name in FACTS)
+    return spark.createDataFrame([tuple(int(counted.get(name) or 0) for name in FACTS)], schema)
+
+
+def run_facts(run: ListRun) -> DataFrame:
+    """All counts of a run in one row; each list is read once, however many counts come from it."""
+
+    def counts(frame: DataFrame, named: dict[str, str]) -> DataFrame:
+        pairs = ", ".join(f"struct('{n}' as fact, cast({n} as long) as value)" for n in named)
+        return frame.agg(*[F.expr(f"{e} as {n}") for n, e in named.items()]).selectExpr(f"inline(array({pairs}))")
+
+    parts = [counts(run.lists[key], named) for key, named in list_expressions(run).items()]
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
     return long.groupBy().agg(
         *[F.expr(f"coalesce(max(case when fact = '{n}' then value end), 0L) as {n}") for n in FACTS]
     )

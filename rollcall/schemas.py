@@ -42,6 +42,10 @@ STAGE_LOG_SCHEMA = _schema(
     "run_id string, module string, phase string, status string, message string, detail string, "
     "elapsed_ms long, created_at timestamp"
 )
+JOURNAL_SCHEMA = _schema(
+    "run_id string, attempt string, stage string, status string, elapsed_ms long, folder string, facts string, "
+    "message string, created_at timestamp"
+)
 VERSION_SCHEMA = _schema(
     "run_id string, dict_file string, file_name string, md5_hash string, recorded_at timestamp"
 )

@@ -1,13 +1,13 @@
 import json
 
 import pytest
-from helpers import one_column, values
+from helpers import one_column, plan_text, values
 from pyspark.sql import functions as F
 
 from rollcall import FieldRule, FieldSpec, export_run, run_lists
 from rollcall.errors import InputError
 from rollcall.labels import DEFAULT_LABELS as L
-from rollcall.plans import export, history, run, summary
+from rollcall.plans import export, history, journal, run, summary
 from rollcall.sources.lists import split_header_row
 
 SPEC = FieldSpec.of(
@@ -205,3 +205,49 @@ def test_settings(spark):
     got = history.current_settings(log)
     assert values(got, "key", "value", "description") == [("a", "2", "first"), ("b", "3", "new"), ("d", "1", None)]
     assert values(history.setting(got, "a")) == [("a", "2")]
+
+
+def staged(spark, lists, dictionary, folder, **options):
+    return journal.run_staged(lists, SPEC, dictionary, journal=folder + "/journal", work_dir=folder + "/work", run_id="r1", **options)
+
+
+def test_staged_run_counts_while_it_writes(spark, lists, dictionary, folder):
+    done, account = staged(spark, lists, dictionary, folder)
+    plain = run_lists(lists, SPEC, dictionary)
+    assert [s.status for s in done.stages] == ["completed"] * 5
+    for key in lists:
+        assert values(done.lists[key]) == values(plain.lists[key].select(*done.lists[key].columns))
+    assert values(account.facts()) == values(run.run_facts(plain))
+    assert "Exchange" not in plan_text(account.facts()) and "Scan parquet" not in plan_text(account.facts())
+    log = journal.stage_log(done, journal.read_journal(spark, folder + "/journal"), "r1")
+    want = {r["stage"]: (r["success"], r["fail"], r["skip"]) for r in run.stage_metrics(plain).collect()}
+    assert {r["stage"]: (r["success"], r["fail"], r["skip"]) for r in log.collect()} == want
+    assert all(r["elapsed_ms"] >= 0 for r in log.collect())
+    assert values(done.errors["primary"], "row_num") == [(3,)] and values(done.errors["dictionary"], "row_num") == [(4,)]
+
+
+def test_a_failing_job_fails_its_stage_and_a_second_call_resumes(spark, lists, dictionary, folder):
+    # The dictionary breaks when it is read, not when the plan is made.
+    broken = dictionary.withColumn("label_key", F.when(F.col("ord") == 2, F.raise_error(F.lit("broken entry"))).otherwise(F.col("label_key")))
+    first, _ = staged(spark, lists, broken, folder)
+    assert [s.status for s in first.stages] == ["completed", "completed", "failed", "skipped", "completed"]
+    assert "level_Code" not in first.primary.columns and L.dedup in first.primary.columns
+    rows = journal.latest_attempts(journal.read_journal(spark, folder + "/journal"), "r1")
+    state = {r["stage"]: r for r in rows.collect()}
+    assert state["dict_encode"]["status"] == "failed" and "broken entry" in state["dict_encode"]["message"]
+    second, account = staged(spark, lists, dictionary, folder)
+    assert [s.status for s in second.stages] == ["completed"] * 5
+    rows = {r["stage"]: r for r in journal.latest_attempts(journal.read_journal(spark, folder + "/journal"), "r1").collect()}
+    assert [rows[s]["status"] for s in ("load", *run.STAGES)] == ["resumed"] * 3 + ["completed"] * 3
+    assert rows["internal_dedup"]["folder"] == state["internal_dedup"]["folder"]
+    plain = run_lists(lists, SPEC, dictionary)
+    assert values(second.primary) == values(plain.primary.select(*second.primary.columns))
+    assert values(account.facts()) == values(run.run_facts(plain))
+    assert values(second.errors["primary"], "row_num") == [(3,)]
+
+
+def test_export_counts_while_it_writes(spark, lists, dictionary, folder):
+    done = run_lists(lists, SPEC, dictionary)
+    written = export_run(done, folder + "/out", timestamp="t")
+    got = spark.read.parquet(written["primary"] + "/summary")
+    assert values(got) == values(summary.summary_table(done).select(*got.columns))

@@ -438,17 +438,40 @@ def _dealt(sets: Iterator[tuple[int, int, np.ndarray]], hot: np.ndarray, parts:
         yield out()
 
 
-def _alone(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: how many shingles of every id are in sets of one label only."""
-    keys = np.concatenate([unpacked_in_order(x) for x in frame["keys"]])
-    ids = np.concatenate([unpacked_longs(x) for x in frame["ids"]])
-    labels = np.concatenate([unpacked_longs(x if y is None else y) for x, y in zip(frame["ids"], frame["labels"], strict=True)])
-    order = np.argsort(keys)
-    keys, ids, labels = keys[order], ids[order], labels[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    single = np.minimum.reduceat(labels, starts) == np.maximum.reduceat(labels, starts)
-    own, alone = np.unique(ids[np.repeat(single, np.diff(np.append(starts, len(keys))))], return_counts=True)
-    return pd.DataFrame({"id": own, "alone": alone})
+def _alone(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one part: how many shingles of every id are in sets of one label only, packed for the ids' own parts."""
+        found = list(batches)
+        if not sum(b.num_rows for b in found):
+            return
+        column = {c: [x for b in found for x in b.column(c).to_pylist()] for c in ("keys", "ids", "labels")}
+        keys = np.concatenate([unpacked_in_order(x) for x in column["keys"]])
+        ids = np.concatenate([unpacked_longs(x) for x in column["ids"]])
+        labels = np.concatenate([unpacked_longs(x if y is None else y) for x, y in zip(column["ids"], column["labels"], strict=True)])
+        order = np.argsort(keys)
+        keys, ids, labels = keys[order], ids[order], labels[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        single = np.minimum.reduceat(labels, starts) == np.maximum.reduceat(labels, starts)
+        own, alone = np.unique(ids[np.repeat(single, np.diff(np.append(starts, len(keys))))], return_counts=True)
+        target = (mixed(own.view(_U)) % _U(parts)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        own, alone = own[order], alone[order].astype(np.int32)
+        edges = np.searchsorted(target[order], np.arange(parts + 1))
+        filled = np.flatnonzero(np.diff(edges))
+        packed = [pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in filled], pa.binary()) for x in (own, alone)]
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *packed], names=["part", "ids", "alone"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of one part's ids, added up over all tasks that sent some."""
+    found = [(x.as_buffer(), y.as_buffer()) for b in batches for x, y in zip(b.column("ids"), b.column("alone"))]
+    if found:
+        ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x, _ in found])
+        own, where = np.unique(ids, return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate([np.frombuffer(y, dtype=np.int32) for _, y in found]))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.astype(np.int64))], names=["id", "alone"])
 
 
 def _parts(spark, shingles: int) -> int:
@@ -457,10 +480,9 @@ def _parts(spark, shingles: int) -> int:
 
 def _with_a_chance(dealt: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """The ``sets(id, n, ...)`` whose shingles that stand alone leave room for a link, and those whose id has several rows."""
-    alone = (
-        dealt.repartition(parts, "part").groupBy("part").applyInPandas(_alone, "id bigint, alone bigint")
-        .groupBy("id").agg(F.sum("alone").alias("alone"))
-    )
+    part = F.col("part").cast("int")
+    packed = dealt.repartitionById(parts, part).mapInArrow(_alone(parts), "part int, ids binary, alone binary")
+    alone = packed.repartitionById(parts, part).mapInArrow(_added, "id bigint, alone bigint")
     hopeless = 100 * F.coalesce("alone", F.lit(0)) > (100 - percent) * F.col("n")
     return sets.join(alone, "id", "left").filter(~hopeless | F.col("repeated")).select(sets.columns)
 

@@ -15,6 +15,7 @@ number per table row, and n-grams are cut once per distinct word of a slice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +90,23 @@ def _document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return rows.astype(np.uint32), weight / max(float(weight.sum()), 1.0)
 
 
+class Features(NamedTuple):
+    """Table rows and their shares of all documents end to end; document i has ``starts[i]`` to ``starts[i + 1]``."""
+
+    starts: np.ndarray
+    rows: np.ndarray
+    shares: np.ndarray
+
+
+def features_of(texts: list[str | None]) -> Features:
+    found = [_document_features(t or "") for t in texts] or [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.float32))]
+    return Features(np.cumsum([0, *(len(r) for r, _ in found)]), np.concatenate([r for r, _ in found]), np.concatenate([w for _, w in found]))
+
+
 def fit_quality(
-    texts: list[str], labels: list[int], dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1
+    features: Features, labels: list[int], dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1
 ) -> QualityModel:
-    """Trains on the given texts. Without texts, or with one label only, the score is the share of label 1."""
+    """Trains on the given documents. Without any, or with one label only, the score is the share of label 1."""
     y = np.asarray(labels, dtype=np.float32)
     share = float((y.sum() + 1.0) / (len(y) + 2.0))
     prior = float(np.log(share / (1.0 - share)))
@@ -102,13 +116,13 @@ def fit_quality(
     vectors = draw.uniform(-1.0, 1.0, (BUCKETS + 1, dimensions)).astype(np.float32) / dimensions
     layer = np.zeros((dimensions, 2), dtype=np.float32)
     bias = np.array([0.0, prior], dtype=np.float32)
-    features = [_document_features(t or "") for t in texts]
     steps, step = epochs * len(y), 0
     for _ in range(epochs):
         for i in draw.permutation(len(y)):
             pace = rate * (1.0 - step / steps)
             step += 1
-            rows, weight = features[i]
+            own = slice(features.starts[i], features.starts[i + 1])
+            rows, weight = features.rows[own], features.shares[own]
             mean = weight @ vectors[rows] if len(rows) else np.zeros(dimensions, dtype=np.float32)
             logits = mean @ layer + bias
             gradient = np.exp(logits - logits.max())
@@ -125,10 +139,12 @@ def fit_quality(
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", rows: int = TRAIN_ROWS
-) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, the same ones on every run.
+) -> tuple[Features, list[int]]:
+    """Features and labels of at most ``rows`` labelled texts, the same ones on every run.
 
-    Null labels are ignored, of repeated labels the lowest counts, of repeated ids one text is taken.
+    Null labels are ignored, of repeated labels the lowest counts, of repeated ids one text is taken. Features
+    are cut in tasks; no text comes to the driver, whatever its length, and what comes is bounded by
+    ``rows`` times the size of the table.
     """
     judged = labels.filter(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(
         F.min(label_column).cast("int").alias("label")
@@ -137,8 +153,21 @@ def training_sample(
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     picked = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    got = sorted(picked.collect(), key=lambda r: r["id"])
-    return [r["text"] or "" for r in got], [r["label"] for r in got]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_document_features(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("label"), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))],
+                names=["id", "label", "rows", "shares"],
+            )
+
+    id_type = picked.schema["id"].dataType.simpleString()
+    table = picked.mapInArrow(cut, f"id {id_type}, label int, rows binary, shares binary").toArrow().sort_by("id")
+    flat = {c: b"".join(x.as_buffer() for x in table[c]) for c in ("rows", "shares")}
+    sizes = [x.as_buffer().size // 4 if x.is_valid else 0 for x in table["rows"]]
+    features = Features(np.cumsum([0, *sizes]), np.frombuffer(flat["rows"], dtype=np.uint32), np.frombuffer(flat["shares"], dtype=np.float32))
+    return features, table["label"].to_pylist()
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:

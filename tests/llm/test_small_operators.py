@@ -48,7 +48,7 @@ def test_quality_learns_held_out(spark):
 
 
 def test_quality_odd_input(spark, odd, none):
-    model = quality.fit_quality(["good fine text", "bad*** junk***", None], [1, 0, 1], epochs=2)
+    model = quality.fit_quality(quality.features_of(["good fine text", "bad*** junk***", None]), [1, 0, 1], epochs=2)
     rows = quality.score_quality(odd, model).collect()
     assert len(rows) == len(ODD) and all(0.0 <= r["score"] <= 1.0 for r in rows)
     assert len({r["score"] for r in rows if not r["text"]}) == 1
@@ -57,14 +57,16 @@ def test_quality_odd_input(spark, odd, none):
 
 @pytest.mark.parametrize("labels", [[], [1, 1, 1]])
 def test_quality_without_two_labels_is_the_prior(odd, labels):
-    model = quality.fit_quality(["x"] * len(labels), labels)
+    model = quality.fit_quality(quality.features_of(["x"] * len(labels)), labels)
     want = (sum(labels) + 1) / (len(labels) + 2)
     assert all(abs(r["score"] - want) < 1e-6 for r in quality.score_quality(odd, model).collect())
 
 
 def test_training_sample_takes_lowest_label_and_each_id_once(spark, odd):
     labels = spark.createDataFrame([(4, 1), (4, 0), (3, None), (99, 1), (None, 1)], "doc_id bigint, quality int")
-    assert quality.training_sample(odd, labels) == (["same  text\there"], [0])
+    features, got = quality.training_sample(odd, labels)
+    want = quality.features_of(["same  text\there"])
+    assert got == [0] and all((a == b).all() for a, b in zip(features, want))
 
 
 # mixing -------------------------------------------------------------------------------------------

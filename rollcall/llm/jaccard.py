@@ -66,6 +66,8 @@ FREQUENT_IN_TASK = 4
 ID_BITS = 1 << 23
 TOKENS_A_PART = 1_500_000
 HOT_SHINGLE = 100_000
+#: Shingles a task holds before it packs them for their parts.
+HELD_SHINGLES = 400_000
 
 _U = np.uint64
 
@@ -431,7 +433,7 @@ def _dealt(sets: Iterator[tuple[int, int, np.ndarray]], hot: np.ndarray, parts:
     for row in sets:
         held.append(row)
         waiting += len(row[2])
-        if waiting > 2_000_000:
+        if waiting > HELD_SHINGLES:
             yield out()
             held, waiting = [], 0
     if waiting:
@@ -441,13 +443,15 @@ def _dealt(sets: Iterator[tuple[int, int, np.ndarray]], hot: np.ndarray, parts:
 def _alone(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one part: how many shingles of every id are in sets of one label only, packed for the ids' own parts."""
-        found = list(batches)
-        if not sum(b.num_rows for b in found):
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for key, id_, label in zip(*(batch.column(c) for c in ("keys", "ids", "labels")), strict=True):
+                own = unpacked_longs(id_.as_py())
+                held.append((unpacked_in_order(key.as_py()), own, unpacked_longs(label.as_py()) if label.is_valid else own))
+        if not held:
             return
-        column = {c: [x for b in found for x in b.column(c).to_pylist()] for c in ("keys", "ids", "labels")}
-        keys = np.concatenate([unpacked_in_order(x) for x in column["keys"]])
-        ids = np.concatenate([unpacked_longs(x) for x in column["ids"]])
-        labels = np.concatenate([unpacked_longs(x if y is None else y) for x, y in zip(column["ids"], column["labels"], strict=True)])
+        keys, ids, labels = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
         order = np.argsort(keys)
         keys, ids, labels = keys[order], ids[order], labels[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -641,7 +645,7 @@ def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent:
                 first = own[np.argsort(rank, kind="stable")[:length]]
                 held.append((first, np.full(length, number, dtype=np.int64), np.full(length, n, dtype=np.int32), _rest(n, np.arange(length))))
                 waiting += length
-                if waiting > 2_000_000:
+                if waiting > HELD_SHINGLES:
                     yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, waiting = [], 0
         if held:

@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
@@ -68,6 +69,8 @@ TOKENS_A_PART = 1_500_000
 HOT_SHINGLE = 100_000
 #: Shingles a task holds before it packs them for their parts.
 HELD_SHINGLES = 400_000
+#: Rows of whole texts or sets that go to a Python worker at a time, and that it unpacks at a time.
+BATCH_ROWS, PIECE_ROWS = 1_000, 200
 
 _U = np.uint64
 
@@ -286,9 +289,9 @@ def _pairs_of_blocks(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
                 [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
             )
 
-        for batch in batches:
-            columns = [batch.column(c) for c in ("block", "side", "id", "label", "n", "body")]
-            for row in zip(*(c.to_pylist() for c in columns), strict=True):
+        names = ("block", "side", "id", "label", "n", "body")
+        for piece in (b.slice(i, PIECE_ROWS) for b in batches for i in range(0, b.num_rows, PIECE_ROWS)):
+            for row in zip(*(piece.column(c).to_pylist() for c in names), strict=True):
                 if row[0] != block:
                     if len(held) > 1:
                         yield out()
@@ -732,6 +735,18 @@ def _rest_blocks(shared: DataFrame, connected: DataFrame) -> DataFrame:
     return _chunk_pairs(labelled.join(chosen, "key", "left_semi"))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While jobs run in it, rows go to Python workers in batches that suit rows of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_components(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -748,6 +763,11 @@ def jaccard_components(
     links. Ids must be whole numbers; rows with a null id are left out, since nothing could name them.
     If rows repeat with one id, the row with the most shingles speaks for it.
     """
+    with _small_batches(docs.sparkSession):
+        return _components_of(docs, id_column, text_column, shingle, percent)
+
+
+def _components_of(docs: DataFrame, id_column: str, text_column: str, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
     scanned = settled(_scan(rows, shingle))

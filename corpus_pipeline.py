@@ -15,6 +15,22 @@ from rollcall.llm import bits, jaccard, leaks, mixing, quality, sharding
 from rollcall.llm.queries import MIX_SEED, QUALITY_CUT, SHARDS, fitted_quality
 from rollcall.scratch import scratch_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+#: Rows that go to a Python worker at a time: rows are whole texts here, and a batch of Spark's usual 10,000 is large.
+BATCH_ROWS = 1_000
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session whose batches suit rows of whole texts, also while its result is written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Without labels nothing is rejected."""
@@ -56,12 +72,15 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shard_documents(docs, SHARDS, carry=[c for c in docs.columns if c != "doc_id"])
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality_stage),
-    ("n-gram Jaccard join", near_duplicate_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("mixing sources to target weights", mixing_stage),
-    ("sharding", sharding_stage),
+STAGES: list[tuple[str, Stage]] = [
+    (name, _in_small_batches(stage))
+    for name, stage in (
+        ("quality classifier", quality_stage),
+        ("n-gram Jaccard join", near_duplicate_stage),
+        ("benchmark decontamination", decontamination_stage),
+        ("mixing sources to target weights", mixing_stage),
+        ("sharding", sharding_stage),
+    )
 ]
 
 #: The classifier is trained by gradient descent, which SQL cannot express.

@@ -14,6 +14,7 @@ number per table row, and n-grams are cut once per distinct word of a slice.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -156,18 +157,29 @@ def training_sample(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_document_features(t.as_py() or "") for t in batch.column("text")]
+            sizes, bodies = [], []
+            for text in batch.column("text"):
+                rows, shares = _document_features(text.as_py() or "")
+                sizes.append(len(rows))
+                # Rows ascend and shares repeat, so steps and shares shrink to a third.
+                bodies.append(zlib.compress(np.diff(rows, prepend=np.uint32(0)).tobytes() + shares.tobytes(), 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))],
-                names=["id", "label", "rows", "shares"],
+                [batch.column("id"), batch.column("label"), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())],
+                names=["id", "label", "n", "body"],
             )
 
     id_type = picked.schema["id"].dataType.simpleString()
-    table = picked.mapInArrow(cut, f"id {id_type}, label int, rows binary, shares binary").toArrow().sort_by("id")
-    flat = {c: b"".join(x.as_buffer() for x in table[c]) for c in ("rows", "shares")}
-    sizes = [x.as_buffer().size // 4 if x.is_valid else 0 for x in table["rows"]]
-    features = Features(np.cumsum([0, *sizes]), np.frombuffer(flat["rows"], dtype=np.uint32), np.frombuffer(flat["shares"], dtype=np.float32))
-    return features, table["label"].to_pylist()
+    table = picked.mapInArrow(cut, f"id {id_type}, label int, n bigint, body binary").toArrow()
+    order = sorted(range(table.num_rows), key=table["id"].to_pylist().__getitem__)
+    sizes, labels_, bodies = (table[c].to_pylist() for c in ("n", "label", "body"))
+    del table
+    starts = np.cumsum([0, *(sizes[i] for i in order)])
+    features = Features(starts, np.empty(starts[-1], dtype=np.uint32), np.empty(starts[-1], dtype=np.float32))
+    for place, i in enumerate(order):
+        own, body = slice(starts[place], starts[place + 1]), zlib.decompress(bodies[i])
+        features.rows[own] = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=sizes[i]), dtype=np.uint32)
+        features.shares[own] = np.frombuffer(body, dtype=np.float32, offset=4 * sizes[i])
+    return features, [labels_[i] for i in order]
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:

@@ -6,7 +6,9 @@ its own. The probability of a word is that of its class times that of the word w
 
 Texts are laid end to end in parallel lanes. A window of some steps is processed for all lanes at once
 and the state is carried from window to window, so a text is read as a whole however long it is;
-it is set to zero where a new text begins. Training truncates the gradient at the window's start.
+it is set to zero where a new text begins. Training carries the state in the same way and truncates only the
+gradient, at the window's start. Texts beyond ``STRETCH`` words are trained as stretches side by side; a later
+stretch first reads the ``WARM_UP`` words before it, without learning from them, to get its state.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ import numpy as np
 HIDDEN = 24
 CLASS_WORDS = 40
 WINDOW = 24
-STRETCH = 10 * WINDOW
+STRETCH = 100 * WINDOW
+WARM_UP = 4 * WINDOW
+#: Lanes of one training step: wide enough for few steps on much text, narrow enough for many on little.
+NARROW, WIDE, STEPS = 32, 512, 200
 #: Steps are adaptive only for gradients above this size; rare words' biases would drift otherwise.
 FLOOR = 1e-5
 
@@ -108,7 +113,7 @@ def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int =
     if learn:
         share /= total[:, None]
         share[rows, kind] -= 1.0
-        share /= learn  # Windows in which few lanes are left weigh less.
+        share /= learn
         grads = {"class_out": states.T @ share, "class_bias": share.sum(axis=0), "word_out": np.zeros_like(p["word_out"]), "word_bias": np.zeros_like(p["word_bias"])}
         back = share @ p["class_out"].T
     order = np.argsort(kind, kind="stable")
@@ -161,52 +166,89 @@ def log_probabilities(p: Parameters, texts: list[np.ndarray], start_word: int, w
     return out
 
 
-def train(p: Parameters, texts: list[np.ndarray], start_word: int, width: int = 32, rate: float = 0.01) -> Parameters:
+def _stretches(texts: list[np.ndarray], start_word: int) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """Texts cut for training: the words, the word before them, and how many of them are only read."""
+    words, before, quiet = [], [], []
+    for text in texts:
+        for at in range(0, len(text), STRETCH):
+            read = min(at, WARM_UP)
+            words.append(text[at - read : at + STRETCH])
+            before.append(int(text[at - read - 1]) if at > read else start_word)
+            quiet.append(read)
+    return words, before, quiet
+
+
+def gradients(p: Parameters, lanes: Lanes, quiet: np.ndarray, rows: list[np.ndarray], state: np.ndarray, learn: int):
+    """Gradients of the negative log probability of a window's words, divided by ``learn``; ``state`` moves on.
+
+    ``quiet`` marks places that are read but not learned from.
+    """
+    hidden = p["recur"].shape[0]
+    places = np.concatenate(rows)
+    edges = np.cumsum([0, *(len(at) for at in rows)])
+    kinds, which = np.unique(lanes.given[places], return_inverse=True)
+    embedded = p["embed"][kinds]
+    table = embedded @ p["input"] + p["gate_bias"]
+    held = np.empty((len(places), hidden), dtype=state.dtype)
+    states, gates, news, pulls = (np.empty((len(places), k * hidden), dtype=state.dtype) for k in (1, 2, 1, 1))
+    for i, at in enumerate(rows):
+        mine = slice(edges[i], edges[i + 1])
+        h = state[: len(at)]
+        h[lanes.fresh[at]] = 0.0
+        held[mine] = h
+        x, u = table[which[mine]], h @ p["recur"]
+        both = _sigmoid(x[:, : 2 * hidden] + u[:, : 2 * hidden])
+        n = np.tanh(x[:, 2 * hidden :] + both[:, hidden:] * u[:, 2 * hidden :])
+        h = n + both[:, :hidden] * (h - n)
+        state[: len(at)] = h
+        states[mine], gates[mine], news[mine], pulls[mine] = h, both, n, u[:, 2 * hidden :]
+    loud = ~quiet[places]
+    back = np.zeros_like(states)
+    _, grads, back[loud] = _outputs(p, states[loud], lanes.target[places[loud]], learn)
+    z, r = gates[:, :hidden], gates[:, hidden:]
+    # What a state's gradient is multiplied by on its way to each gate; only the state's own part runs back in steps.
+    to_new, to_z = (1.0 - z) * (1.0 - news * news), (held - news) * z * (1.0 - z)
+    to_r = pulls * r * (1.0 - r)
+    dx, du = (np.empty((len(places), 3 * hidden), dtype=state.dtype) for _ in range(2))
+    later = np.zeros((0, hidden), dtype=state.dtype)
+    for i in range(len(rows) - 1, -1, -1):
+        mine = slice(edges[i], edges[i + 1])
+        d = back[mine]
+        d[: len(later)] += later
+        dn = d * to_new[mine]
+        dx[mine, :hidden] = d * to_z[mine]
+        dx[mine, hidden : 2 * hidden] = dn * to_r[mine]
+        dx[mine, 2 * hidden :] = dn
+        du[mine, : 2 * hidden] = dx[mine, : 2 * hidden]
+        du[mine, 2 * hidden :] = dn * r[mine]
+        later = d * z[mine] + du[mine] @ p["recur"].T
+        later[lanes.fresh[rows[i]]] = 0.0
+    order = np.argsort(which, kind="stable")
+    sums = np.add.reduceat(dx[order], np.searchsorted(which[order], np.arange(len(kinds))))
+    grads["input"], grads["recur"], grads["gate_bias"] = embedded.T @ sums, held.T @ du, sums.sum(axis=0)
+    grads["embed"] = np.zeros_like(p["embed"])
+    grads["embed"][kinds] = sums @ p["input"].T
+    return grads
+
+
+def train(p: Parameters, texts: list[np.ndarray], start_word: int, width: int | None = None, rate: float = 0.01) -> Parameters:
     """One pass of truncated backpropagation with adaptive steps (Adam) over the texts."""
     p = {k: v.copy() for k, v in p.items()}
-    if not texts:
+    words, before, read = _stretches(texts, start_word)
+    if not words:
         return p
-    # Stretches of long texts are trained side by side, so that no text leads the model astray.
-    cuts = [(t[k : k + STRETCH], int(t[k - 1]) if k else start_word) for t in texts for k in range(0, len(t), STRETCH)]
-    cuts = [cuts[i] for i in np.random.default_rng(len(cuts)).permutation(len(cuts))]
-    lanes = Lanes([c[0] for c in cuts], [c[1] for c in cuts], width)
-    hidden = p["recur"].shape[0]
-    state = np.zeros((len(lanes.lengths), hidden), dtype=np.float32)
+    if width is None:
+        width = int(np.clip(sum(map(len, words)) // (WINDOW * STEPS), NARROW, WIDE))
+    mix = np.random.default_rng(len(words)).permutation(len(words))
+    lanes = Lanes([words[i] for i in mix], [before[i] for i in mix], width)
+    quiet = np.zeros(len(lanes.target), dtype=bool)
+    for first, i in zip(lanes.first, lanes.order, strict=True):
+        quiet[first : first + read[mix[i]]] = True
+    state = np.zeros((len(lanes.lengths), p["recur"].shape[0]), dtype=p["recur"].dtype)
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for rows in lanes.windows(WINDOW):
-        kept = []
-        for at in rows:
-            h = state[: len(at)].copy()
-            h[lanes.fresh[at]] = 0.0
-            e = p["embed"][lanes.given[at]]
-            x, u = e @ p["input"] + p["gate_bias"], h @ p["recur"]
-            gates = _sigmoid(x[:, : 2 * hidden] + u[:, : 2 * hidden])
-            z, r = gates[:, :hidden], gates[:, hidden:]
-            n = np.tanh(x[:, 2 * hidden :] + r * u[:, 2 * hidden :])
-            new = n + z * (h - n)
-            state[: len(at)] = new
-            kept.append((at, h, e, u, z, r, n, new))
-        places = np.concatenate(rows)
-        _, grads, back = _outputs(p, np.concatenate([k[-1] for k in kept]), lanes.target[places], WINDOW * len(state))
-        for name in ("embed", "input", "recur", "gate_bias"):
-            grads[name] = np.zeros_like(p[name])
-        edges = np.cumsum([0, *(len(at) for at in rows)])
-        later = np.zeros((0, hidden), dtype=np.float32)
-        for i in range(len(rows) - 1, -1, -1):
-            at, h, e, u, z, r, n, _ = kept[i]
-            d = back[edges[i] : edges[i + 1]]
-            d[: len(later)] += later
-            dn = d * (1.0 - z) * (1.0 - n * n)
-            dz = d * (h - n) * z * (1.0 - z)
-            dr = dn * u[:, 2 * hidden :] * r * (1.0 - r)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["input"] += e.T @ dx
-            grads["recur"] += h.T @ du
-            grads["gate_bias"] += dx.sum(axis=0)
-            np.add.at(grads["embed"], lanes.given[at], dx @ p["input"].T)
-            later = d * z + du @ p["recur"].T
-            later[lanes.fresh[at]] = 0.0
+        # Windows in which few lanes are left weigh less.
+        grads = gradients(p, lanes, quiet, rows, state, WINDOW * len(state))
         step += 1
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         scale = min(1.0, 1.0 / (norm + 1e-9))

@@ -4,9 +4,9 @@
    a part sums them. Totals are exact and cover all training texts.
 2. *Head.* The most frequent words (a fixed number) with their counts are broadcast. The first of them are the
    vocabulary of the recurrent model.
-3. *Training.* A fixed share of the training texts, so it grows with the input, is dealt to trainers of
-   bounded size. Every trainer goes on from the same parameters; the results are averaged by a tree of
-   aggregates with the trainers' token numbers as weights. This is repeated for the next share.
+3. *Training.* All training texts are read, in rounds: a hash deals every text to one round and, in it, to one
+   of the trainers, whose size is bounded. Every trainer of a round goes on from the same parameters; the results are
+   averaged by a tree of aggregates with the trainers' token numbers as weights and start the next round.
 4. *Scoring.* One scan runs the model over every whole text. A word outside the model's vocabulary has the
    probability of the other-word mark times its share among such words by smoothed counts. Words
    outside the head go, packed, to their part, where all their occurrences meet and are counted; the part returns one
@@ -32,9 +32,9 @@ from .words import LOWER, VISIBLE, find_words, hash_runs, mixed, slices
 HEAD_WORDS = 1 << 16
 HEAD_SHARE = 1 << 20
 MODEL_WORDS = 1600
-TRAIN_SHARE = 40
-ROUNDS = 2
-TRAINER_BYTES = 1 << 20
+#: Step size of every round; together the rounds read each training text once.
+RATES = (0.01, 0.005)
+TRAINER_BYTES = 16 << 20
 FAN_IN = 64
 WORDS_A_PART = 2_000_000
 SMOOTH = 0.1
@@ -144,7 +144,7 @@ def _averaged(models: DataFrame, trainers: int) -> np.ndarray | None:
     return np.frombuffer(rows[0]["values"], dtype=np.float64) if rows else None
 
 
-def _trainer(shared, words: int, start: int):
+def _trainer(shared, words: int, start: int, rate: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         model, keys = shared.value
         numbers, texts, tokens = _Numbers(keys), [], 0
@@ -152,23 +152,26 @@ def _trainer(shared, words: int, start: int):
             at = numbers(hashes)
             texts.append(np.where((at < 0) | (at >= words), words, at).astype(np.int32))
             tokens += len(hashes)
-        values = gru.flat(gru.train(model, texts, start)).tobytes()
+        values = gru.flat(gru.train(model, texts, start, rate=rate)).tobytes()
         return pd.DataFrame({"k": [int(frame["k"].iloc[0])], "weight": [float(tokens)], "values": [values]})
 
     return run
 
 
 def _fitted(docs: DataFrame, model: gru.Parameters, keys: np.ndarray, words: int, start: int) -> gru.Parameters:
-    """``docs(id, text)``: a share of them trains the model, round after round."""
+    """``docs(id, text)``, all of them, train the model, one part of them a round."""
     context = docs.sparkSession.sparkContext
-    for turn in range(ROUNDS):
+    turn = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(len(RATES)))
+    sizes = {r["turn"]: r["n"] for r in docs.groupBy(turn.alias("turn")).agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    for number, rate in enumerate(RATES):
+        if number not in sizes:
+            continue
         shared = context.broadcast((model, keys))
-        sample = docs.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(TRAIN_SHARE)) == turn)
-        size = sample.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        trainers = max(1, -(-size // TRAINER_BYTES))
-
-        dealt = sample.withColumn("k", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(trainers)))
-        models = dealt.groupBy("k").applyInPandas(_trainer(shared, words, start), "k bigint, weight double, values binary")
+        trainers = max(1, -(-sizes[number] // TRAINER_BYTES))
+        dealt = docs.filter(turn == number).withColumn("k", F.pmod(F.xxhash64("id", "text", F.lit(12)), F.lit(trainers)).cast("int"))
+        models = dealt.repartitionById(trainers, "k").groupBy("k").applyInPandas(
+            _trainer(shared, words, start, rate), "k bigint, weight double, values binary"
+        )
         values = _averaged(models, trainers)
         if values is not None:
             model = gru.shaped(values, model)
@@ -182,6 +185,8 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
     white space (space, tab to carriage return) separates, with A-Z lower-cased; a text's tokens are its words
     and one end. Scores are base-10 logarithms of the probability of the whole text. Null and empty
     texts have the end only. Without training rows the base gives every token the same probability.
+    Repeated rows stay repeated, and each counts in training. A text is one row of a task, however long.
+    Other columns of ``docs`` are not read, so their names cannot clash. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))

@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.scratch import settled
+from rollcall.operators.lookup import lookup_join
+from rollcall.scratch import measured, settled
 
-BROADCAST_SOURCES = 10_000
+#: The steps of all sources together are broadcast up to this size; beyond it they are joined with salted hot sources.
+BROADCAST_BYTES = 8 << 20
 _BITS = 52
 _UNSEEN = 2.0 ** -(_BITS + 1)
 
@@ -97,34 +99,42 @@ def poisson_mix(
     id_column: str = "doc_id",
     source_column: str = "source",
     seed: int = 0,
+    copy_column: str = "mix_copy",
+    key_column: str = "mix_key",
 ) -> DataFrame:
     """All columns of ``docs``, each row once per copy, plus ``mix_copy`` (from 0) and ``mix_key``.
 
     ``rates`` has ``source`` and ``rate``. The number of copies follows from seed and id alone, so
     repeated rows with one id get equal numbers of copies; a null id counts as the text ``null``. A
     source without a rate, or with rate 0, vanishes. Rows come in the order of ``mix_key`` within
-    each partition. An empty table stays empty.
+    each partition. An empty table stays empty. Columns of ``docs`` that are named like the two new ones
+    (in any case) are replaced by them; other names for the new ones keep such columns.
     """
-    steps = rates.select("source", "rate").mapInPandas(
-        _with_steps, "source string, rate double, steps array<double>"
-    ).select(F.col("source").alias("__source"), F.col("steps").alias("__steps"))
-    if rates.count() <= BROADCAST_SOURCES:
-        # A source's steps take a few hundred bytes at ordinary rates; more sources are joined by shuffling.
-        steps = F.broadcast(steps)
+    # A null source and the text it might be written as are different keys.
+    source_key = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+    steps, found = measured(
+        rates.select("source", "rate").mapInPandas(_with_steps, "source string, rate double, steps array<double>")
+        .filter(F.size("steps") > 0).select(source_key(F.col("source")).alias("__source"), F.col("steps").alias("__steps")),
+        bytes=F.coalesce(F.sum(F.octet_length("__source") + F.lit(8) * F.size("__steps") + F.lit(64)), F.lit(0)).cast("bigint"),
+    )
     number = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
-    drawn = unit_hash(F.lit(str(seed)), number)
-    copies = F.size(F.filter("__steps", lambda s: s <= F.col("__drawn")))
+    key = source_key(F.col(source_column))
+    if found["bytes"] <= BROADCAST_BYTES:
+        joined = docs.withColumn("__key", key).join(F.broadcast(steps), F.col("__key") == F.col("__source"))
+    else:
+        joined = lookup_join(docs, steps, key, "__source", F.xxhash64(number), small_bytes=0).filter(F.col("__steps").isNotNull())
+    new = (copy_column.lower(), key_column.lower())
     return (
-        docs.withColumn("__drawn", drawn)
-        .join(steps, F.col(source_column).eqNullSafe(F.col("__source")))
-        .filter(F.size("__steps") > 0)
-        .withColumn("__copies", copies)
+        joined.withColumn("__drawn", unit_hash(F.lit(str(seed)), number))
+        .withColumn("__copies", F.size(F.filter("__steps", lambda s: s <= F.col("__drawn"))))
         .filter(F.col("__copies") > 0)
         .select(
-            *[F.col(c) for c in docs.columns],
-            F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("mix_copy"),
+            number.alias("__number"),
+            *[F.col(c) for c in docs.columns if c.lower() not in new],
+            F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias(copy_column),
         )
-        .withColumn("mix_key", F.xxhash64(F.lit(seed), number, "mix_copy"))
-        .repartition("mix_key")
-        .sortWithinPartitions("mix_key")
+        .withColumn(key_column, F.xxhash64(F.lit(seed), "__number", copy_column))
+        .drop("__number")
+        .repartition(key_column)
+        .sortWithinPartitions(key_column)
     )

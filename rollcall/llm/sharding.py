@@ -164,6 +164,20 @@ def group_shards(groups: DataFrame, shards: int, block_groups: int = BLOCK_GROUP
     return result.unionByName(giant_rows) if giants else result
 
 
+def _free_names(carry: list[str], taken: list[str]) -> list[tuple[str, str]]:
+    """Carried columns with names that neither the new columns nor each other have."""
+    used = {c.lower() for c in [*taken, *carry]}
+    names = []
+    for column in carry:
+        name = column
+        if column.lower() in {c.lower() for c in taken}:
+            while name.lower() in used:
+                name = f"carried_{name}"
+            used.add(name.lower())
+        names.append((column, name))
+    return names
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int = 8,
@@ -176,7 +190,8 @@ def shard_documents(
     ``size`` is the number of UTF-8 bytes of the text (null: 0) plus 1. Rows with equal texts share a
     shard; a null text is a group apart from the empty text. ``slot`` numbers the rows of a shard from
     0 without gaps. Rows with one id and one text are numbered in any order among themselves. An
-    empty table gives an empty result.
+    empty table gives an empty result. A carried column whose name (in any case) is that of the id or of a
+    new column gets ``carried_`` before its name, as often as it takes to be unique.
     """
     digest = F.coalesce(F.md5(F.col(text_column)), F.lit("null"))
     count = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -200,5 +215,5 @@ def shard_documents(
     return numbered.join(offsets, ["shard", "bucket"]).select(
         F.col("__id").alias(id_column),
         "size", "shard", (F.col("offset") + F.col("nth")).cast("bigint").alias("slot"),
-        *[F.col(f"__carry_{c}").alias(c) for c in carry or []],
+        *[F.col(f"__carry_{c}").alias(name) for c, name in _free_names(carry or [], [id_column, "size", "shard", "slot"])],
     )

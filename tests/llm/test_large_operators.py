@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollcall.llm import components, gru, jaccard, leaks, scoring, suffixes
+from rollcall.llm import components, gru, jaccard, leaks, queries, scoring, suffixes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon".split()
@@ -40,7 +40,7 @@ def _texts(seed=5):
 def docs(spark):
     rows = [(3 * i + 1, t, "en", "a" if i % 3 else None, len(t)) for i, t in enumerate(_texts())]
     rows += [(0, None, None, "b", None), rows[4], (10**9, "w%d " * 30_000 % tuple(range(30_000)), "en", "b", 1)]
-    clash = {c: F.lit(7) for c in ("key", "id", "n", "block", "part", "label", "row", "score", "slot")}
+    clash = {c: F.lit(7) for c in ("key", "id", "n", "block", "part", "label", "row", "score", "slot", "size", "shard", "mix_copy")}
     return spark.createDataFrame(rows, SCHEMA).withColumns(clash).repartition(3)
 
 
@@ -203,7 +203,48 @@ def test_equal_prefixes():
 # scoring ------------------------------------------------------------------------------------------
 
 
-def test_gradients_are_right():
+def test_gradients_are_those_of_small_steps(monkeypatch):
+    """Each parameter's gradient against the loss a little to both sides; one window, so nothing is truncated."""
+    draw = np.random.default_rng(5)
+    model = {k: v.astype(np.float64) for k, v in gru.initial(np.arange(90, 0, -1).astype(float), 20.0, hidden=4).items()}
+    model = {k: v + (draw.normal(0.0, 0.2, v.shape) if k != "word_bias" else 0.0) for k, v in model.items()}
+    texts = [draw.integers(0, 91, n).astype(np.int32) for n in (7, 3, 12, 1)]
+    lanes = gru.Lanes(texts, 2, 2)
+    (rows,) = lanes.windows(gru.WINDOW)
+    quiet = np.zeros(len(lanes.target), dtype=bool)
+
+    def loss(p):
+        return -gru.log_probabilities({k: v.astype(np.float64) for k, v in p.items()}, texts, 2, width=2).sum()
+
+    grads = gru.gradients(model, lanes, quiet, rows, np.zeros((2, 4)), 1)
+    assert set(grads) == set(model)
+    for name, values in model.items():
+        near = np.argsort(-np.abs(grads[name]).ravel())[:6]
+        for at in (*near, *draw.integers(0, values.size, 6)):
+            moved = []
+            for step in (1e-3, -1e-3):
+                other = {k: v.copy() for k, v in model.items()}
+                other[name].flat[at] += step
+                moved.append(loss(other))
+            assert math.isclose((moved[0] - moved[1]) / 2e-3, grads[name].flat[at], rel_tol=2e-2, abs_tol=5e-3), name
+
+
+def test_stretches_read_the_words_before_them(monkeypatch):
+    monkeypatch.setattr(gru, "STRETCH", 10)
+    monkeypatch.setattr(gru, "WARM_UP", 4)
+    text = np.arange(25, dtype=np.int32)
+    words, before, quiet = gru._stretches([text, text[:3]], 99)
+    assert [list(w) for w in words] == [list(range(10)), list(range(6, 20)), list(range(16, 25)), [0, 1, 2]]
+    assert before == [99, 5, 15, 99] and quiet == [0, 4, 4, 0]
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    scored = queries.op8_recurrent_scores(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    assert sum(r["score"] for r in scored) > 0.97 * sum(r["base_score"] for r in scored)
+    assert sum(r["score"] > r["base_score"] for r in scored) > 0.9 * len(scored)
+
+
+def test_training_raises_probability():
     draw = np.random.default_rng(1)
     counts = np.arange(90, 0, -1).astype(float)
     model = {k: v.astype(np.float64) for k, v in gru.initial(counts, 20.0, hidden=5).items()}
@@ -264,8 +305,10 @@ def folder(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
-def test_stage_on_odd_and_empty_input(spark, docs, folder, name, stage):
-    out = stage(spark, docs, folder)
+def test_stage_on_odd_and_empty_input(spark, docs, folder, tmp_path, name, stage):
+    path = f"{tmp_path}/out"
+    stage(spark, docs, folder).write.parquet(path)
+    out = spark.read.parquet(path)
     rows = out.collect()
     if name == "sharding":
         assert len(rows) == docs.count() and {"doc_id", "shard", "slot", "text"} <= set(out.columns)

@@ -101,6 +101,22 @@ def test_mixing_odd_input(odd, none):
     assert mixing.poisson_mix(none, mixing.source_rates(none)).collect() == []
 
 
+def test_mixing_replaces_columns_of_its_own_names(odd):
+    rates = mixing.source_rates(odd, temperature=1.0, epochs=3.0)
+    plain = mixing.poisson_mix(odd, rates)
+    named = mixing.poisson_mix(odd.withColumns({"mix_copy": F.lit("x"), "MIX_KEY": F.lit("y")}), rates)
+    assert Counter(map(tuple, named.select(plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+    kept = mixing.poisson_mix(odd.withColumn("mix_copy", F.lit("x")), rates, copy_column="c", key_column="k")
+    assert {r["mix_copy"] for r in kept.collect()} == {"x"}
+
+
+def test_mixing_without_broadcast_is_the_same(odd, monkeypatch):
+    rates = mixing.source_rates(odd, temperature=1.0, epochs=40.0)
+    want = Counter(map(tuple, mixing.poisson_mix(odd, rates).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert Counter(map(tuple, mixing.poisson_mix(odd, rates).collect())) == want
+
+
 # sharding -----------------------------------------------------------------------------------------
 
 
@@ -132,6 +148,14 @@ def test_shards_odd_input(odd, none):
     assert sharding.shard_documents(none, 3).collect() == []
 
 
+def test_shards_keep_columns_of_their_own_names(odd, tmp_path):
+    named = odd.withColumns({"size": F.lit("s"), "Shard": F.lit("t"), "slot": F.lit("u"), "carried_size": F.lit("v")})
+    out = sharding.shard_documents(named, 3, carry=[c for c in named.columns if c != "doc_id"])
+    out.write.parquet(str(tmp_path / "out"))
+    row = odd.sparkSession.read.parquet(str(tmp_path / "out")).first()
+    assert [row[c] for c in ("carried_carried_size", "carried_Shard", "carried_slot", "carried_size")] == ["s", "t", "u", "v"]
+
+
 def test_shards_are_even_over_many_blocks(spark):
     groups = spark.range(30_000).select(
         F.col("id").alias("h1"), F.lit(0).cast("bigint").alias("h2"), (F.pow("id", F.lit(1.1)).cast("bigint") + 1).alias("size")

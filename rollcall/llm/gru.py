@@ -95,7 +95,10 @@ class Lanes:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1.0
+    return np.reciprocal(out, out=out)
 
 
 def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int = 0):
@@ -103,12 +106,14 @@ def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int =
     classes = p["word_out"].shape[0]
     kind = np.minimum(target // CLASS_WORDS, classes)
     kind = np.where(target >= p["embed"].shape[0] - 1, classes, kind)
-    logits = states @ p["class_out"] + p["class_bias"]
+    logits = states @ p["class_out"]
+    logits += p["class_bias"]
     logits -= logits.max(axis=1, keepdims=True)
-    share = np.exp(logits)
-    total = share.sum(axis=1)
     rows = np.arange(len(target))
-    logp = logits[rows, kind] - np.log(total)
+    logp = logits[rows, kind]
+    share = np.exp(logits, out=logits)
+    total = share.sum(axis=1)
+    logp -= np.log(total)
     grads, back = {}, None
     if learn:
         share /= total[:, None]
@@ -116,29 +121,37 @@ def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int =
         share /= learn
         grads = {"class_out": states.T @ share, "class_bias": share.sum(axis=0), "word_out": np.zeros_like(p["word_out"]), "word_bias": np.zeros_like(p["word_bias"])}
         back = share @ p["class_out"].T
-    order = np.argsort(kind, kind="stable")
+    # Rows of one class lie together: every class works on slices.
+    order = np.argsort(kind.astype(np.int16), kind="stable")
     edges = np.searchsorted(kind[order], np.arange(classes + 1))
+    ordered, words = states[order], target[order]
+    gained, pulled = np.zeros_like(logp), np.zeros_like(ordered) if learn else None
     for c in np.flatnonzero(np.diff(edges)):
-        mine = order[edges[c] : edges[c + 1]]
-        own = states[mine]
-        inner = own @ p["word_out"][c] + p["word_bias"][c]
+        mine = slice(edges[c], edges[c + 1])
+        own = ordered[mine]
+        inner = own @ p["word_out"][c]
+        inner += p["word_bias"][c]
         inner -= inner.max(axis=1, keepdims=True)
-        share = np.exp(inner)
+        word = words[mine] - c * CLASS_WORDS
+        at = rows[: len(own)]
+        gained[mine] = inner[at, word]
+        share = np.exp(inner, out=inner)
         total = share.sum(axis=1)
-        word = target[mine] - c * CLASS_WORDS
-        at = np.arange(len(mine))
-        logp[mine] += inner[at, word] - np.log(total)
+        gained[mine] -= np.log(total)
         if learn:
             share /= total[:, None]
             share[at, word] -= 1.0
             share /= learn
             grads["word_out"][c] = own.T @ share
             grads["word_bias"][c] = share.sum(axis=0)
-            back[mine] += share @ p["word_out"][c].T
+            pulled[mine] = share @ p["word_out"][c].T
+    logp[order] += gained
+    if learn:
+        back[order] += pulled
     return logp, grads, back
 
 
-def log_probabilities(p: Parameters, texts: list[np.ndarray], start_word: int, width: int = 256) -> np.ndarray:
+def log_probabilities(p: Parameters, texts: list[np.ndarray], start_word: int, width: int = WIDE) -> np.ndarray:
     """Natural log probability of every text. Texts must not be empty."""
     if not texts:
         return np.zeros(0)
@@ -202,9 +215,13 @@ def gradients(p: Parameters, lanes: Lanes, quiet: np.ndarray, rows: list[np.ndar
         h = n + both[:, :hidden] * (h - n)
         state[: len(at)] = h
         states[mine], gates[mine], news[mine], pulls[mine] = h, both, n, u[:, 2 * hidden :]
-    loud = ~quiet[places]
-    back = np.zeros_like(states)
-    _, grads, back[loud] = _outputs(p, states[loud], lanes.target[places[loud]], learn)
+    hushed = quiet[places]
+    if hushed.any():
+        loud = ~hushed
+        back = np.zeros_like(states)
+        _, grads, back[loud] = _outputs(p, states[loud], lanes.target[places[loud]], learn)
+    else:
+        _, grads, back = _outputs(p, states, lanes.target[places], learn)
     z, r = gates[:, :hidden], gates[:, hidden:]
     # What a state's gradient is multiplied by on its way to each gate; only the state's own part runs back in steps.
     to_new, to_z = (1.0 - z) * (1.0 - news * news), (held - news) * z * (1.0 - z)

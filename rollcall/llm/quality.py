@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,12 +141,11 @@ def fit_quality(
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", rows: int = TRAIN_ROWS
-) -> tuple[Features, list[int]]:
-    """Features and labels of at most ``rows`` labelled texts, the same ones on every run.
+) -> DataFrame:
+    """Packed features and labels of at most ``rows`` labelled texts, the same ones on every run; see ``unpacked``.
 
     Null labels are ignored, of repeated labels the lowest counts, of repeated ids one text is taken. Features
-    are cut in tasks; no text comes to the driver, whatever its length, and what comes is bounded by
-    ``rows`` times the size of the table.
+    are cut in tasks, so a row is bounded by the size of the table, whatever the length of its text.
     """
     judged = labels.filter(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(
         F.min(label_column).cast("int").alias("label")
@@ -169,17 +169,37 @@ def training_sample(
             )
 
     id_type = picked.schema["id"].dataType.simpleString()
-    table = picked.mapInArrow(cut, f"id {id_type}, label int, n bigint, body binary").toArrow()
-    order = sorted(range(table.num_rows), key=table["id"].to_pylist().__getitem__)
-    sizes, labels_, bodies = (table[c].to_pylist() for c in ("n", "label", "body"))
-    del table
-    starts = np.cumsum([0, *(sizes[i] for i in order)])
+    return picked.mapInArrow(cut, f"id {id_type}, label int, n bigint, body binary")
+
+
+def unpacked(sample: pd.DataFrame) -> tuple[Features, list[int]]:
+    """Features and labels of a training sample in the order of its ids."""
+    sample = sample.sort_values("id")
+    starts = np.cumsum([0, *sample["n"]])
     features = Features(starts, np.empty(starts[-1], dtype=np.uint32), np.empty(starts[-1], dtype=np.float32))
-    for place, i in enumerate(order):
-        own, body = slice(starts[place], starts[place + 1]), zlib.decompress(bodies[i])
-        features.rows[own] = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=sizes[i]), dtype=np.uint32)
-        features.shares[own] = np.frombuffer(body, dtype=np.float32, offset=4 * sizes[i])
-    return features, [labels_[i] for i in order]
+    for place, (n, packed) in enumerate(zip(sample["n"], sample["body"], strict=True)):
+        own, body = slice(starts[place], starts[place + 1]), zlib.decompress(packed)
+        features.rows[own] = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n), dtype=np.uint32)
+        features.shares[own] = np.frombuffer(body, dtype=np.float32, offset=4 * n)
+    return features, sample["label"].tolist()
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, **columns) -> QualityModel:
+    """The model of ``training_sample``, trained in one task.
+
+    Gradient descent goes from document to document, and the sample is bounded, so one task suffices; another
+    takes its place if its executor is lost. Only the finished weights come to the driver.
+    """
+
+    def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        model = fit_quality(*unpacked(sample))
+        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    sample = training_sample(docs, labels, **columns)
+    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights binary, bias double").collect()
+    if not fitted:
+        return fit_quality(features_of([]), [])
+    return QualityModel(np.frombuffer(fitted[0]["weights"], dtype=np.float32), fitted[0]["bias"])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:

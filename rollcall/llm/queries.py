@@ -73,7 +73,7 @@ def held_out(part: int):
 
 def fitted_quality(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     """Learned from the labels of rows that are not held out."""
-    return quality.fit_quality(*quality.training_sample(docs, labels.filter(~held_out(5))))
+    return quality.learn_quality(docs, labels.filter(~held_out(5)))
 
 
 @_query("op1_subword_quality")

@@ -64,7 +64,7 @@ def test_quality_without_two_labels_is_the_prior(odd, labels):
 
 def test_training_sample_takes_lowest_label_and_each_id_once(spark, odd):
     labels = spark.createDataFrame([(4, 1), (4, 0), (3, None), (99, 1), (None, 1)], "doc_id bigint, quality int")
-    features, got = quality.training_sample(odd, labels)
+    features, got = quality.unpacked(quality.training_sample(odd, labels).toPandas())
     want = quality.features_of(["same  text\there"])
     assert got == [0] and all((a == b).all() for a, b in zip(features, want))
 

@@ -78,6 +78,44 @@ def dict_group_count(spark, sf):
     return d.dictionary_format(grid_cells(spark, sf)).drop("sheet")
 
 
+def workbook_grids(spark, sf):
+    """Three files with a sheet for each brand, in the order of the brands' numbers.
+
+    Every sheet holds the dictionary ``sizes`` and one of its own brand.
+    """
+    number = F.expr("cast(substring(p_brand, 7) AS int)")
+    part = table(spark, sf, "part").withColumns({
+        "path": F.concat(F.lit("dict/"), (number % 3).cast("string"), F.lit(".xlsx")), "sheet_pos": number
+    })
+    texts = lambda *values: F.array(*[F.lit(v) if isinstance(v, str) or v is None else v for v in values])
+    rows = F.array(
+        texts("示例：sizes", None, F.col("p_brand"), None), texts(None, None, None, None), texts("Code", "Details", "编码", "说明")
+    )
+    grid = ["path", "p_brand", "sheet_pos"]
+    header = part.select(*grid).distinct().select(*grid, F.posexplode(rows).alias("pos", "cells"))
+    body = part.select(
+        *grid, (F.col("p_partkey") + 4).alias("row_idx"),
+        texts(F.col("p_size").cast("string"), F.col("p_name"), F.col("p_partkey").cast("string"), F.col("p_type")).alias("cells"),
+    )
+    cells = header.select(*grid, (F.col("pos") + 1).cast("long").alias("row_idx"), "cells").unionByName(body)
+    return cells.withColumnRenamed("p_brand", "sheet")
+
+
+@query(
+    "dict_file_catalogue",
+    """WITH grids AS (SELECT concat('dict/', cast(substr(p_brand, 7) AS int) % 3, '.xlsx') AS path, cast(substr(p_brand, 7) AS int) AS sheet_pos, * FROM part),
+last AS (SELECT path, max(sheet_pos) AS sheet_pos FROM grids GROUP BY path),
+entries AS (
+  SELECT g.path, 'sizes' AS dict_id, cast(p_size AS string) AS code, p_name AS label, p_partkey AS ord
+  FROM grids g JOIN last l ON g.path = l.path AND g.sheet_pos = l.sheet_pos
+  UNION ALL SELECT path, p_brand, cast(p_partkey AS string), p_type, p_partkey FROM grids)
+SELECT path, dict_id, code, trim(arg_max(label, ord)) AS label FROM entries GROUP BY path, dict_id, code""",
+)
+def dict_file_catalogue(spark, sf):
+    entries = d.dictionary_table(d.file_catalogue(workbook_grids(spark, sf)), within=["path"])
+    return d.forward_map(entries, within=["path"])
+
+
 @query(
     "dict_last_wins",
     CATALOGUE + "SELECT 'forward' AS direction, dict_id, code AS k, label AS v FROM fwd UNION ALL SELECT 'reverse', dict_id, label_key, code FROM rev",

@@ -105,3 +105,22 @@ def spec_attr_codes(spark, sf):
 @query("spec_required_fields", SPEC + "SELECT spec_id, name FROM spec WHERE required")
 def spec_required_fields(spark, sf):
     return sp.required_fields(normalized(spark, sf))
+
+
+@query(
+    "spec_lint_rows",
+    with_views("template") + """,
+raw AS (SELECT spec_id, ord, coalesce(trim(t_code), '') AS attr_code, coalesce(trim(t_name), '') AS name,
+  coalesce(lower(trim(t_required)) IN ('是', '√', '1', 'true'), false) AS required
+  FROM template WHERE coalesce(t_code, t_name) IS NOT NULL),
+codes AS (SELECT spec_id, attr_code, min(ord) AS other_ord FROM raw WHERE attr_code <> '' GROUP BY spec_id, attr_code),
+names AS (SELECT spec_id, name, max(ord) AS other_ord FROM raw WHERE name <> '' GROUP BY spec_id, name)
+SELECT r.spec_id, 'repeated_code' AS rule, r.attr_code AS value, r.ord, c.other_ord
+FROM raw r JOIN codes c ON r.spec_id = c.spec_id AND r.attr_code = c.attr_code AND r.ord <> c.other_ord
+UNION ALL SELECT r.spec_id, 'hidden_row', r.name, r.ord, n.other_ord
+FROM raw r JOIN names n ON r.spec_id = n.spec_id AND r.name = n.name AND r.ord <> n.other_ord
+UNION ALL SELECT spec_id, 'missing_code', name, ord, NULL FROM raw WHERE required AND attr_code = '' AND name <> ''
+UNION ALL SELECT spec_id, 'missing_name', attr_code, ord, NULL FROM raw WHERE name = ''""",
+)
+def spec_lint_rows(spark, sf):
+    return sp.lint_template(sp.parse_template(template(spark, sf, CODED), "template", carry=["spec_id", "ord"]))

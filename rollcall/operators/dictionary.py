@@ -6,6 +6,8 @@ one dictionary filters its id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +119,32 @@ def unpivot_dictionaries(cells: DataFrame) -> DataFrame:
     )
 
 
-def dictionary_table(entries: DataFrame) -> DataFrame:
-    """Long entries (dict_id, code, label, ord) cleaned to the dictionary schema."""
+def file_catalogue(cells: DataFrame) -> DataFrame:
+    """``unpivot_dictionaries`` with the dictionaries that a file really offers.
+
+    Sheets are read in order (``sheet_pos``), and a sheet that holds an id again replaces the whole earlier
+    dictionary of that id, also if it has headers only. Files never replace each other's dictionaries: keep
+    ``path`` in ``dictionary_table`` and in the maps. Sheet names are unique in a file.
+    """
+    placed = dictionary_headers(cells.withColumn("sheet", F.struct("sheet_pos", "sheet")))
+    pair = pair_key(F.col("path"), F.col("dict_id"))
+    valid = placed.select("path", "sheet", F.explode("groups").alias("g")).select("path", "sheet", "g.dict_id")
+    last = valid.groupBy("path", "dict_id").agg(F.max("sheet").alias("last")).select(
+        pair.alias("pair"), F.col("last.sheet").alias("__last_sheet")
+    )
+    entries = unpivot_dictionaries(cells)
+    joined = lookup_join(entries, last, pair, "pair", F.xxhash64("ord", "code"))
+    return joined.filter(F.col("sheet") == F.col("__last_sheet")).drop("__last_sheet")
+
+
+def dictionary_table(entries: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Long entries (dict_id, code, label, ord) cleaned to the dictionary schema.
+
+    Columns ``within`` stay, such as the ``path`` of a catalogue in which files share ids.
+    """
     label = F.coalesce(utrim("label"), F.lit(""))
     return entries.select(
+        *within,
         "dict_id",
         utrim("code").alias("code"),
         label.alias("label"),
@@ -129,17 +153,21 @@ def dictionary_table(entries: DataFrame) -> DataFrame:
     ).filter("code <> ''")
 
 
-def forward_map(dictionary: DataFrame) -> DataFrame:
-    """One label per (dict_id, code): the last row wins."""
-    return dictionary.groupBy("dict_id", "code").agg(F.max_by("label", "ord").alias("label"))
+def forward_map(dictionary: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """One label per (dict_id, code): the last row wins, of equal ``ord`` the later text.
+
+    With ``within=["path"]`` every file has its own dictionaries.
+    """
+    last = F.max_by("label", F.struct("ord", "label"))
+    return dictionary.groupBy(*within, "dict_id", "code").agg(last.alias("label"))
 
 
-def reverse_map(dictionary: DataFrame) -> DataFrame:
+def reverse_map(dictionary: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """One code per (dict_id, lower-cased label): the last row wins; blank labels have no entry."""
     return (
         dictionary.filter("label_key <> ''")
-        .groupBy("dict_id", "label_key")
-        .agg(F.max_by("code", "ord").alias("code"))
+        .groupBy(*within, "dict_id", "label_key")
+        .agg(F.max_by("code", F.struct("ord", "code")).alias("code"))
     )
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmptyInputError, InputError
-from ..functions.text import col, utrim
+from ..functions.text import col, pair_key, utrim
+from .lookup import lookup_join
 from .rules import FieldRule, FieldSpec
 
 # Header words of attribute templates and words of the required column.
@@ -183,6 +184,45 @@ def duplicate_codes(spec: DataFrame) -> DataFrame:
     )
 
 
+def lint_template(rows: DataFrame) -> DataFrame:
+    """Findings about template rows before names are merged: ``spec_id, rule, value, ord, other_ord``.
+
+    ``rows`` has ``spec_id, ord, attr_code, name, required``, as ``parse_template`` returns them, with ``ord``
+    unique in a spec. Blank and null texts count as missing. The rules:
+
+    * ``repeated_code``: an earlier row, ``other_ord``, is the first to use the row's code (``value``);
+    * ``hidden_row``: a later row, ``other_ord``, is the last with the row's name (``value``) and replaces it;
+    * ``missing_code``: a required row with a name has no code; ``value`` is the name;
+    * ``missing_name``: a row without a name, which no spec takes in; ``value`` is the code.
+
+    Rows are never compared in pairs. Codes and names are melted to one key column, an aggregate finds first and
+    last row of every key, and one salted lookup brings them back, so a frequent code or name is no hot task.
+    """
+    clean = rows.select(
+        "spec_id", "ord", F.coalesce(utrim("attr_code"), F.lit("")).alias("attr_code"),
+        F.coalesce(utrim("name"), F.lit("")).alias("name"), F.coalesce("required", F.lit(False)).alias("required"),
+    )
+    finding = lambda rule, value: F.struct(F.lit(rule).alias("rule"), F.col(value).alias("value"))
+    none = F.lit(None).cast("struct<rule:string,value:string>")
+    alone = F.array(
+        F.when(F.col("required") & (F.col("attr_code") == "") & (F.col("name") != ""), finding("missing_code", "name")).otherwise(none),
+        F.when(F.col("name") == "", finding("missing_name", "attr_code")).otherwise(none),
+    )
+    single = clean.select("spec_id", "ord", F.explode(F.array_compact(alone)).alias("f")).select(
+        "spec_id", "f.rule", "f.value", "ord", F.lit(None).cast(rows.schema["ord"].dataType).alias("other_ord")
+    )
+    melted = clean.select(
+        "spec_id", "ord", F.explode(F.array(finding("repeated_code", "attr_code"), finding("hidden_row", "name"))).alias("f")
+    ).select("spec_id", "f.rule", "f.value", "ord").filter("value <> ''")
+    spec = F.coalesce(F.concat(F.lit("s"), F.col("spec_id").cast("string")), F.lit("n"))
+    key = pair_key(F.concat("rule", F.lit(":"), spec), F.col("value"))
+    several = melted.groupBy(key.alias("key"), "rule").agg(
+        F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 1").select("key", F.when(F.col("rule") == "hidden_row", F.col("last")).otherwise(F.col("first")).alias("other_ord"), "n")
+    found = lookup_join(melted, several, key, "key", F.col("ord"), key_rows="n")
+    return found.filter("other_ord <> ord").select("spec_id", "rule", "value", "ord", "other_ord").unionByName(single)
+
+
 def required_without_code(spec: DataFrame) -> DataFrame:
     """Findings: required fields that have no attribute code."""
     return spec.filter("required and (attr_code is null or attr_code = '')").select("spec_id", "name", "ord")

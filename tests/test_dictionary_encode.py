@@ -178,3 +178,24 @@ def test_hot_combinations_are_salted(spark, monkeypatch):
     got = encode.encode_labels(rows, {"v": "A"}, d.dictionary_table(entries), broadcast_bytes=0)
     assert "__lookup_salt" in plan_text(got)
     assert got.filter("v_Code = '1'").count() == 2_000
+
+
+def test_later_sheets_replace_whole_dictionaries_within_a_file(spark):
+    def grid(path, pos, sheet, dict_id, *rows):
+        return [(path, pos, sheet, i, list(c)) for i, c in enumerate([(dict_id, None), (None, None), ("code", "details"), *rows], 1)]
+
+    cells = spark.createDataFrame(
+        grid("a", 0, "z", "D", ("1", "one"), ("2", "two")) + grid("a", 1, "b", "D", ("1", "uno"))
+        + grid("a", 2, "c", "E", ("1", "hidden")) + grid("a", 10, "d", "E") + grid("b", 0, "z", "D", ("2", "zwei"), ("2", "dos")),
+        "path string, sheet_pos int, sheet string, row_idx long, cells array<string>",
+    )
+    entries = d.dictionary_table(d.file_catalogue(cells), within=["path"])
+    assert values(d.forward_map(entries, ["path"]), "path", "dict_id", "code", "label") == [("a", "D", "1", "uno"), ("b", "D", "2", "dos")]
+    assert values(d.reverse_map(entries, ["path"]), "path", "label_key", "code") == [("a", "uno", "1"), ("b", "dos", "2"), ("b", "zwei", "2")]
+    assert d.file_catalogue(cells.limit(0)).collect() == []
+
+
+def test_equal_positions_do_not_go_to_chance(spark):
+    rows = [("A", "1", x, 5) for x in ("b", "c", "a")]
+    table = d.dictionary_table(spark.createDataFrame(rows, "dict_id string, code string, label string, ord int").repartition(3))
+    assert values(d.forward_map(table), "label") == [("c",)]

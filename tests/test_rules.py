@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rollcall.errors import EmptyInputError, InputError
 from rollcall.labels import DEFAULT_LABELS as L
 from rollcall.labels import Labels
-from rollcall.operators import rules, spec
+from rollcall.operators import lookup, rules, spec
 from rollcall.operators.rules import FieldRule, FieldSpec
 
 
@@ -195,3 +195,19 @@ def test_normalize_spec_prefers_later_header_and_last_row(spark):
         "spec_id string, ord long, `属性名称` string, `名称` string, `长度` string, `必填` string",
     )
     assert values(spec.normalize_spec(rows), "name", "max_length", "required") == [("a", 12, True), ("b", 7, True)]
+
+
+def test_lint_of_raw_rows(spark, monkeypatch):
+    rows = [
+        ("s", 1, "c1", "a", True), ("s", 2, "c1", "a", False), ("s", 3, " c1 ", "b", False), ("s", 4, None, "b", True),
+        ("s", 5, "c2", " ", True), ("t", 6, "c1", "a", None), (None, 7, "x", "n", False), (None, 8, "x", "m", False),
+    ]
+    frame = spark.createDataFrame(rows, "spec_id string, ord int, attr_code string, name string, required boolean")
+    want = [
+        ("hidden_row", "a", 1, 2), ("hidden_row", "b", 3, 4), ("missing_code", "b", 4, None), ("missing_name", "c2", 5, None),
+        ("repeated_code", "c1", 2, 1), ("repeated_code", "c1", 3, 1), ("repeated_code", "x", 8, 7),
+    ]
+    for small in (lookup.SMALL_BYTES, 0):
+        monkeypatch.setattr(lookup, "SMALL_BYTES", small)
+        assert sorted((r["rule"], r["value"], r["ord"], r["other_ord"]) for r in spec.lint_template(frame).collect()) == want
+    assert spec.lint_template(frame.limit(0)).collect() == []

@@ -119,14 +119,15 @@ def poisson_mix(
     )
     number = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
     key = source_key(F.col(source_column))
+    # Drawn below the join, so that the hash is computed once a row and not once a step.
+    drawn = docs.withColumn("__drawn", unit_hash(F.lit(str(seed)), number))
     if found["bytes"] <= BROADCAST_BYTES:
-        joined = docs.withColumn("__key", key).join(F.broadcast(steps), F.col("__key") == F.col("__source"))
+        joined = drawn.withColumn("__key", key).join(F.broadcast(steps), F.col("__key") == F.col("__source"))
     else:
-        joined = lookup_join(docs, steps, key, "__source", F.xxhash64(number), small_bytes=0).filter(F.col("__steps").isNotNull())
+        joined = lookup_join(drawn, steps, key, "__source", F.xxhash64(number), small_bytes=0).filter(F.col("__steps").isNotNull())
     new = (copy_column.lower(), key_column.lower())
     return (
-        joined.withColumn("__drawn", unit_hash(F.lit(str(seed)), number))
-        .withColumn("__copies", F.size(F.filter("__steps", lambda s: s <= F.col("__drawn"))))
+        joined.withColumn("__copies", F.size(F.filter("__steps", lambda s: s <= F.col("__drawn"))))
         .filter(F.col("__copies") > 0)
         .select(
             number.alias("__number"),

@@ -212,6 +212,30 @@ def test_urls_repeated_rows_no_rules_and_no_pages(spark):
     assert urls.judge_urls(pages.limit(0), rules).collect() == []
 
 
+def test_urls_sweep_many_nested_rules_without_comparing_them(spark):
+    host = F.expr("concat_ws('.', slice(array('z', 'y', 'x', concat('h', id div 4)), 4 - cast(id % 4 as int), 4), 'net')")
+    rules = spark.range(100_000).select(host.alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
+    pages = spark.range(3_000).select(
+        F.col("id").alias("page_id"),
+        F.expr("concat('http://', element_at(array('w.z.y.x.', 'y.x.', 'q.', ''), cast(id % 4 as int) + 1), 'h', id * 9, '.net/p')").alias("url"),
+    )
+    judged = urls.judge_urls(pages, rules, rows_a_lane=100)
+    assert "NestedLoop" not in judged._jdf.queryExecution().toString() and "Cartesian" not in judged._jdf.queryExecution().toString()
+    below = ("z.y.x.", "y.x.", "", "")
+    want = {i: f"{below[i % 4]}h{i * 9}.net/" if i * 9 < 25_000 else None for i in range(3_000)}
+    assert {r["page_id"]: r["rule"] for r in judged.collect()} == want
+
+
+def test_urls_split_a_hot_host_and_odd_hosts_into_lanes(spark):
+    rules = [("hot.net", "", "block"), ("a.hot.net", "/x", "allow"), ("net", "/x/y", "block"), ("a\x01b", "", "block"), ("a", "/x", "allow")]
+    given = [f"http://{h}{p}" for h in ["hot.net"] * 60 + ["a.hot.net", "b.a.hot.net", "net", "y.a", "a\x01b", "c.a\x01b", "a.", "x" * 70_000] for p in ["/x", "/x/y", "/" + "z" * 70_000]]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id bigint, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    judged = urls.judge_urls(pages, table, rows_a_lane=7)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judged.collect()}
+    assert got == {i: _judge(u, rules) for i, u in enumerate(given)}
+
+
 # exact groups -------------------------------------------------------------------------------------
 
 

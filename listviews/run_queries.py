@@ -283,9 +283,13 @@ def runs_top_n(spark, sf):
     with_views("run_log") + "SELECT run_id, status FROM run_log WHERE run_id NOT IN (SELECT run_id FROM run_log WHERE status = 'failed' AND total_records IS NULL AND event_time < timestamp '2024-01-02')",
 )
 def runs_delete(spark, sf):
+    """Writes the log by month, deletes runs from the stored log and reads back what is left."""
+    path = export.shared_folder(spark, "runs")
     log = view(spark, sf, "run_log")
+    history.append_runs(log, path)
     gone = log.filter("status = 'failed' and total_records is null and event_time < timestamp_ntz '2024-01-02 00:00:00'")
-    return history.without_runs(log, gone).select("run_id", "status")
+    history.delete_runs(spark, path, gone)
+    return history.read_runs(spark, path).select("run_id", "status")
 
 
 @query(

@@ -1,7 +1,8 @@
 """Run history, dictionary versions and settings as append-only tables.
 
 Each table is a log: a change appends a row, and the current state is the latest row per key, taken
-by partial aggregation. Nothing is updated in place, so concurrent runs only append.
+by partial aggregation. Nothing is updated in place, so concurrent runs only append. The log of runs is
+stored by month, so that deleting runs rewrites the months that hold them and no others.
 """
 
 from __future__ import annotations
@@ -11,9 +12,51 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, duration_text, short_path
 from ..schemas import RUN_SCHEMA, VERSION_SCHEMA
+from ..scratch import settled
 
 # The keys of the input map of a run.
 INPUT_KEYS = ("primary", "partner", "vendor", "dict", "spec")
+#: Column by which a log of runs is stored; events without a time have a month of their own.
+MONTH, _NO_MONTH = "month", "none"
+
+
+def append_runs(log: DataFrame, path: str) -> None:
+    """Appends run events to the log at ``path``, dealt to one folder per month of ``event_time``."""
+    month = F.coalesce(F.date_format("event_time", "yyyy-MM"), F.lit(_NO_MONTH))
+    log.withColumn(MONTH, month).write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The log at ``path`` with its month as text, whatever the months look like."""
+    columns = [f for f in spark.read.parquet(path).schema.fields if f.name != MONTH]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    return spark.read.schema(f"{schema}, {MONTH} string").parquet(path)
+
+
+def delete_runs(spark: SparkSession, path: str, run_ids: DataFrame) -> list[str]:
+    """Deletes all events of the given runs from the log at ``path``; returns the months that changed.
+
+    Months without such a run are neither read in full nor written. The rows that stay are written to
+    scratch first, and then they replace their months in one commit; a month of which nothing stays is
+    removed. A second call with the same ids finishes what a crash left. Null ids delete nothing. An
+    event that is appended to a changed month meanwhile may be lost, so runs should not be writing to it.
+    """
+    log, gone = read_runs(spark, path), run_ids.select("run_id").distinct()
+    # A row per month, whatever the size of the log.
+    touched = sorted(r[MONTH] for r in log.select("run_id", MONTH).join(gone, "run_id", "left_semi").select(MONTH).distinct().collect())
+    if not touched:
+        return []
+    kept = settled(without_runs(log.filter(F.col(MONTH).isin(touched)), gone))
+    left = {r[MONTH] for r in kept.select(MONTH).distinct().collect()}
+    columns = [c for c in log.columns if c != MONTH]
+    kept.select(*columns, MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for month in touched:
+        if month not in left:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{MONTH}={month}"), True)
+    spark.catalog.refreshByPath(path)
+    return touched
 
 
 def _append(rows: DataFrame, path: str) -> None:
@@ -31,7 +74,7 @@ def start_run(spark: SparkSession, path: str, inputs: dict[str, str]) -> str:
         F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(v).cast("string"))]).alias("inputs"),
     )
     run_id = row.select("run_id").first()["run_id"]
-    _append(_as_run(row.withColumn("run_id", F.lit(run_id))), path)
+    append_runs(_as_run(row.withColumn("run_id", F.lit(run_id))), path)
     return run_id
 
 
@@ -51,7 +94,7 @@ def finish_run(
     def pick(name: str) -> Column:
         return F.col(name) if name in has else F.lit(0).cast("long")
 
-    _append(
+    append_runs(
         _as_run(
             base.select(
                 F.lit(run_id).alias("run_id"),
@@ -82,7 +125,7 @@ def _as_run(rows: DataFrame) -> DataFrame:
 
 def latest_runs(log: DataFrame) -> DataFrame:
     """Current state per run: each column's latest non-null value."""
-    others = [c for c in log.columns if c not in ("run_id", "event_time")]
+    others = [c for c in log.columns if c not in ("run_id", "event_time", MONTH)]
     return log.groupBy("run_id").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("event_time"))).alias(c) for c in others]
     )
@@ -105,7 +148,7 @@ def one_run(runs: DataFrame, run_id: str) -> DataFrame:
 
 
 def without_runs(log: DataFrame, run_ids: DataFrame) -> DataFrame:
-    """The log without the given runs; the deletion is a rewrite to a new table."""
+    """The log without the given runs; ``delete_runs`` takes them out of a stored log."""
     return log.join(run_ids.select("run_id").distinct(), "run_id", "left_anti")
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from helpers import one_column, plan_text, values
@@ -183,6 +184,25 @@ def test_history(spark, lists, dictionary, folder):
     assert {r["module"]: r["elapsed_ms"] for r in stage_rows.collect()}["load"] == 12
 
 
+def test_runs_are_deleted_by_month(spark, folder):
+    events = [("a", "2024-01-05", "x"), ("b", "2024-01-06", "x"), ("a", "2024-02-01", "y"), ("c", "2024-03-01", "z"), ("d", None, "x"), (None, "2024-01-07", "w")]
+    log = spark.createDataFrame(events, "run_id string, at string, status string").select(
+        "run_id", F.col("at").cast("timestamp").alias("event_time"), "status"
+    )
+    path = folder + "/runs"
+    history.append_runs(log, path)
+    files = lambda month: sorted(os.listdir(f"{path}/month={month}"))
+    before = files("2024-03")
+    gone = spark.createDataFrame([("a",), ("a",), ("nobody",), (None,)], "run_id string")
+    assert history.delete_runs(spark, path, gone) == ["2024-01", "2024-02"]
+    assert values(history.read_runs(spark, path), "run_id", "status") == [("b", "x"), ("c", "z"), ("d", "x"), (None, "w")]
+    assert files("2024-03") == before and not os.path.exists(f"{path}/month=2024-02")
+    assert history.delete_runs(spark, path, gone) == []
+    assert history.delete_runs(spark, path, gone.limit(0)) == []
+    assert history.delete_runs(spark, path, spark.createDataFrame([("d",)], "run_id string")) == ["none"]
+    assert values(history.latest_runs(history.read_runs(spark, path)), "run_id", "status") == [("b", "x"), ("c", "z"), (None, "w")]
+
+
 def test_broken_summary_is_empty(spark):
     runs = spark.createDataFrame([("a", "{broken"), ("b", None), ("c", '{"k": 2}')], "run_id string, summary string")
     assert values(history.summary_of(runs, "k int"), "run_id", "parsed.k") == [("a", None), ("b", None), ("c", 2)]

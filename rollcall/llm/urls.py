@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MARK = "\x01"
-_ROWS_A_LANE = 50_000
+_ROWS_A_LANE, _FEWEST_ROWS_A_LANE = 50_000, 500
 #: Most intervals that are counted, so the broadcast table of their lanes stays below 3 MB; lanes have no bound.
 _MOST_BUCKETS = 100_000
 
@@ -86,7 +86,8 @@ def judge_urls(
     wanted = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_a_lane))
     buckets = min(wanted, _MOST_BUCKETS)
     bucket = F.pmod(F.xxhash64(F.substring_index("key", _MARK, 2)), F.lit(buckets)).alias("bucket")
-    lanes = keyed.groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / rows_a_lane).alias("lanes"))
+    a_lane = min(rows_a_lane, max(-(-rows // wanted), _FEWEST_ROWS_A_LANE))
+    lanes = keyed.groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / a_lane).alias("lanes"))
 
     listed = rule_keys(rules)
     # A row per label count, of which a host name has 127 at most.

@@ -59,8 +59,6 @@ PERCENT = 75
 PERMUTATIONS = 4
 BLOCK_DOCS = 192
 LEAF_DOCS = 8
-SMALL_GROUP = 8
-EXAMINED_GROUP = 200
 BITS_A_SHINGLE = 4
 RANKED_SHINGLES = 1 << 17
 FREQUENT_IN_TASK = 4
@@ -534,14 +532,19 @@ def _linked_blocks(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFram
 def _chunk_pairs(rows: DataFrame) -> DataFrame:
     """``rows(key, id, label)``: pairs of chunks of every key that hold two labels, as blocks.
 
-    Chunks have a bounded size: labels are dealt to as many homes as the key needs, and a home with too
-    many rows is divided again. So a label is mostly whole in one chunk, and pairs of chunks with one label
-    need no block.
+    Chunks have a bounded size. A label of many rows has a home of its own, the others of a key are dealt to as many homes
+    as they need, and a home with too many rows is divided again. So the parts of a large label meet what has other
+    labels, but not each other, and pairs of chunks with one label need no block.
     """
-    totals = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
-    homed = rows.join(totals.filter("low < high"), "key").select(
-        "key", "id", "label", F.pmod(F.xxhash64("label"), F.ceil(F.col("rows") / F.lit(BLOCK_DOCS))).cast("int").alias("home")
+    large = F.col("in_label") > F.lit(BLOCK_DOCS // 2)
+    counted = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("in_label"))
+    totals = counted.groupBy("key").agg(
+        F.sum(F.when(~large, F.col("in_label")).otherwise(0)).alias("loose"), F.min("label").alias("low"), F.max("label").alias("high")
     )
+    shared_home = F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.col("loose") / F.lit(BLOCK_DOCS))))
+    home = F.struct(large.alias("large"), F.when(large, F.col("label")).otherwise(shared_home).alias("number"))
+    labels = counted.join(totals.filter("low < high"), "key").select("key", "label", home.alias("home"))
+    homed = rows.join(labels, ["key", "label"]).select("key", "id", "label", "home")
     homes = homed.groupBy("key", "home").agg(F.count(F.lit(1)).alias("in_home"))
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("in_home") / F.lit(BLOCK_DOCS))).cast("int")
     chunked = settled(homed.join(homes, ["key", "home"]).select("key", "id", "label", F.struct("home", part.alias("part")).alias("chunk")))
@@ -614,28 +617,30 @@ def _neighbour_blocks(reps: DataFrame) -> DataFrame:
 
 
 def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent: int, parts: int) -> DataFrame:
-    """The shingles of each of ``sets(id, body)`` of which partners have one in common, packed.
+    """The shingles of each of ``sets(id, label, body)`` of which partners have one in common, packed.
 
-    Tasks hand packed arrays of (shingle, id) to one of ``parts`` parts by shingle.
+    Tasks hand packed arrays of (shingle, id, label) to one of ``parts`` parts by shingle.
     """
     ranked_keys, ranked_counts = ranks
 
-    def packed(keys, ids, sizes, rests):
+    def packed(keys, ids, labels, sizes, rests):
         part = (mixed(keys) % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         filled = [p for p in range(parts) if edges[p + 1] > edges[p]]
-        columns = [x[order] for x in (keys, ids, sizes, rests)]
+        columns = [x[order] for x in (keys, ids, labels, sizes, rests)]
+        packers = (packed_set, packed_longs, packed_longs, packed_longs, np.ndarray.tobytes)
         return pa.RecordBatch.from_arrays(
-            [pa.array(filled, pa.int64()), *(pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in filled], pa.binary()) for x in columns)],
-            names=["part", "keys", "ids", "sizes", "rests"],
+            [pa.array(filled, pa.int64())]
+            + [pa.array([pack(x[edges[p] : edges[p + 1]]) for p in filled], pa.binary()) for pack, x in zip(packers, columns, strict=True)],
+            names=["part", "keys", "ids", "labels", "sizes", "rests"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         waiting = 0
         for batch in batches:
-            for number, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            for number, label, body in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "body")), strict=True):
                 own = unpacked_set(body)
                 n = len(own)
                 length = n - math.ceil(percent * n / 100) + 1
@@ -646,7 +651,8 @@ def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent:
                     rank[hit] = ranked_counts[at[hit]]
                 # Within a rank the order of hashes, which are sorted already.
                 first = own[np.argsort(rank, kind="stable")[:length]]
-                held.append((first, np.full(length, number, dtype=np.int64), np.full(length, n, dtype=np.int32), _rest(n, np.arange(length))))
+                same = (np.full(length, x, dtype=np.int64) for x in (number, label, n))
+                held.append((first, *same, _rest(n, np.arange(length))))
                 waiting += length
                 if waiting > HELD_SHINGLES:
                     yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -654,7 +660,7 @@ def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent:
         if held:
             yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return sets.select("id", "body").mapInArrow(run, "part bigint, keys binary, ids binary, sizes binary, rests binary")
+    return sets.select("id", "label", "body").mapInArrow(run, "part bigint, keys binary, ids binary, labels binary, sizes binary, rests binary")
 
 
 def _rest(n: int, places: np.ndarray) -> np.ndarray:
@@ -662,53 +668,62 @@ def _rest(n: int, places: np.ndarray) -> np.ndarray:
     return np.ceil((n - places) * (255 / n)).clip(0, 255).astype(np.uint8)
 
 
-def _partnered(starts, counts, sizes, rests, percent: int) -> np.ndarray:
-    """Which rows may have a partner in their shingle's group: by size, and by what can follow in the order.
+def _top_two(u1, l1, u2, v1, m1, v2):
+    """Of two sides, each with its largest value, that value's label and the largest of other labels: the same of both."""
+    first = u1 >= v1
+    top, label = np.where(first, u1, v1), np.where(first, l1, m1)
+    second = np.where(l1 == m1, np.maximum(u2, v2), np.where(first, np.maximum(u2, v1), np.maximum(u1, v2)))
+    return top, label, second
 
-    If the shingle is the first that two sets share, both must have enough shingles from it on. Groups of
-    more than ``EXAMINED_GROUP`` rows are not examined.
+
+def _partnered(starts, labels, sizes, rests, percent: int) -> np.ndarray:
+    """Which rows may have a partner of another label in their shingle's group: by size, and by what can follow in the order.
+
+    If the shingle is the first that two sets share, both must have enough shingles from it on. So a row has a
+    largest size that its partner may have, its reach, and two rows may be partners if neither is larger than the other's
+    reach. Rows come by group and, within it, by size: a row asks for the farthest reach of another label among the sizes that
+    suit it, and ranges are answered from runs of 1, 2, 4, ... rows, whatever the size of a group.
     """
-    kept = np.repeat(counts > EXAMINED_GROUP, counts)
-    after = rests * sizes / 255
-
-    def fits(a, b):
-        n, m = sizes[a], sizes[b]
-        rest = np.minimum(after[a], after[b]) + 1e-6
-        return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * rest >= percent * (n + m))
-
-    for size in range(2, SMALL_GROUP + 1):
-        first = starts[counts == size]
-        for i in range(size if len(first) else 0):
-            for j in range(i + 1, size):
-                a, b = first + i, first + j
-                hit = fits(a, b)
-                kept[a[hit]] = True
-                kept[b[hit]] = True
-    larger = (counts > SMALL_GROUP) & (counts <= EXAMINED_GROUP)
-    for start, size in zip(starts[larger], counts[larger], strict=True):
-        rows = np.arange(start, start + size)
-        hit = fits(rows[:, None], rows[None, :])
-        np.fill_diagonal(hit, False)
-        kept[rows] = hit.any(axis=1)
+    n = len(sizes)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    reach = np.floor(((100 + percent) * (rests * sizes / 255 + 1e-6) - percent * sizes) / percent).astype(np.int64)
+    step = int(sizes.max()) + 2
+    place = group * step + sizes
+    low = np.searchsorted(place, group * step + -(-percent * sizes // 100))
+    most = np.minimum(np.minimum(100 * sizes // percent, reach), step - 1)
+    high = np.searchsorted(place, group * step + np.maximum(most, 0), side="right")
+    length = np.maximum(high - low, 0)
+    kept = np.zeros(n, dtype=bool)
+    asked = np.flatnonzero(length)
+    level = np.frexp(length[asked])[1] - 1
+    top, owner, second = reach, labels, np.full(n, -1, dtype=np.int64)
+    for k in range(int(level.max()) + 1 if len(asked) else 0):
+        rows = asked[level == k]
+        left, right = low[rows], high[rows] - (1 << k)
+        best, whose, other = _top_two(*(x[at] for at in (left, right) for x in (top, owner, second)))
+        kept[rows] = np.where(whose == labels[rows], other, best) >= sizes[rows]
+        if n > (half := 1 << k):
+            top, owner, second = _top_two(top[:-half], owner[:-half], second[:-half], top[half:], owner[half:], second[half:])
     return kept
 
 
 def _shared_keys(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of one part: the shingles that two documents have, with their documents."""
-        keys, ids = (np.concatenate([np.frombuffer(x, dtype=t) for x in frame[c]]) for c, t in (("keys", _U), ("ids", np.int64)))
-        sizes, rests = (np.concatenate([np.frombuffer(x, dtype=t) for x in frame[c]]).astype(np.int64) for c, t in (("sizes", np.int32), ("rests", np.uint8)))
-        order = np.argsort(keys, kind="stable")
-        keys, ids, sizes, rests = keys[order], ids[order], sizes[order], rests[order]
+        """Of one part: the shingles that documents of two labels have, with their documents."""
+        unpack = {"keys": unpacked_in_order, "ids": unpacked_longs, "labels": unpacked_longs, "sizes": unpacked_longs}
+        unpack["rests"] = lambda body: np.frombuffer(body, dtype=np.uint8).astype(np.int64)
+        rows = [np.concatenate([f(x) for x in frame[c]]) for c, f in unpack.items()]
+        order = np.lexsort((rows[3], rows[0]))
+        keys, ids, labels, sizes, rests = (x[order] for x in rows)
         edge = np.append(True, keys[1:] != keys[:-1])
         keep = ~(edge & np.append(edge[1:], True))
-        keys, ids, sizes, rests = keys[keep], ids[keep], sizes[keep], rests[keep]
+        keys, ids, labels, sizes, rests = (x[keep] for x in (keys, ids, labels, sizes, rests))
         if len(keys):
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keep = _partnered(starts, np.diff(np.append(starts, len(keys))), sizes, rests, percent)
-            keys, ids = keys[keep], ids[keep]
+            keep = _partnered(starts, labels, sizes, rests, percent)
+            keys, ids, labels = keys[keep], ids[keep], labels[keep]
         if not len(keys):
-            return pd.DataFrame({"key": [], "id": []}, dtype="int64")
+            return pd.DataFrame({"key": [], "id": [], "label": []}, dtype="int64")
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         counts = np.diff(np.append(starts, len(keys)))
         # Shingles with the same documents say the same; one of them goes on.
@@ -718,14 +733,14 @@ def _shared_keys(percent: int):
         picked = np.zeros(len(starts), dtype=bool)
         picked[first] = True
         rows = np.repeat(picked, counts)
-        return pd.DataFrame({"key": keys[rows].astype(np.int64), "id": ids[rows]})
+        return pd.DataFrame({"key": keys[rows].astype(np.int64), "id": ids[rows], "label": labels[rows]})
 
     return run
 
 
-def _rest_blocks(shared: DataFrame, connected: DataFrame) -> DataFrame:
+def _rest_blocks(shared: DataFrame) -> DataFrame:
     """Pairs of chunks, of every shingle, that hold two components."""
-    labelled = settled(_labelled(shared, connected))
+    labelled = settled(shared)
     keys = labelled.groupBy("key").agg(
         F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id")).alias("s"),
@@ -800,9 +815,10 @@ def _components_of(docs: DataFrame, id_column: str, text_column: str, shingle: i
     open_sets = settled(_with_a_chance(_set_shingles(sets.select("id", "body").join(labelled, "id"), hot, parts), labelled, parts, percent))
 
     parts = _parts(spark, total)
-    packed = _prefix_rows(sets.join(open_sets.select("id"), "id", "left_semi"), ranks, percent, parts)
-    shared = packed.repartition(parts, "part").groupBy("part").applyInPandas(_shared_keys(percent), "key bigint, id bigint")
-    far = _linked_blocks(sets, _likely_blocks(_rest_blocks(shared, connected), possible, connected, percent), percent)
+    labels = open_sets.select("id", "label").distinct()
+    packed = _prefix_rows(sets.join(labels, "id"), ranks, percent, parts)
+    shared = packed.repartition(parts, "part").groupBy("part").applyInPandas(_shared_keys(percent), "key bigint, id bigint, label bigint")
+    far = _linked_blocks(sets, _likely_blocks(_rest_blocks(shared), possible, connected, percent), percent)
     final = components(near.unionByName(far))
 
     named = described.join(reps.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"], "left")

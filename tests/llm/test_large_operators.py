@@ -84,6 +84,41 @@ def test_packed_sets_come_back():
     assert jaccard.unpacked_set(jaccard.packed_set(hashes)).tolist() == sorted(int(h) % 2**40 for h in hashes)
 
 
+def test_partners_have_another_label_and_fit_by_size_and_order():
+    """Groups of all sizes against every pair of rows; a large group is examined like a small one."""
+    draw = np.random.default_rng(3)
+    counts = np.array([1, 2, 3, 7, 40, 300, 1_000])
+    group = np.repeat(np.arange(len(counts)), counts)
+    sizes = draw.integers(1, 300, len(group))
+    labels = np.where(draw.random(len(group)) < 0.9, group, draw.integers(0, 60, len(group)))
+    order = np.lexsort((sizes, group))
+    sizes, labels = sizes[order], labels[order]
+    rests = jaccard._rest(sizes, (draw.random(len(group)) * (sizes // 4 + 1)).astype(np.int64)).astype(np.int64)
+    after = np.minimum.outer(rests * sizes / 255, rests * sizes / 255) + 1e-6
+    n, m = sizes[:, None], sizes[None, :]
+    fits = (100 * n >= 75 * m) & (100 * m >= 75 * n) & (175 * after >= 75 * (n + m))
+    want = (fits & (group[:, None] == group[None, :]) & (labels[:, None] != labels[None, :])).any(axis=1)
+    got = jaccard._partnered(np.cumsum(counts) - counts, labels, sizes, rests, 75)
+    assert want.any() and not want.all() and (got >= want).all()
+    assert (got & ~want).sum() <= len(want) // 100  # Reach is rounded up from one byte, nothing else is let through.
+
+
+def test_chunks_of_one_large_label_do_not_meet_each_other(spark):
+    """5,000 documents of one component and 100 others share a shingle: rows grow with the group, not with its square."""
+    rows = spark.range(5_100).select(F.lit(1).cast("bigint").alias("key"), "id", F.greatest(F.col("id"), F.lit(5_000)).alias("label"))
+    blocks = jaccard._chunk_pairs(rows)
+    got = [(r["block"], r["side"], r["id"], r["label"]) for r in blocks.collect()]
+    assert len(got) < 4 * 5_100
+    sides = {}
+    for block, side, number, _ in got:
+        sides.setdefault(block, ([], []))[side].append(number)
+    met = set()
+    for left, right in sides.values():
+        met |= {(min(a, b), max(a, b)) for a in left for b in right} | {(a, b) for a in left for b in left if a < b}
+    labels = [max(i, 5_000) for i in range(5_100)]
+    assert {(a, b) for a in range(5_100) for b in range(5_001, 5_100) if a < b and labels[a] != labels[b]} <= met
+
+
 def test_jaccard_empty(docs):
     assert jaccard.jaccard_components(docs.limit(0)).collect() == []
 

@@ -1,4 +1,4 @@
-"""Membership bitmaps of a fixed size: the only thing about many keys that is ever broadcast.
+"""Membership bitmaps of a fixed size: the only thing about many keys that is ever broadcast. Below: packed integers.
 
 A bitmap has as many bits as its caller says, whatever the number of keys. With more keys it lets more
 rows through, which costs time but never changes a result, since an exact join follows.
@@ -58,3 +58,19 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 23
     table = bit_table(keys, slot_of(bits, key), bits)
     slot = F.when(F.col(key).isNotNull(), slot_of(bits, key))
     return passed(rows, table, slot, False).unionByName(passed(rows, table, slot, True).join(keys, key, "left_anti").select(rows.columns))
+
+
+def packed_longs(values: np.ndarray) -> bytes:
+    """64-bit integers as their least, a width, and distances from the least in that many bytes."""
+    least = values.min()
+    far = values.view(np.uint64) - least.view(np.uint64)
+    width = max(1, (int(far.max()).bit_length() + 7) // 8)
+    return least.tobytes() + bytes([width]) + far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_longs(body: bytes) -> np.ndarray:
+    """What ``packed_longs`` was given."""
+    width = body[8]
+    wide = np.zeros(((len(body) - 9) // width, 8), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(body, dtype=np.uint8, offset=9).reshape(-1, width)
+    return (wide.view(np.uint64).ravel() + np.frombuffer(body[:8], dtype=np.uint64)).view(np.int64)

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from rollcall.scratch import settled
 
-from .bits import bit_table, slot_of
+from .bits import bit_table, packed_longs, slot_of, unpacked_longs
 from .components import components
 from .words import LOWER, VISIBLE, find_words, hash_runs, mixed, shingle_hashes, slices
 
@@ -109,22 +109,6 @@ def unpacked_set(body: bytes) -> np.ndarray:
     return np.sort(unpacked_in_order(body))
 
 
-def packed_longs(values: np.ndarray) -> bytes:
-    """64-bit integers as their least, a width, and distances from the least in that many bytes."""
-    least = values.min()
-    far = values.view(_U) - least.view(_U)
-    width = max(1, (int(far.max()).bit_length() + 7) // 8)
-    return least.tobytes() + bytes([width]) + far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked_longs(body: bytes) -> np.ndarray:
-    """What ``packed_longs`` was given."""
-    width = body[8]
-    wide = np.zeros(((len(body) - 9) // width, 8), dtype=np.uint8)
-    wide[:, :width] = np.frombuffer(body, dtype=np.uint8, offset=9).reshape(-1, width)
-    return (wide.view(_U).ravel() + np.frombuffer(body[:8], dtype=_U)).view(np.int64)
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
     if not len(a) or not len(b):

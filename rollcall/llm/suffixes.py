@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rollcall.scratch import settled
 
-from .bits import bit_table, slot_of
+from .bits import bit_table, packed_longs, slot_of, unpacked_longs
 from .words import BYTE_VALUES, mixed, powers, slices
 
 DEPTH = 50
@@ -107,14 +107,14 @@ def equal_prefixes(buffer: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -
 
 
 def _packed(parts: int, part: np.ndarray, arrays: list[np.ndarray], names: list[str], texts=None) -> pa.RecordBatch:
-    """One row per part that occurs, with each array's share as bytes. ``texts``: (data, first, length)."""
+    """One row per part that occurs, with each array's share as bytes; ids of documents are packed. ``texts``: (data, first, length)."""
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     filled = np.flatnonzero(np.diff(edges))
     columns = [pa.array(filled, pa.int64())]
-    for values in arrays:
-        values = values[order]
-        columns.append(pa.array([values[edges[p] : edges[p + 1]].tobytes() for p in filled], pa.binary()))
+    for name, values in zip(names, arrays, strict=True):
+        values, pack = values[order], packed_longs if name == "docs" else np.ndarray.tobytes
+        columns.append(pa.array([pack(values[edges[p] : edges[p + 1]]) for p in filled], pa.binary()))
     if texts is not None:
         data, first, length = texts
         first, length = first[order], length[order]
@@ -131,6 +131,10 @@ def _joined(values, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype=kind) for x in values])
 
 
+def _joined_ids(values) -> np.ndarray:
+    return np.concatenate([unpacked_longs(x) for x in values])
+
+
 def _anchored_slices(batches, table):
     """Slices of the rows that the bitmap knows: ``(batch, part, key, row, first, count)``."""
     for batch in batches:
@@ -168,7 +172,7 @@ def _shared_bits(texts: DataFrame, table: np.ndarray, parts: int, hot: int) -> t
             yield out()
 
     def judged(frame: pd.DataFrame) -> pd.DataFrame:
-        key, doc = _joined(frame["keys"], _U), _joined(frame["docs"], np.int64)
+        key, doc = _joined(frame["keys"], _U), _joined_ids(frame["docs"])
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -265,8 +269,13 @@ def _filled(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
 
 def _repeated_spans(parts: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Spans of one part's pieces that a smaller document has too, packed by row."""
-        doc, rid = _joined(frame["docs"], np.int64), _joined(frame["rids"], np.int64)
+        """Spans of one part's pieces that a smaller document has too, packed by row; spans that are known already pass."""
+        pieces = frame["kind"] == 0
+        known = frame.loc[~pieces, ["part", "rids", "places", "lengths"]]
+        return pd.concat([known, found_in(frame[pieces])]) if pieces.any() else known
+
+    def found_in(frame: pd.DataFrame) -> pd.DataFrame:
+        doc, rid = _joined_ids(frame["docs"]), _joined(frame["rids"], np.int64)
         place, length = _joined(frame["places"], np.int64), _joined(frame["lengths"], np.int64)
         buffer = _joined(frame["bytes"], np.uint8)
         base = np.cumsum(length) - length
@@ -336,11 +345,11 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = texts.withColumn("slot", slot_of(ROW_BITS, "rid"))
     hot = max(HOT_PIECES, total // (ANCHOR // 2) // HOT_KEYS)
     shared, often = _shared_bits(rows, table, parts, hot)
-    pieces = settled(_piece_rows(rows, table, shared, often, parts))
+    # Pieces and spans that are known already go the same way, so the pieces are shuffled but not stored.
+    pieces = _piece_rows(rows, table, shared, often, parts)
     schema = "part bigint, rids binary, places binary, lengths binary"
-    met = pieces.filter("kind = 0").repartition(parts, "part").groupBy("part").applyInPandas(_repeated_spans(parts), schema)
-    local = pieces.filter("kind = 1").select("part", "rids", "places", "lengths")
-    merged = met.unionByName(local).repartition(parts, "part").groupBy("part").applyInPandas(_merged, "rid bigint, spans binary")
+    met = pieces.repartition(parts, "part").groupBy("part").applyInPandas(_repeated_spans(parts), schema)
+    merged = met.repartition(parts, "part").groupBy("part").applyInPandas(_merged, "rid bigint, spans binary")
     whole = placed.filter("copy").select("rid", "n").distinct().select(
         "rid", F.lit(None).cast("binary").alias("spans"), "n"
     )

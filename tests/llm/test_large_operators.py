@@ -225,6 +225,13 @@ def test_repeats_long_text_null_ids_and_empty(spark, docs):
     assert suffixes.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_pieces_are_shuffled_but_not_stored(docs, monkeypatch):
+    stored, settled = [], suffixes.settled
+    monkeypatch.setattr(suffixes, "settled", lambda frame: stored.append(frame.columns) or settled(frame))
+    assert suffixes.remove_repeats(docs.filter("n_chars IS NULL OR n_chars <> 1")).agg(F.sum("n_removed")).first()[0] > 0
+    assert stored and not any("bytes" in columns for columns in stored)
+
+
 def test_equal_prefixes():
     buffer = np.frombuffer(b"abcdefgh" * 20 + b"z" * 60, dtype=np.uint8)
     starts = np.arange(len(buffer) - 49)

@@ -27,30 +27,52 @@ def read_csv_list(
 ) -> DataFrame:
     """CSV files with a header row; every column stays text.
 
-    ``multi_line`` accepts line breaks inside quotes but reads a file in one task. Pass False for
-    files known to have none: large files are then split.
+    ``multi_line`` accepts line breaks inside quotes. A file that may have some is read in one task, so UTF-8 files are
+    looked through first, in splits: where every line is whole, files are split. Pass False for files known to have none.
     """
     charset = charset_of(spark, encoding)
-    try:
-        rows = (
+
+    def reader(across_lines: bool):
+        return (
             spark.read.option("header", True)
             .option("encoding", charset)
-            .option("multiLine", multi_line)
+            .option("multiLine", across_lines)
             .option("quote", '"')
             .option("escape", '"')
             .option("inferSchema", False)
             # Nothing between two separators is null, a quoted empty text is a blank value.
             .option("nullValue", "\u0001")
-            .csv(path)
         )
+
+    try:
+        rows = reader(multi_line).csv(path)
     except AnalysisException as e:
         raise InputError(f"文件不存在: {path}", code="NOT_FOUND") from e
+    if multi_line and charset.upper() == "UTF-8" and _whole_lines(spark, path):
+        rows = reader(False).schema(rows.schema).csv(path)
     if rows.isEmpty():
         raise EmptyInputError(f"文件为空: {path}")
     first = rows.columns[0]
     return rows.withColumnRenamed(first, first.lstrip("\ufeff"))
 
 
+def _whole_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether every line of CSV files is certainly a record by itself, read alike with and without its neighbours.
+
+    Quotes must enclose a value from its first character to its last; what stands between a quote and the next one becomes
+    a mark, and marks may only touch separators, ends and each other. Carriage returns, blank lines and bytes
+    that are no UTF-8 text do not count as certain.
+    """
+    line = F.col("value")
+    marked = F.regexp_replace(line, '"[^"]*"', "\u0001")
+    whole = (
+        ~line.rlike("[\\r\\x00\\x01\\uFFFD]") & ~line.rlike("^[\\x00-\\x20]*$") & ~marked.rlike('"')
+        & ~marked.rlike("[^,\\x01]\\x01|\\x01[^,\\x01]")
+    )
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return bool(lines.agg(F.min(whole).alias("whole")).first()["whole"])
+
+
 def read_csv_folder(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All CSV files of a folder, each by its own encoding and header."""
     return scan_layouts(spark, csv_layouts(spark, path), multi_line).drop(FILE, BLOCK, POSITION)

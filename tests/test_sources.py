@@ -239,3 +239,23 @@ def test_offsets_beyond_a_broadcast(spark, folder, monkeypatch):
     got = lists.number_rows(spark.read.parquet(folder + "/t"), row_index=True)
     assert got.filter(F.col("id") + 1 != F.col(L.row_num)).count() == 0 and got.count() == 3_000
     assert "__lookup_salt" in plan_text(got), "a split's rows are spread"
+
+
+def test_lists_of_whole_lines_are_split(spark, folder):
+    """One large file of whole lines is read by several tasks; the rows are those of one task over the whole file."""
+    plain = ['a,b,c', '1,"x, ""y""",', '2,"",z', '"3",数,""""', ' 4 ,"q"', '5,x,y,z'] + [f'{i},"{i}, x",{i * i}' for i in range(4_000)]
+    odd = {"break": '6,"two\nlines",z', "inside": '6,5" x,"y" z', "open": '6,"x', "space": '6, "x,y",z', "blank": '6,x,y\n  \n7,x,y', "return": "6,x,y\r\n7,x,y\r", "mark": "6,\x01,y"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        for name, extra in {"plain": None, **odd}.items():
+            os.makedirs(f"{folder}/{name}")
+            with open(f"{folder}/{name}/list.csv", "w", encoding="utf-8", newline="") as f:
+                f.write("\n".join(plain if extra is None else [*plain, extra]) + "\n")
+            got = lists.read_csv_list(spark, f"{folder}/{name}")
+            whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"', nullValue="\u0001").csv(f"{folder}/{name}")
+            assert got.columns == ["a", "b", "c"]
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect())), name
+            assert (got.rdd.getNumPartitions() > 1) == (extra is None), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -101,6 +101,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(out, out=out)
 
 
+def _moderate(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether the exponentials of ``states @ weights + bias`` can be summed as they are, per class.
+
+    States lie between -1 and 1, so the parameters bound them: none overflows and the largest does not vanish. A single
+    output is certain, which only a shift by the largest gives exactly.
+    """
+    reach = np.abs(weights).sum(axis=-2)
+    return ((bias + reach).max(axis=-1) < 70) & ((bias - reach).max(axis=-1) > -60) & (bias.shape[-1] > 1)
+
+
 def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int = 0):
     """Log probabilities of the targets; with ``learn`` also gradients of their negative sum divided by it."""
     classes = p["word_out"].shape[0]
@@ -108,17 +118,18 @@ def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int =
     kind = np.where(target >= p["embed"].shape[0] - 1, classes, kind)
     logits = states @ p["class_out"]
     logits += p["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
+    if not _moderate(p["class_out"], p["class_bias"]):
+        logits -= logits.max(axis=1, keepdims=True)
     rows = np.arange(len(target))
     logp = logits[rows, kind]
     share = np.exp(logits, out=logits)
-    total = share.sum(axis=1)
+    total = share @ np.ones(classes + 1, dtype=share.dtype)
     logp -= np.log(total)
     grads, back = {}, None
     if learn:
-        share /= total[:, None]
-        share[rows, kind] -= 1.0
-        share /= learn
+        total *= learn
+        share *= np.reciprocal(total)[:, None]
+        share[rows, kind] -= 1.0 / learn
         grads = {"class_out": states.T @ share, "class_bias": share.sum(axis=0), "word_out": np.zeros_like(p["word_out"]), "word_bias": np.zeros_like(p["word_bias"])}
         back = share @ p["class_out"].T
     # Rows of one class lie together: every class works on slices.
@@ -126,22 +137,24 @@ def _outputs(p: Parameters, states: np.ndarray, target: np.ndarray, learn: int =
     edges = np.searchsorted(kind[order], np.arange(classes + 1))
     ordered, words = states[order], target[order]
     gained, pulled = np.zeros_like(logp), np.zeros_like(ordered) if learn else None
+    moderate, ones = _moderate(p["word_out"], p["word_bias"]), np.ones(CLASS_WORDS, dtype=share.dtype)
     for c in np.flatnonzero(np.diff(edges)):
         mine = slice(edges[c], edges[c + 1])
         own = ordered[mine]
         inner = own @ p["word_out"][c]
         inner += p["word_bias"][c]
-        inner -= inner.max(axis=1, keepdims=True)
+        if not moderate[c]:
+            inner -= inner.max(axis=1, keepdims=True)
         word = words[mine] - c * CLASS_WORDS
         at = rows[: len(own)]
         gained[mine] = inner[at, word]
         share = np.exp(inner, out=inner)
-        total = share.sum(axis=1)
+        total = share @ ones
         gained[mine] -= np.log(total)
         if learn:
-            share /= total[:, None]
-            share[at, word] -= 1.0
-            share /= learn
+            total *= learn
+            share *= np.reciprocal(total)[:, None]
+            share[at, word] -= 1.0 / learn
             grads["word_out"][c] = own.T @ share
             grads["word_bias"][c] = share.sum(axis=0)
             pulled[mine] = share @ p["word_out"][c].T

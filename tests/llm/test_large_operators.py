@@ -271,6 +271,21 @@ def test_gradients_are_those_of_small_steps(monkeypatch):
             assert math.isclose((moved[0] - moved[1]) / 2e-3, grads[name].flat[at], rel_tol=2e-2, abs_tol=5e-3), name
 
 
+@pytest.mark.parametrize("size", [1, 40])
+def test_outputs_are_those_of_a_shifted_softmax(size, monkeypatch):
+    """Moderate parameters need no search for the largest exponent; large ones get it, class by class."""
+    draw = np.random.default_rng(size)
+    p = {k: v * size if k in ("class_out", "word_out") else v for k, v in gru.initial(draw.integers(1, 90, 100).astype(float), 50.0).items()}
+    p["word_out"][0] *= 1_000 * (size - 1)
+    states, target = draw.uniform(-1, 1, (500, gru.HIDDEN)).astype(np.float32), draw.integers(0, 101, 500)
+    got = gru._outputs(p, states, target, 7)
+    assert gru._moderate(p["word_out"], p["word_bias"]).all() == (size == 1)
+    monkeypatch.setattr(gru, "_moderate", lambda weights, bias: np.zeros(bias.shape[:-1], dtype=bool))
+    want = gru._outputs(p, states, target, 7)
+    assert np.isfinite(got[0]).all() and np.allclose(got[0], want[0], rtol=1e-4, atol=1e-4)
+    assert np.allclose(got[2], want[2], rtol=1e-3, atol=1e-5) and all(np.allclose(got[1][k], want[1][k], rtol=1e-3, atol=1e-4) for k in want[1])
+
+
 def test_stretches_read_the_words_before_them(monkeypatch):
     monkeypatch.setattr(gru, "STRETCH", 10)
     monkeypatch.setattr(gru, "WARM_UP", 4)

@@ -38,13 +38,17 @@ def key_groups(
     labels: Labels = DEFAULT_LABELS,
     normalize: bool = False,
     valid_only: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per key of the participating rows: tagged key, first row number, row count.
 
     Rows that do not take part are left out inside the aggregates, not by a filter below them: the
-    status is then computed once per row, whatever it costs.
+    status is then computed once per row, whatever it costs. Where the status is ``stored``, the scan
+    leaves them out.
     """
     part = is_valid(rows.columns, labels) if valid_only else F.lit(True)
+    if stored:
+        rows = rows.filter(part)
     return (
         rows.groupBy(_tagged(_group_key(key, normalize)).alias("group_key"))
         .agg(F.min(F.when(part, col(labels.row_num))).alias(_FIRST), F.count_if(part).alias(_SIZE))
@@ -78,14 +82,16 @@ def dedup_mark(
     normalize: bool = False,
     valid_only: bool = True,
     strategy: str = "salted",
+    stored: bool = False,
 ) -> DataFrame:
     """Marks first and repeated rows of every key; adds mark, key echo and occurrence count.
 
     Rows whose status columns say "failed" are skipped (count 0), rows without a key are unknown
     (their count is the number of such rows). ``strategy="join"`` joins without salting and leaves
     skewed partitions to the adaptive planner, which saves the salting columns on even keys.
+    ``stored`` says that the status columns are read from a written table (``key_groups``).
     """
-    groups = key_groups(rows, key, labels, normalize, valid_only)
+    groups = key_groups(rows, key, labels, normalize, valid_only, stored)
     taking_part = is_valid(rows.columns, labels) if valid_only else F.lit(True)
     lookup_key = F.when(taking_part, _tagged(_group_key(key, normalize)))
     if strategy == "join":

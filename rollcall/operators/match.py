@@ -16,13 +16,16 @@ from .lookup import lookup_join
 from .rules import is_valid
 
 
-def key_set(rows: DataFrame, key: str, where: Column | None = None) -> DataFrame:
+def key_set(rows: DataFrame, key: str, where: Column | None = None, stored: bool = False) -> DataFrame:
     """Distinct normalised keys of a list (one column ``match_key``); blanks and nulls dropped.
 
     ``where`` limits the set to some rows. It is evaluated inside the aggregate, which keeps an
-    expensive status out of the filters below it.
+    expensive status out of the filters below it. ``stored`` says that what it looks at is read from a
+    written table: then the scan leaves the other rows out, and their keys are not made.
     """
     text = match_key(key).alias("match_key")
+    if where is not None and stored:
+        rows, where = rows.filter(where), None
     if where is None:
         return rows.select(text).filter("match_key is not null").distinct()
     some = rows.groupBy(text).agg(F.bool_or(where).alias("__some"))
@@ -41,9 +44,10 @@ def flag_membership(
     flag: str,
     labels: Labels = DEFAULT_LABELS,
     where: Column | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds a yes/no column: is the row's key among the keys of the reference list (``where``)?"""
-    table = key_set(reference, reference_key, where).withColumn("__hit", F.lit(True))
+    table = key_set(reference, reference_key, where, stored).withColumn("__hit", F.lit(True))
     joined = lookup_join(rows, table, match_key(key), "match_key", _row_id(rows, labels))
     return joined.select(
         *[col(name) for name in rows.columns], _flag(F.col("__hit"), labels).alias(flag)
@@ -61,11 +65,11 @@ def _row_id(rows: DataFrame, labels: Labels) -> Column:
 
 
 def flag_partner(
-    partner: DataFrame, primary: DataFrame, key: str, labels: Labels = DEFAULT_LABELS
+    partner: DataFrame, primary: DataFrame, key: str, labels: Labels = DEFAULT_LABELS, stored: bool = False
 ) -> DataFrame:
-    """Partner rows flagged by the keys of the valid primary rows."""
+    """Partner rows flagged by the keys of the valid primary rows; ``stored`` as in ``key_set``."""
     where = is_valid(primary.columns, labels)
-    return flag_membership(partner, key, primary, key, labels.in_primary, labels, where)
+    return flag_membership(partner, key, primary, key, labels.in_primary, labels, where, stored)
 
 
 def flag_vendor(
@@ -74,11 +78,14 @@ def flag_vendor(
     partner: DataFrame | None,
     key: str,
     labels: Labels = DEFAULT_LABELS,
+    stored: bool = False,
 ) -> DataFrame:
-    """Vendor rows flagged by the valid primary rows and, if given, by all partner rows."""
+    """Vendor rows flagged by the valid primary rows and, if given, by all partner rows; ``stored`` as in ``key_set``."""
     if partner is None:
-        return flag_partner(vendor, primary, key, labels)
+        return flag_partner(vendor, primary, key, labels, stored)
     text = match_key(key).alias("match_key")
+    if stored:
+        primary = primary.filter(is_valid(primary.columns, labels))
     primary_side = F.when(is_valid(primary.columns, labels), 1).otherwise(0).alias("side")
     tagged = (
         primary.select(text, primary_side)

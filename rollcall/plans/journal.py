@@ -115,6 +115,7 @@ class Journal:
                 folder, facts = self._write(run, stage, changed, stage_expressions(run, stage))
                 self._append(stage, COMPLETED, folder, facts, "|".join(changed))
             if stage == FIELD_RULES:
+                run.stored = True
                 errors_of_failing(run)
             elif stage == DICT_ENCODE:
                 run.encoded = encoded_fields(run.spec, run.inputs[PRIMARY].columns)

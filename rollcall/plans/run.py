@@ -56,6 +56,8 @@ class ListRun:
     stages: list[StageState] = field(default_factory=list)
     encoded: dict[str, str] = field(default_factory=dict)
     inputs: dict[str, DataFrame] = field(default_factory=dict)
+    #: The rule markers of the primary list are read from a written table.
+    stored: bool = False
 
     @property
     def primary(self) -> DataFrame:
@@ -115,6 +117,7 @@ def _field_rules(run: ListRun) -> None:
 def _store_marked(run: ListRun, folder: str) -> None:
     """Writes the marked list; the error table then looks at the failing rows only."""
     run.lists[PRIMARY] = stored(run.primary, folder)
+    run.stored = True
     errors_of_failing(run)
 
 
@@ -126,7 +129,7 @@ def errors_of_failing(run: ListRun) -> None:
 
 
 def _internal_dedup(run: ListRun) -> None:
-    run.lists[PRIMARY] = dedup_mark(run.primary, run.key, run.labels)
+    run.lists[PRIMARY] = dedup_mark(run.primary, run.key, run.labels, stored=run.stored)
 
 
 def _dict_encode(run: ListRun) -> None:
@@ -145,9 +148,9 @@ def _cross_dedup(run: ListRun) -> None:
     compliant = run.primary.drop(run.labels.dict_status)
     partner, vendor = run.lists.get(PARTNER), run.lists.get(VENDOR)
     if partner is not None:
-        run.lists[PARTNER] = flag_partner(partner, compliant, run.key, run.labels)
+        run.lists[PARTNER] = flag_partner(partner, compliant, run.key, run.labels, run.stored)
     if vendor is not None:
-        run.lists[VENDOR] = flag_vendor(vendor, compliant, partner, run.key, run.labels)
+        run.lists[VENDOR] = flag_vendor(vendor, compliant, partner, run.key, run.labels, run.stored)
 
 
 def _has_codes(run: ListRun) -> str | None:
@@ -260,8 +263,8 @@ def stage_expressions(run: ListRun, stage: str) -> dict[str, dict[str, str]]:
         types = sql_name(labels.rule_types)
         for code in PROBLEM_CODES:
             # No code is part of another one, so removing it shows how often it occurs.
-            removed = f"char_length({types}) - char_length(replace({types}, '{code}', ''))"
-            facts[code] = f"sum(({removed}) div {len(code)})"
+            removed = f"octet_length({types}) - octet_length(replace({types}, '{code}', ''))"
+            facts[code] = f"sum(case when contains({types}, '{code}') then ({removed}) div {len(code)} else 0L end)"
     elif stage == INTERNAL_DEDUP:
         for fact, mark in (
             ("original_rows", labels.original),

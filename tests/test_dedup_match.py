@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rollcall.labels import DEFAULT_LABELS as L
 from rollcall.operators import lookup, dedup, keys, match
 from rollcall.operators.lookup import hot_keys, lookup_join
+from rollcall.operators.rules import is_valid
 
 
 def keyed(spark, cells, **extra):
@@ -194,3 +195,18 @@ def test_flags_under_skew(spark, no_broadcast):
 def test_key_choice(columns, configured, engine, interactive):
     assert keys.resolve_key(columns, configured) == engine
     assert keys.resolve_key(columns, policy="interactive") == interactive
+
+
+def test_stored_markers_leave_rows_out_in_the_scan(spark, folder):
+    rows = [(i, f" K{i % 7}@x " if i % 5 else None, (L.passed, L.failed, None)[i % 3]) for i in range(60)]
+    spark.createDataFrame(rows, f"{L.row_num} long, email string, `{L.rule_status}` string").write.parquet(folder + "/list")
+    listed = spark.read.parquet(folder + "/list")
+    others = spark.createDataFrame([(i, f"k{i % 9}@X") for i in range(20)] + [(20, None)], f"{L.row_num} long, email string")
+    assert values(dedup.dedup_mark(listed, "email", stored=True)) == values(dedup.dedup_mark(listed, "email"))
+    assert values(match.flag_partner(others, listed, "email", stored=True)) == values(match.flag_partner(others, listed, "email"))
+    for partner in (others.limit(9), None):
+        want = match.flag_vendor(others, listed, partner, "email")
+        assert values(match.flag_vendor(others, listed, partner, "email", stored=True)) == values(want)
+    pushed = f"EqualTo({L.rule_status},{L.passed})"
+    assert pushed in plan_text(dedup.key_groups(listed, "email", stored=True)).replace("`", "")
+    assert pushed in plan_text(match.key_set(listed, "email", is_valid(listed.columns), stored=True)).replace("`", "")

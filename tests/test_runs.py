@@ -271,3 +271,9 @@ def test_export_counts_while_it_writes(spark, lists, dictionary, folder):
     written = export_run(done, folder + "/out", timestamp="t")
     got = spark.read.parquet(written["primary"] + "/summary")
     assert values(got) == values(summary.summary_table(done).select(*got.columns))
+
+
+def test_runs_know_whether_their_markers_are_stored(spark, lists, dictionary, folder):
+    assert staged(spark, lists, dictionary, folder)[0].stored
+    assert run_lists(lists, SPEC, work_dir=folder + "/plain", stages=[run.FIELD_RULES]).stored
+    assert not run_lists(lists, SPEC, stages=[run.FIELD_RULES]).stored

@@ -15,7 +15,7 @@ number per table row, and n-grams are cut once per distinct word of a slice.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -109,6 +109,19 @@ def fit_quality(
     features: Features, labels: list[int], dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1
 ) -> QualityModel:
     """Trains on the given documents. Without any, or with one label only, the score is the share of label 1."""
+
+    def document(i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(features.starts[i], features.starts[i + 1])
+        return features.rows[own], features.shares[own]
+
+    return _trained(document, labels, dimensions, epochs, rate, seed)
+
+
+def _trained(
+    document: Callable[[int], tuple[np.ndarray, np.ndarray]], labels: list[int],
+    dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1,
+) -> QualityModel:
+    """``fit_quality`` on documents whose rows and shares are asked for one at a time."""
     y = np.asarray(labels, dtype=np.float32)
     share = float((y.sum() + 1.0) / (len(y) + 2.0))
     prior = float(np.log(share / (1.0 - share)))
@@ -123,8 +136,7 @@ def fit_quality(
         for i in draw.permutation(len(y)):
             pace = rate * (1.0 - step / steps)
             step += 1
-            own = slice(features.starts[i], features.starts[i + 1])
-            rows, weight = features.rows[own], features.shares[own]
+            rows, weight = document(i)
             mean = weight @ vectors[rows] if len(rows) else np.zeros(dimensions, dtype=np.float32)
             logits = mean @ layer + bias
             gradient = np.exp(logits - logits.max())
@@ -178,25 +190,38 @@ def unpacked(sample: pd.DataFrame) -> tuple[Features, list[int]]:
     starts = np.cumsum([0, *sample["n"]])
     features = Features(starts, np.empty(starts[-1], dtype=np.uint32), np.empty(starts[-1], dtype=np.float32))
     for place, (n, packed) in enumerate(zip(sample["n"], sample["body"], strict=True)):
-        own, body = slice(starts[place], starts[place + 1]), zlib.decompress(packed)
-        features.rows[own] = np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n), dtype=np.uint32)
-        features.shares[own] = np.frombuffer(body, dtype=np.float32, offset=4 * n)
+        own = slice(starts[place], starts[place + 1])
+        features.rows[own], features.shares[own] = _unpacked_document(n, packed)
     return features, sample["label"].tolist()
 
 
+def _unpacked_document(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    body = zlib.decompress(packed)
+    return np.cumsum(np.frombuffer(body, dtype=np.uint32, count=n), dtype=np.uint32), np.frombuffer(body, dtype=np.float32, offset=4 * n)
+
+
+def train_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a training sample's rows as one row of weights and bias. Documents are unpacked one at a time."""
+    known, sizes, bodies = [], [], []
+    for batch in batches:
+        known += batch.column("label").to_pylist()
+        sizes += batch.column("n").to_pylist()
+        bodies += batch.column("body").to_pylist()
+    model = _trained(lambda i: _unpacked_document(sizes[i], bodies[i]), known)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"]
+    )
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, **columns) -> QualityModel:
     """The model of ``training_sample``, trained in one task.
 
     Gradient descent goes from document to document, and the sample is bounded, so one task suffices; another
-    takes its place if its executor is lost. Only the finished weights come to the driver.
+    takes its place if its executor is lost. The task holds the sample packed and unpacks one document at a
+    time. Only the finished weights come to the driver.
     """
-
-    def fit(sample: pd.DataFrame) -> pd.DataFrame:
-        model = fit_quality(*unpacked(sample))
-        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
-
-    sample = training_sample(docs, labels, **columns)
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights binary, bias double").collect()
+    sample = training_sample(docs, labels, **columns).repartition(1).sortWithinPartitions("id")
+    fitted = sample.mapInArrow(train_packed, "weights binary, bias double").collect()
     if not fitted:
         return fit_quality(features_of([]), [])
     return QualityModel(np.frombuffer(fitted[0]["weights"], dtype=np.float32), fitted[0]["bias"])

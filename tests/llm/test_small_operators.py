@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,21 @@ def test_training_sample_takes_lowest_label_and_each_id_once(spark, odd):
     assert got == [0] and all((a == b).all() for a, b in zip(features, want))
 
 
+def test_training_holds_the_sample_packed(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good word{i} fine" if i % 2 else f"junk*** word{i}") for i in range(60)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    sample = quality.training_sample(docs, labels).toPandas().sort_values("id")
+    want = quality.fit_quality(*quality.unpacked(sample))
+    got = quality.learn_quality(docs, labels)
+    assert (got.weights == want.weights).all() and got.bias == want.bias
+    # The task that trains never unpacks the sample as a whole.
+    monkeypatch.delattr(quality, "unpacked")
+    monkeypatch.delattr(quality, "Features")
+    batches = [pa.RecordBatch.from_pandas(sample[i : i + 7], preserve_index=False) for i in range(0, len(sample), 7)]
+    (row,) = [r for b in quality.train_packed(iter(batches)) for r in b.to_pylist()]
+    assert row == {"weights": want.weights.tobytes(), "bias": want.bias}
+
+
 # mixing -------------------------------------------------------------------------------------------
 
 

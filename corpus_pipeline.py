@@ -49,7 +49,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped = groups.filter("component_id <> doc_id").select("doc_id")
     kept = bits.without_keys(docs, dropped, "doc_id")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
-    once = bits.without_keys(kept, repeated, "doc_id")
+    # Both kinds of ids leave in one pass: a task of two passes in a row would hold two Python workers.
+    ids = dropped.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).unionByName(repeated)
+    once = bits.without_keys(docs, ids, "doc_id")
     again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
     row = F.struct(F.length("text").alias("__size"), *[F.col(c) for c in docs.columns])
     return once.unionByName(again.groupBy("doc_id").agg(F.max(row).alias("row")).select([F.col(f"row.{c}") for c in docs.columns]))

@@ -52,7 +52,7 @@ from rollcall.scratch import settled
 
 from .bits import bit_table, packed_longs, slot_of, unpacked_longs
 from .components import components
-from .words import LOWER, VISIBLE, find_words, hash_runs, mixed, shingle_hashes, slices
+from .words import LOWER, SMALL_SLICE_BYTES, VISIBLE, find_words, hash_runs, mixed, shingle_hashes, slices
 
 SHINGLE = 5
 PERCENT = 75
@@ -62,11 +62,15 @@ LEAF_DOCS = 8
 BITS_A_SHINGLE = 4
 RANKED_SHINGLES = 1 << 17
 FREQUENT_IN_TASK = 4
+#: Shingles among which a task counts the frequent ones at a time.
+COUNTED_SHINGLES = 2_000_000
 ID_BITS = 1 << 23
 TOKENS_A_PART = 1_500_000
 HOT_SHINGLE = 100_000
 #: Shingles a task holds before it packs them for their parts.
 HELD_SHINGLES = 400_000
+#: Shingles whose rows the scan hands on at a time.
+ROW_SHINGLES = 250_000
 #: Rows of whole texts or sets that go to a Python worker at a time, and that it unpacks at a time.
 BATCH_ROWS, PIECE_ROWS = 1_000, 200
 
@@ -75,7 +79,7 @@ _U = np.uint64
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingle hashes of every row of a text column."""
-    for part in slices(column):
+    for part in slices(column, SMALL_SLICE_BYTES):
         data = LOWER[part.data]
         words = find_words(data, part.offsets, VISIBLE)
         hashes = hash_runs(data, words.begin, words.end)
@@ -297,15 +301,20 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
         pending, held = [], 0
 
         def counted():
-            new = np.sort(np.concatenate(pending))
-            head = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
-            n = np.diff(np.append(head, len(new)))
-            new, n = new[head[n >= FREQUENT_IN_TASK]], n[n >= FREQUENT_IN_TASK]
+            new = np.concatenate(pending)
+            pending.clear()
+            new.sort()
+            # A key that stands there n times is equal to the one ``more`` places on n - more times.
+            more = FREQUENT_IN_TASK - 1
+            first = new[: max(0, len(new) - more)]
+            new, n = np.unique(first[first == new[more:]], return_counts=True)
+            n += more
             kinds, where = np.unique(np.append(seen_keys, new), return_inverse=True)
             return kinds, np.bincount(where, weights=np.append(seen_counts, n), minlength=len(kinds)).astype(np.int64)
 
         for batch in batches:
             ids, sets, sizes, digests, signatures = [], [], [], [], []
+            waiting = 0
             for row, keys in shingle_sets(batch.column("text"), shingle):
                 ids.append(row)
                 sets.append(keys)
@@ -313,12 +322,15 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
                 digests.append(blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None)
                 signatures.append(signature(keys) if len(keys) else None)
                 held += len(keys)
-                if held > 2_000_000:
+                waiting += len(keys)
+                if held > COUNTED_SHINGLES or waiting > ROW_SHINGLES:
                     pending.extend(sets)
                     yield rows_of(batch, ids, sets, sizes, digests, signatures, names)
-                    seen_keys, seen_counts = counted()
                     ids, sets, sizes, digests, signatures = [], [], [], [], []
-                    pending, held = [], 0
+                    waiting = 0
+                if held > COUNTED_SHINGLES:
+                    seen_keys, seen_counts = counted()
+                    held = 0
             pending.extend(sets)
             yield rows_of(batch, ids, sets, sizes, digests, signatures, names)
         if held:
@@ -436,12 +448,16 @@ def _alone(parts: int):
         if not held:
             return
         keys, ids, labels = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
+        held.clear()
         order = np.argsort(keys)
-        keys, ids, labels = keys[order], ids[order], labels[order]
+        keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        lengths = np.diff(np.append(starts, len(keys)))
+        del keys
+        labels = labels[order]
         single = np.minimum.reduceat(labels, starts) == np.maximum.reduceat(labels, starts)
-        own, alone = np.unique(ids[np.repeat(single, np.diff(np.append(starts, len(keys))))], return_counts=True)
+        del labels
+        own, alone = np.unique(ids[order[np.repeat(single, lengths)]], return_counts=True)
         target = (mixed(own.view(_U)) % _U(parts)).astype(np.int64)
         order = np.argsort(target, kind="stable")
         own, alone = own[order], alone[order].astype(np.int32)
@@ -612,14 +628,19 @@ def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent:
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         filled = [p for p in range(parts) if edges[p + 1] > edges[p]]
-        columns = [x[order] for x in (keys, ids, labels, sizes, rests)]
         packers = (packed_set, packed_longs, packed_longs, packed_longs, np.ndarray.tobytes)
+        columns = zip(packers, (keys, ids, labels, sizes, rests), strict=True)
         return pa.RecordBatch.from_arrays(
             [pa.array(filled, pa.int64())]
-            + [pa.array([pack(x[edges[p] : edges[p + 1]]) for p in filled], pa.binary()) for pack, x in zip(packers, columns, strict=True)],
+            + [pa.array([pack(x[order[edges[p] : edges[p + 1]]]) for p in filled], pa.binary()) for pack, x in columns],
             names=["part", "keys", "ids", "labels", "sizes", "rests"],
         )
 
+    def of(held):
+        lengths = [len(x[0]) for x in held]
+        same = (np.repeat(np.array([x[i] for x in held], dtype=np.int64), lengths) for i in (1, 2, 3))
+        return packed(np.concatenate([x[0] for x in held]), *same, np.concatenate([x[4] for x in held]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         waiting = 0
@@ -635,14 +656,13 @@ def _prefix_rows(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], percent:
                     rank[hit] = ranked_counts[at[hit]]
                 # Within a rank the order of hashes, which are sorted already.
                 first = own[np.argsort(rank, kind="stable")[:length]]
-                same = (np.full(length, x, dtype=np.int64) for x in (number, label, n))
-                held.append((first, *same, _rest(n, np.arange(length))))
+                held.append((first, number, label, n, _rest(n, np.arange(length))))
                 waiting += length
                 if waiting > HELD_SHINGLES:
-                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield of(held)
                     held, waiting = [], 0
         if held:
-            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield of(held)
 
     return sets.select("id", "label", "body").mapInArrow(run, "part bigint, keys binary, ids binary, labels binary, sizes binary, rests binary")
 

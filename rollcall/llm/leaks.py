@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rollcall.scratch import settled
 
 from .bits import bit_table
-from .words import ALNUM, LOWER, find_words, hash_runs, shingle_hashes, slices
+from .words import ALNUM, LOWER, SMALL_SLICE_BYTES, find_words, hash_runs, shingle_hashes, slices
 
 WINDOW = 10
 SHINGLE = 5
@@ -112,7 +112,7 @@ def document_hits(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), SMALL_SLICE_BYTES):
                 _, _, _, keys = _found(part, known, sizes)
                 keys, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
@@ -128,7 +128,7 @@ def document_hits(
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "id", "n_words", "key", "place", "around_from", "around"]
         for batch in batches:
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), SMALL_SLICE_BYTES):
                 data, words, at, keys = _found(part, chosen, sizes)
                 rows = np.searchsorted(words.rows, at, side="right") - 1
                 around, around_from = [], np.maximum(words.rows[rows], at - window)

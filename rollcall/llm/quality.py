@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .words import BYTE_VALUES, VISIBLE, find_words, hash_runs, mixed, powers, slices
+from .words import BYTE_VALUES, SMALL_SLICE_BYTES, VISIBLE, find_words, hash_runs, mixed, powers, slices
 
 TRAIN_ROWS = 5_000
 BUCKETS = 1 << 17
@@ -128,7 +128,10 @@ def _trained(
     if len(y) == 0 or y.min() == y.max():
         return QualityModel(np.zeros(BUCKETS + 1, dtype=np.float32), prior)
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1.0, 1.0, (BUCKETS + 1, dimensions)).astype(np.float32) / dimensions
+    vectors = np.empty((BUCKETS + 1, dimensions), dtype=np.float32)
+    for rows in np.array_split(vectors, 16):
+        rows[:] = draw.uniform(-1.0, 1.0, rows.shape)
+    vectors /= dimensions
     layer = np.zeros((dimensions, 2), dtype=np.float32)
     bias = np.array([0.0, prior], dtype=np.float32)
     steps, step = epochs * len(y), 0
@@ -227,6 +230,21 @@ def learn_quality(docs: DataFrame, labels: DataFrame, **columns) -> QualityModel
     return QualityModel(np.frombuffer(fitted[0]["weights"], dtype=np.float32), fitted[0]["bias"])
 
 
+def scores_of(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The probability of label 1 for every text of a column."""
+    scores = np.empty(len(column))
+    for part in slices(column, SMALL_SLICE_BYTES):
+        words, buckets, owners, which, kinds, again = _distinct(part)
+        added = np.bincount(owners, weights=weights[buckets], minlength=kinds)
+        parts = np.bincount(owners, minlength=kinds)
+        sums = np.concatenate([[0.0], np.cumsum(added[which] + weights[REPEAT] * again)])
+        counts = np.concatenate([[0], np.cumsum(parts[which] + again)])
+        total = sums[words.rows[1:]] - sums[words.rows[:-1]]
+        n = counts[words.rows[1:]] - counts[words.rows[:-1]]
+        scores[part.first : part.last] = 1.0 / (1.0 + np.exp(-(total / np.maximum(n, 1) + bias)))
+    return scores
+
+
 def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``score_column``, the probability of label 1.
 
@@ -239,17 +257,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            scores = np.empty(batch.num_rows)
-            for part in slices(batch.column(text_column)):
-                words, buckets, owners, which, kinds, again = _distinct(part)
-                added = np.bincount(owners, weights=weights[buckets], minlength=kinds)
-                parts = np.bincount(owners, minlength=kinds)
-                sums = np.concatenate([[0.0], np.cumsum(added[which] + weights[REPEAT] * again)])
-                counts = np.concatenate([[0], np.cumsum(parts[which] + again)])
-                total = sums[words.rows[1:]] - sums[words.rows[:-1]]
-                n = counts[words.rows[1:]] - counts[words.rows[:-1]]
-                scores[part.first : part.last] = 1.0 / (1.0 + np.exp(-(total / np.maximum(n, 1) + bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=names)
+            scores = pa.array(scores_of(batch.column(text_column), weights, bias))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=names)
 
     schema = StructType([*docs.schema.fields, StructField(score_column, DoubleType())])
     return docs.mapInArrow(scored, schema)

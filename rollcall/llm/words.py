@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: For scans whose temporary arrays take up to 80 times a slice: they stay in a core's cache, and a worker stays small.
+SMALL_SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _FACTOR = _U(0x9E3779B97F4A7C15)

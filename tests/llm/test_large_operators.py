@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,35 @@ def test_jaccard_matches_brute_force(docs, monkeypatch):
     assert got == _groups(_plain(docs))
 
 
+def test_scan_counts_frequent_shingles_in_little_memory(monkeypatch):
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    draw = random.Random(1)
+    texts = [" ".join(f"w{draw.randrange(6)}" if i % 2 else f"v{i}x{j}" for j in range(300)) for i in range(900)]
+    monkeypatch.setattr(jaccard, "COUNTED_SHINGLES", 100_000)
+    monkeypatch.setattr(jaccard, "ROW_SHINGLES", 5_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts)], names=["id", "text"])
+    rows = [r for b in jaccard._scan(Frame(), 5)(iter([batch])) for r in b.to_pylist()]
+    times, held, want = Counter(), 0, Counter()
+    for _, keys in jaccard.shingle_sets(batch.column("text")):
+        times.update(keys.view(np.int64).tolist())
+        held += len(keys)
+        if held > 100_000:
+            want.update({k: n for k, n in times.items() if n >= 4})
+            times, held = Counter(), 0
+    want.update({k: n for k, n in times.items() if n >= 4})
+    assert {r["key"]: r["count"] for r in rows if r["id"] is None} == want and want
+    assert [r["id"] for r in rows if r["id"] is not None] == list(range(900))
+    tracemalloc.start()
+    for _ in jaccard.shingle_sets(batch.column("text")):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # slices of a megabyte took 40
+
+
 def test_packed_sets_come_back():
     hashes = np.sort(np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64))
     assert jaccard.unpacked_set(jaccard.packed_set(hashes)).tolist() == sorted(int(h) % 2**40 for h in hashes)
@@ -375,6 +406,21 @@ def test_stage_on_odd_and_empty_input(spark, docs, folder, tmp_path, name, stage
     assert stage(spark, docs.limit(0), folder).collect() == []
 
 
+def test_no_task_of_the_near_duplicate_stage_holds_two_python_workers(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "docs"))
+    plan = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(str(tmp_path / "docs")), "")._jdf.queryExecution().executedPlan().initialPlan()
+    most = []
+
+    def python_nodes(node) -> int:
+        below = [python_nodes(node.children().apply(i)) for i in range(node.children().size())]
+        here = max(below, default=0) + ("MapInArrow" in node.nodeName())
+        most.append(here)
+        return 0 if "Exchange" in node.nodeName() else here
+
+    python_nodes(plan)
+    assert max(most) == 1
+
+
 def test_filtering_stages_match_brute_force(spark, docs, folder):
     rows = _plain(docs)
     once = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, folder).collect())

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,19 @@ def test_training_holds_the_sample_packed(spark, monkeypatch):
     assert row == {"weights": want.weights.tobytes(), "bias": want.bias}
 
 
+def test_scoring_takes_little_memory_beside_the_batch():
+    texts = pa.array([" ".join(f"w{i * j % 9973}" for j in range(700)) for i in range(500)] + [None, "", LONG])
+    model = quality.fit_quality(quality.features_of(["w1 w2 w3", "w4 w5 w6"]), [1, 0])
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS + 1).astype(np.float32)
+    tracemalloc.start()
+    got = quality.scores_of(texts, weights, model.bias)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6  # slices of a megabyte took 80
+    alone = [quality.scores_of(texts[i : i + 1], weights, model.bias)[0] for i in (0, 1, 250, 499, 500, 501, 502)]
+    assert np.allclose(got[[0, 1, 250, 499, 500, 501, 502]], alone, rtol=1e-9)
+
+
 # mixing -------------------------------------------------------------------------------------------
 
 
